@@ -74,9 +74,14 @@ DICTIONARY_SQL = r"""dictionary AS (
       regexp_extract(text, '^([\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+)', 1)
     ]) AS skill FROM benchmark)
   WHERE length(skill) > 3)"""
-HITS_SQL = DICTIONARY_SQL + r""", hits AS (
-  SELECT doc_id, skill FROM documents JOIN dictionary
-  ON regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(skill) || '($|[^\p{L}\p{N}_])'))"""
+# Word runs between marks: a phrase on word boundaries is then a plain substring.
+def _marked(x):
+    return f"chr(1) || regexp_replace(lower({x}), '([^{SQL_WORD}]+)', chr(1) || '\\1' || chr(1), 'g') || chr(1)"
+
+
+HITS_SQL = DICTIONARY_SQL + f""", hits AS (
+  SELECT doc_id, skill FROM (SELECT doc_id, {_marked('text')} AS t FROM documents)
+  JOIN (SELECT skill, {_marked('skill')} AS s FROM dictionary) ON contains(t, s))"""
 
 
 def phrase_dictionary(spark, sf):

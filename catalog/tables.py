@@ -130,7 +130,7 @@ def sql_city(x: str) -> str:
 
 def sql_title(x: str) -> str:
     return (
-        "array_to_string([upper(substr(r, 1, 1)) || substr(r, 2) for r in "
+        "array_to_string([CASE WHEN r[1] = 'ß' THEN 'Ss' ELSE upper(r[1]) END || substr(r, 2) for r in "
         f"regexp_extract_all(lower({x}), '(\\p{{L}}+|[^\\p{{L}}]+)', 1)], '')"
     )
 

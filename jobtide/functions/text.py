@@ -40,7 +40,8 @@ def text_list(text: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     """First character upper, the rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
+    first = F.upper(F.substring(text, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, 2, 9), F.substring(text, 2, 1 << 30))))
 
 
 def standard_location(locations: Column) -> Column:
@@ -103,8 +104,7 @@ def title_case(text: Column) -> Column:
     ``initcap`` splits at blanks only and would give ``A/b Testing``.
     """
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    upper_first = lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 1 << 30))
-    return F.array_join(F.transform(runs, upper_first), "")
+    return F.array_join(F.transform(runs, capitalize), "")
 
 
 def normalize_skills(skills: Column) -> Column:

@@ -78,10 +78,11 @@ def merge_duplicates(
         apart = F.sha2(F.concat_ws("\u0001", "job_title", "company"), 256)
         group = F.when(group == "", apart).otherwise(group)
 
-    tagged = [
-        F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c).alias("tag"), x.alias("item")))
-        for c in unions
-    ]
+    def tag(c: str) -> Column:
+        items = F.coalesce(F.col(c), F.array().cast("array<string>"))
+        return F.transform(items, lambda x: F.struct(F.lit(c).alias("tag"), x.alias("item")))
+
+    tagged = [tag(c) for c in unions]
     order = F.struct(*order_by)
     rows = postings.withColumns({"_key": group, "_order": order})
     if tagged:

@@ -88,26 +88,33 @@ def skills_in(text: Column, entries: list[tuple[str, str]]) -> Column:
     spellings: dict[str, list[str]] = {}
     for key, skill in sorted(entries):
         spellings.setdefault(key, []).append(skill)
-    words = {key: [w for w in _split_words(key)] for key in spellings}
+    words = {key: _split_words(key) for key in spellings}
     longest = max(len(w) for w in words.values())
     heads = F.array(*[F.lit(h) for h in sorted({w[0] for w in words.values()})])
     keys = F.array(*[F.lit(k) for k in sorted(spellings)])
     names = F.create_map(*[
         c for k in sorted(spellings) for c in (F.lit(k), F.array(*[F.lit(s) for s in spellings[k]]))
     ])
-    runs = _runs(text)
 
-    def spans(runs: Column) -> Column:
-        seen = F.array_intersect(runs, heads)
-        at = F.filter(F.sequence(F.lit(1), F.size(runs), F.lit(2)), lambda i: F.array_contains(seen, F.element_at(runs, i)))
+    def spans(runs: Column, seen: Column) -> Column:
+        at = F.filter(
+            F.sequence(F.lit(1), F.size(runs), F.lit(2)),
+            lambda i: F.array_contains(seen, F.element_at(runs, i)),
+        )
         build = lambda i: F.transform(
             F.sequence(F.lit(1), F.lit(2 * longest - 1), F.lit(2)),
             lambda n: F.array_join(F.slice(runs, i, n), ""),
         )
-        return F.when(F.size(seen) > 0, F.flatten(F.transform(at, build))).otherwise(empty)
+        return F.flatten(F.transform(at, build))
+
+    def hits(runs: Column) -> Column:
+        # A lambda body is evaluated per element, so shared values are bound first.
+        seen = F.array_intersect(runs, heads)
+        found = _let(seen, lambda s: F.when(F.size(s) > 0, F.array_intersect(spans(runs, s), keys)))
+        return F.when(F.size(runs) > 0, found)
 
-    hits = F.when(F.size(runs) > 0, F.array_intersect(_let(runs, spans), keys)).otherwise(empty)
-    return F.coalesce(F.array_sort(F.flatten(F.transform(hits, lambda k: names[k]))), empty)
+    names_of = F.transform(_let(_runs(text), hits), lambda k: names[k])
+    return F.coalesce(F.array_sort(F.flatten(names_of)), empty)
 
 
 def _split_words(key: str) -> list[str]:
