@@ -17,6 +17,7 @@ from jobtide.session import broadcast_if_small
 from jobtide.sources.dictionary import usable_skills
 
 RUN = rf"([{WORD}]+|[^{WORD}]+)"
+EDGED = rf"(?s)^[{WORD}](.*[{WORD}])?$"
 MAX_LITERAL_SKILLS = 5_000
 
 
@@ -26,40 +27,59 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(trimmed, F.lit(RUN), 1)
 
 
+def _unedged(dictionary: DataFrame) -> list[str]:
+    """Entries such as ``C++`` that do not begin and end with a word character.
+
+    They have no span; each is tested by its own pattern, so they must be few.
+    """
+    rows = usable_skills(dictionary).where(~F.lower("skill").rlike(EDGED)).limit(MAX_LITERAL_SKILLS + 1).collect()
+    if len(rows) > MAX_LITERAL_SKILLS:
+        raise ValueError("too many dictionary entries without a word character at both ends")
+    return sorted(r["skill"] for r in rows)
+
+
+def _pattern_hits(text: Column, names: list[str]) -> Column:
+    tests = [F.when(text.rlike(r"(?iU)\b\Q" + n + r"\E\b"), F.lit(n)) for n in names]
+    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+
+
 def _keyed(dictionary: DataFrame) -> DataFrame:
     """(key, words, skill) of the entries the span test covers."""
     return (
         usable_skills(dictionary)
         .select(F.lower("skill").alias("key"), "skill")
-        .where(F.col("key").rlike(rf"^[{WORD}](.*[{WORD}])?$"))
+        .where(F.col("key").rlike(EDGED))
         .withColumn("words", F.size(F.regexp_extract_all("key", F.lit(rf"([{WORD}]+)"), 1)))
-        .withColumn("head", F.regexp_extract("key", rf"^[{WORD}]+", 0))
     )
 
 
 def match_dictionary(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, skill): every dictionary skill that occurs in the text, once per document.
 
-    Two equi-joins: word positions meet the entries' first words, which yields
-    the span lengths worth building there; the spans then meet the entries.
-    Both keys are unique on the dictionary side, so nothing multiplies.
+    Each document is expanded to its distinct spans of at most as many words as
+    the longest entry has, and the spans meet the entries in one equi-join. The
+    dictionary is broadcast only if its row count is small.
     """
     keyed = _keyed(dictionary)
-    heads = keyed.groupBy("head").agg(F.collect_set("words").alias("lengths"))
-    runs = docs.select(F.col(id_col), _runs(F.col(text_col)).alias("runs"))
-    positions = runs.where(F.size("runs") > 0).select(
-        id_col, "runs", F.explode(F.sequence(F.lit(1), F.size("runs"), F.lit(2))).alias("at")
-    ).withColumn("head", F.element_at("runs", F.col("at")))
-    spans = (
-        positions.join(broadcast_if_small(heads), "head")
-        .select(id_col, "runs", "at", F.explode("lengths").alias("n"))
-        .select(
-            id_col,
-            F.array_join(F.slice("runs", F.col("at"), 2 * F.col("n") - 1), "").alias("key"),
-        )
-        .distinct()
-    )
-    return spans.join(broadcast_if_small(keyed.select("key", "skill")), "key").select(id_col, "skill").distinct()
+    longest = keyed.agg(F.max("words")).first()[0] or 1
+
+    def all_spans(runs: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(runs), F.lit(2))
+        longer = [F.transform(at, lambda i: _span(runs, i, n)) for n in range(2, longest + 1)]
+        return F.array_distinct(F.concat(runs, *longer))
+
+    runs = F.filter(F.array(_runs(F.col(text_col))), lambda r: F.size(r) > 0)
+    spans = docs.select(id_col, F.explode(F.flatten(F.transform(runs, all_spans))).alias("key"))
+    hits = spans.join(broadcast_if_small(keyed.select("key", "skill")), "key").select(id_col, "skill")
+    others = _unedged(dictionary)
+    if others:
+        hits = hits.union(docs.select(id_col, F.explode(_pattern_hits(F.col(text_col), others))))
+    return hits.distinct()
+
+
+def _span(runs: Column, start: Column, words: int) -> Column:
+    """The span of so many words that begins at a word run."""
+    return F.array_join(F.slice(runs, start, 2 * words - 1), "")
 
 
 def extract_skills(
@@ -77,7 +97,11 @@ def extract_skills(
         found = hits.groupBy(id_col).agg(F.array_sort(F.collect_set("skill")).alias(out))
         empty = F.array().cast("array<string>")
         return docs.join(found, id_col, "left").withColumn(out, F.coalesce(out, empty))
-    return docs.withColumn(out, skills_in(F.col(text_col), [(e["key"], e["skill"]) for e in entries]))
+    found = skills_in(F.col(text_col), [(e["key"], e["skill"]) for e in entries])
+    others = _unedged(dictionary)
+    if others:
+        found = F.array_sort(F.array_union(found, _pattern_hits(F.col(text_col), others)))
+    return docs.withColumn(out, found)
 
 
 def skills_in(text: Column, entries: list[tuple[str, str]]) -> Column:
@@ -88,33 +112,36 @@ def skills_in(text: Column, entries: list[tuple[str, str]]) -> Column:
     spellings: dict[str, list[str]] = {}
     for key, skill in sorted(entries):
         spellings.setdefault(key, []).append(skill)
-    words = {key: _split_words(key) for key in spellings}
-    longest = max(len(w) for w in words.values())
-    heads = F.array(*[F.lit(h) for h in sorted({w[0] for w in words.values()})])
-    keys = F.array(*[F.lit(k) for k in sorted(spellings)])
+    by_length: dict[int, list[str]] = {}
+    for key in spellings:
+        by_length.setdefault(len(_split_words(key)), []).append(key)
+    literals = lambda values: F.array(*[F.lit(v) for v in sorted(set(values))])
     names = F.create_map(*[
-        c for k in sorted(spellings) for c in (F.lit(k), F.array(*[F.lit(s) for s in spellings[k]]))
+        c for k in sorted(spellings) for c in (F.lit(k), literals(spellings[k]))
     ])
 
-    def spans(runs: Column, seen: Column) -> Column:
-        at = F.filter(
-            F.sequence(F.lit(1), F.size(runs), F.lit(2)),
-            lambda i: F.array_contains(seen, F.element_at(runs, i)),
-        )
-        build = lambda i: F.transform(
-            F.sequence(F.lit(1), F.lit(2 * longest - 1), F.lit(2)),
-            lambda n: F.array_join(F.slice(runs, i, n), ""),
-        )
-        return F.flatten(F.transform(at, build))
-
-    def hits(runs: Column) -> Column:
-        # A lambda body is evaluated per element, so shared values are bound first.
-        seen = F.array_intersect(runs, heads)
-        found = _let(seen, lambda s: F.when(F.size(s) > 0, F.array_intersect(spans(runs, s), keys)))
-        return F.when(F.size(runs) > 0, found)
-
-    names_of = F.transform(_let(_runs(text), hits), lambda k: names[k])
-    return F.coalesce(F.array_sort(F.flatten(names_of)), empty)
+    # A lambda body is evaluated per element, so shared values are bound first.
+    def hits(runs: Column, n: int) -> Column:
+        keys = literals(by_length[n])
+        if n == 1:
+            return F.array_intersect(runs, keys)
+        heads = literals(_split_words(k)[0] for k in by_length[n])
+
+        def spans(seen: Column) -> Column:
+            at = F.filter(
+                F.sequence(F.lit(1), F.size(runs), F.lit(2)),
+                lambda i: F.array_contains(seen, F.element_at(runs, i)),
+            )
+            found = F.array_intersect(F.transform(at, lambda i: _span(runs, i, n)), keys)
+            return F.when(F.size(seen) > 0, found).otherwise(empty)
+
+        return _let(F.array_intersect(runs, heads), spans)
+
+    def all_hits(runs: Column) -> Column:
+        found = F.concat(*[hits(runs, n) for n in sorted(by_length)])
+        return F.when(F.size(runs) > 0, F.flatten(F.transform(found, lambda k: names[k])))
+
+    return F.coalesce(F.array_sort(_let(_runs(text), all_hits)), empty)
 
 
 def _split_words(key: str) -> list[str]:
