@@ -7,6 +7,7 @@ from catalog.registry import query
 from catalog.tables import POSTINGS_SQL, PROFILES_SQL, postings, profiles, table
 from jobtide import dims
 from jobtide.operators import associations as assoc
+from jobtide.session import cut_lineage
 from jobtide.operators import classify, filters, graph, market, match, salary, transition
 
 TOP20_SQL = f"""top20 AS (SELECT role, skill_name FROM ({_frequency_sql('tagged', ['role'])})
@@ -21,7 +22,7 @@ def _tagged(spark, sf):
     jobs = postings(spark, sf)
     tagged = filters.by_role(jobs, roles(spark))
     top = market.top_skills(market.skill_frequency(jobs, roles=roles(spark)), 20, ["role"]).select("role", "skill_name")
-    return tagged, top
+    return tagged, cut_lineage(top)
 
 
 @query("j8_skill_pairs", f"""{P}, listed AS (SELECT job_url, unnest(skills) AS s FROM postings)
@@ -221,8 +222,8 @@ def t2(spark, sf):
 
 
 EXPLAIN_SQL = SCORED_SQL + """ SELECT profile_id, rank, job_url, job_title, company, match_score,
-    array_to_string([s for s in skills if list_contains(us, lower(s))], '|') AS matched_skills,
-    array_to_string([s for s in skills if NOT list_contains(us, lower(s))][1:8], '|') AS missing_skills,
+    array_to_string([lower(s) for s in skills if list_contains(us, lower(s))], '|') AS matched_skills,
+    array_to_string([lower(s) for s in skills if NOT list_contains(us, lower(s))][1:8], '|') AS missing_skills,
     CASE WHEN match_score > 70 THEN 'high' WHEN match_score > 40 THEN 'medium' ELSE 'low' END AS band FROM best"""
 
 
@@ -401,9 +402,9 @@ def _classified(spark, sf):
     return classify.classify_by_prototype(table(spark, sf, "documents").select("doc_id", "text"), _prototypes(spark, sf), stop=STOP)
 
 
-@query("c1_classify_by_prototype", f"WITH {TOKENS_SQL} SELECT doc_id, cluster_id, 'Item ' || cluster_id AS cluster_label, round(similarity, 7) AS similarity FROM classified")
+@query("c1_classify_by_prototype", f"WITH {TOKENS_SQL} SELECT doc_id, cluster_id, 'Item ' || cluster_id AS cluster_label, similarity FROM classified")
 def c1(spark, sf):
-    return _classified(spark, sf).select("doc_id", "cluster_id", "cluster_label", F.round("similarity", 7).alias("similarity"))
+    return _classified(spark, sf).select("doc_id", "cluster_id", "cluster_label", "similarity")
 
 
 @query("c2_stop_words", f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1)) AS word FROM documents)
@@ -417,16 +418,16 @@ def c2(spark, sf):
   means AS (SELECT cluster_id, term, round(sum(w) / any_value(size), 9) AS weight FROM unit JOIN classified ON kind = 'd' AND id = doc_id
     JOIN (SELECT cluster_id, count(*) AS size FROM classified GROUP BY 1) USING (cluster_id) GROUP BY 1, 2),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS rank FROM means QUALIFY rank <= 10)
-  SELECT item_id AS cluster_id, CAST(coalesce(rank, 1) AS INTEGER) AS rank, coalesce(term, 'no_data') AS term, round(coalesce(weight, 0.0), 7) AS weight FROM benchmark LEFT JOIN ranked ON item_id = cluster_id""")
+  SELECT item_id AS cluster_id, CAST(coalesce(rank, 1) AS INTEGER) AS rank, coalesce(term, 'no_data') AS term, coalesce(weight, 0.0) AS weight FROM benchmark LEFT JOIN ranked ON item_id = cluster_id""")
 def c3(spark, sf):
     out = classify.cluster_keywords(_classified(spark, sf), _prototypes(spark, sf), stop=STOP)
-    return out.withColumn("weight", F.round("weight", 7))
+    return out
 
 
-@query("j10_classify_cross", f"WITH {TOKENS_SQL} SELECT doc_id, cluster_id, round(similarity, 7) AS similarity FROM sim")
+@query("j10_classify_cross", f"WITH {TOKENS_SQL} SELECT doc_id, cluster_id, similarity FROM sim")
 def j10(spark, sf):
     docs, protos = table(spark, sf, "documents").select("doc_id", "text"), _prototypes(spark, sf)
-    return classify.similarities(docs, protos, stop=STOP).withColumn("similarity", F.round("similarity", 7))
+    return classify.similarities(docs, protos, stop=STOP)
 
 
 @query("c4_tfidf_pca_2d")

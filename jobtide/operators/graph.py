@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +32,64 @@ def degree_centrality(edges: DataFrame, vertices: DataFrame, by: Sequence[str] =
     return joined.withColumn("centrality", centrality).drop("_n")
 
 
-def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+MAX_GRAPH_VERTICES = 500
+
+
+def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = (), max_vertices: int = MAX_GRAPH_VERTICES) -> DataFrame:
     """Greedy modularity communities of the unweighted graphs: (by, node, community).
 
     Starts from single vertices and merges, in each graph, the two linked
-    communities whose merge raises modularity most, while it does not fall. All
-    graphs advance together, one merge per round, so the number of rounds is at
-    most the size of the largest graph (a top-k skill list). The gain of a merge
-    is compared as the integer 2mL - dd', which no summation order can change;
-    ties go to the smallest labels. A community is named after its smallest
-    vertex; isolated vertices stay alone.
+    communities whose merge raises modularity most, while it does not fall. The
+    gain of a merge is compared as the integer 2mL - dd', which no summation
+    order can change; ties go to the smallest labels. A community is named after
+    its smallest vertex; isolated vertices stay alone.
+
+    When every graph has at most ``max_vertices`` vertices, as top-k skill graphs
+    do, each graph is one task's work. Otherwise all graphs advance together,
+    one merge per round, as joins over the edge table.
     """
     keys = list(by) or ["_graph"]
     graph = lambda df: df if by else df.withColumn("_graph", F.lit(0))
-    links = cut_lineage(graph(edges).select(*keys, "src", "dst"))
+    links = graph(edges).select(*keys, "src", "dst")
+    nodes = graph(vertices).select(*keys, "node")
+    largest = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_vertices:
+        schema = nodes.withColumn("community", F.col("node")).schema
+        labels = nodes.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(_greedy_labels, schema)
+    else:
+        labels = _greedy_rounds(links, nodes, keys)
+    return labels.select(*by, "node", "community")
+
+
+def _greedy_labels(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Communities of one bounded graph."""
+    nodes = nodes.sort_values("node", ignore_index=True)
+    place = pd.Series(nodes.index, index=nodes["node"])
+    between = np.zeros((len(nodes), len(nodes)), dtype=np.int64)
+    src, dst = place[links["src"]].to_numpy(), place[links["dst"]].to_numpy()
+    between[src, dst] = between[dst, src] = 1
+    degree, m = between.sum(axis=1), len(links)
+    label = np.arange(len(nodes))
+    while True:
+        gain = np.where(np.triu(between, 1) > 0, 2 * m * between - np.outer(degree, degree), -1)
+        a, b = np.unravel_index(np.argmax(gain), gain.shape) if gain.size else (0, 0)
+        if not gain.size or gain[a, b] < 0:
+            return nodes.assign(community=nodes["node"].to_numpy()[label])
+        label[label == b] = a
+        between[a] += between[b]
+        between[:, a] += between[:, b]
+        between[b] = between[:, b] = 0
+        between[a, a] = 0
+        degree[a], degree[b] = degree[a] + degree[b], 0
+
+
+def _greedy_rounds(links: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The same merges for graphs of any size; every round is checkpointed."""
+    links = cut_lineage(links)
     totals = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
     degrees = _both_ways(links, keys).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree"))
     nodes = cut_lineage(
-        graph(vertices).select(*keys, "node").join(degrees, [*keys, "node"], "left")
-        .fillna(0, ["degree"]).withColumn("community", F.col("node"))
+        nodes.join(degrees, [*keys, "node"], "left").fillna(0, ["degree"]).withColumn("community", F.col("node"))
     )
     count = lambda df: df.select(*keys, "community").distinct().count()
     remaining = count(nodes)
@@ -72,7 +113,7 @@ def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = ()) -
         nodes = cut_lineage(nodes.join(merge, keys, "left").withColumn("community", merged).drop("_merge"))
         left = count(nodes)
         if left == remaining:
-            return nodes.select(*by, "node", "community")
+            return nodes
         remaining = left
 
 

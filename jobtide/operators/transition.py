@@ -15,6 +15,7 @@ from jobtide import dims
 from jobtide.operators.filters import role_titles
 from jobtide.operators.market import entry_experience, skill_frequency, top_skills
 from jobtide.operators.match import education_match, lower_all
+from jobtide.session import cut_lineage
 
 FEATURES = ["skill_ratio", "exp_gap", "loc_match", "edu_match", "difficulty"]
 FEATURE_NAMES = ["Skill Match", "Experience Fit", "Location Alignment", "Education Compatibility", "Role Complexity"]
@@ -109,6 +110,8 @@ def train_transition(labelled: DataFrame, features: list[str] = FEATURES, label:
     ``c`` is the inverse regularisation of the summed loss; with balanced weights
     summing to n the equivalent penalty of Spark's averaged loss is 1 / (c n).
     """
+    # Statistics, fit and evaluation read the same rows; compute them once.
+    labelled = cut_lineage(labelled.select(*features, label))
     numeric = [F.col(f).cast("double") for f in features]
     stats = labelled.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos"),
