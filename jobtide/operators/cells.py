@@ -25,7 +25,9 @@ def in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: st
     def place(df: DataFrame, row_id: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         spread: Column = F.pmod(F.xxhash64(F.col(row_id)), F.col(own_n)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))
-        return df.join(sizes, list(keys)).withColumn(own, spread).withColumn(other, copies).drop("_chunks", "_blocks")
+        placed = df.join(sizes, list(keys)).withColumn(own, spread).withColumn(other, copies).drop("_chunks", "_blocks")
+        # Fresh columns, in case both sides stem from one table.
+        return placed.toDF(*placed.columns)
 
     names = [*keys, "_chunk", "_block"]
     return (
