@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.market_queries import P, PR, ROLES, ROLES_SQL, _frequency_sql, roles
 from catalog.registry import query
-from catalog.tables import POSTINGS_SQL, PROFILES_SQL, postings, profiles, table
+from catalog.tables import POSTINGS_SQL, PROFILES_SQL, postings, profiles, stored_postings, table
 from jobtide import dims
 from jobtide.operators import associations as assoc
 from jobtide.session import cut_lineage
@@ -19,7 +19,7 @@ EDGES_SQL = f"""{PR}, {TOP20_SQL},
 
 
 def _tagged(spark, sf):
-    jobs = postings(spark, sf)
+    jobs = stored_postings(spark, sf)
     tagged = filters.by_role(jobs, roles(spark))
     top = market.top_skills(market.skill_frequency(jobs, roles=roles(spark)), 20, ["role"]).select("role", "skill_name")
     return tagged, cut_lineage(top)
@@ -177,7 +177,7 @@ def a8(spark, sf):
 def e8(spark, sf):
     from jobtide.plans.reports import association_report
 
-    return association_report(postings(spark, sf), "building", min_support=0.01)
+    return association_report(stored_postings(spark, sf), "building", min_support=0.01)
 
 
 # ------------------------------------------------------------------ matching
@@ -186,7 +186,7 @@ NEEDS = "CASE cluster_id % 4 WHEN 1 THEN {0}'Bachelor''s'{1} WHEN 2 THEN {0}'MBA
 
 
 def _jobs(spark, sf):
-    jobs = postings(spark, sf)
+    jobs = stored_postings(spark, sf)
     needs = F.expr(NEEDS.format("array(", ")", "CAST(array() AS array<string>)"))
     return jobs.withColumn("education_extracted", needs)
 
@@ -303,7 +303,7 @@ REP_SQL = f"""{PR}, f AS ({_frequency_sql('tagged', ['role'])}),
 
 @query("m7_representative_job", REP_SQL + " SELECT role, array_to_string(names, '|') AS skills, experience_min, array_to_string(location, '|') AS location FROM rep")
 def m7(spark, sf):
-    out = transition.representative_jobs(postings(spark, sf), roles(spark))
+    out = transition.representative_jobs(stored_postings(spark, sf), roles(spark))
     return out.select("role", F.array_join(F.col("skills.skill"), "|").alias("skills"), "experience_min", F.array_join("location", "|").alias("location"))
 
 
@@ -313,7 +313,7 @@ def m7(spark, sf):
     1.0::DOUBLE AS edu_match, CAST(len(names) AS DOUBLE) AS difficulty FROM u, rep""")
 def m8(spark, sf):
     people = transition.with_roles(profiles(spark, sf), ROLES)
-    out = transition.transition_features(people, transition.representative_jobs(postings(spark, sf), roles(spark)))
+    out = transition.transition_features(people, transition.representative_jobs(stored_postings(spark, sf), roles(spark)))
     return out.drop("missing").withColumn("skill_ratio", F.round("skill_ratio", 9))
 
 
@@ -344,7 +344,8 @@ def m11(spark, sf):
 def _transition_model(spark, sf):
     """Trained on the profiles themselves: ready when the skills or the years suffice."""
     people = transition.with_roles(profiles(spark, sf), ROLES)
-    rows = transition.transition_features(people, transition.representative_jobs(postings(spark, sf), roles(spark)))
+    jobs = stored_postings(spark, sf)
+    rows = transition.transition_features(people, cut_lineage(transition.representative_jobs(jobs, roles(spark))))
     ready = ((F.col("skill_ratio") > 0.2) & (F.col("exp_gap") <= 0) | (F.col("exp_gap") <= -8)).cast("int")
     return rows, transition.train_transition(rows.withColumn("label", ready))
 
@@ -358,7 +359,7 @@ def m10(spark, sf):
 @query("m12_transition_matrix")
 def m12(spark, sf):
     _, model = _transition_model(spark, sf)
-    return transition.transition_matrix(profiles(spark, sf), postings(spark, sf), model, ROLES)
+    return transition.transition_matrix(profiles(spark, sf), stored_postings(spark, sf), model, ROLES)
 
 
 @query("m13_salary_model_train")

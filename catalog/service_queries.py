@@ -6,10 +6,11 @@ from catalog.clean_queries import AS_OF, DICTIONARY_SQL, E1_SQL, HITS_SQL, _sql_
 from catalog.market_queries import ALIGN_SQL, P, REQUESTS, REQUESTS_SQL, ROLES, ROLES_SQL, requests, roles
 from catalog.match_queries import GAP_SQL, STOP
 from catalog.registry import query
-from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, postings, profiles, raw_postings, sql_city, sql_clean, sql_title, table
+from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, postings, profiles, raw_postings, stored_postings, sql_city, sql_clean, sql_title, table
 from jobtide import dims
 from jobtide.functions import text as tx
 from jobtide.operators import clean, filters, index, market, retrieval, routing
+from jobtide.operators.locations import known_roles
 from jobtide.plans import build, reports
 from jobtide.session import scratch_path
 from jobtide.sources import dictionary as dic
@@ -323,8 +324,6 @@ KNOWN_SQL = f"""{P}, {DICTIONARY_SQL}, {QUESTIONS_SQL}, known AS (SELECT lower(j
 
 
 def _known_roles(spark, sf):
-    from jobtide.operators.locations import known_roles
-
     phrases = phrase_dictionary(spark, sf).where("skill LIKE '% %'").select(F.lower("skill").alias("role"))
     return known_roles(postings(spark, sf), phrases)
 
@@ -378,7 +377,7 @@ INSIGHT_SQL = f"""{P}, {QUESTIONS_SQL}, known AS (SELECT lower(job_title) AS rol
   cskill AS (SELECT cluster_id, string_agg(v, ', ' ORDER BY c DESC, v) AS names FROM (SELECT cluster_id, v, count(*) AS c FROM (SELECT cluster_id, unnest(skills) AS v FROM postings) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, v) <= 5) GROUP BY 1),
   cfirm AS (SELECT cluster_id, string_agg(v, ', ' ORDER BY c DESC, v) AS firms FROM (SELECT cluster_id, company AS v, count(*) AS c FROM postings GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, v) <= 3) GROUP BY 1),
   joined AS (SELECT r.*, s.effective, coalesce(s.n, 0) AS n, skill_list, md, lo, hi, mn, coalesce(k, 0) AS k, names, firms, salary, n_role, n_local,
-      {sql_title('r.role')} AS role_title, CASE WHEN r.location IS NULL THEN '' WHEN effective IS NOT NULL THEN ' in ''' || {sql_title('r.location')} || '''' ELSE ' (Global/India context used due to limited data in ''' || {sql_title('r.location')} || ''')' END AS place
+      {sql_title('r.role')} AS role_title, CASE WHEN r.location IS NULL THEN '' WHEN s.effective IS NOT NULL THEN ' in ''' || {sql_title('r.location')} || '''' ELSE ' (Global/India context used due to limited data in ''' || {sql_title('r.location')} || ''')' END AS place
     FROM routed r LEFT JOIN slices s ON r.role = s.role AND r.location IS NOT DISTINCT FROM s.location
     LEFT JOIN lists l ON r.role = l.role AND s.effective IS NOT DISTINCT FROM l.effective
     LEFT JOIN pay p ON r.role = p.role AND r.location IS NOT DISTINCT FROM p.location
@@ -394,25 +393,21 @@ INSIGHT_SQL = f"""{P}, {QUESTIONS_SQL}, known AS (SELECT lower(job_title) AS rol
         || '- **Top Hiring Companies**: ' || firms || chr(10) || '- **Avg Cluster Salary**: ₹' || round_even(salary, 2) || ' LPA' || chr(10) END, '{routing.LOW_VOLUME}') AS insight FROM joined)"""
 
 
-def _routed(spark, sf):
-    from jobtide.operators.locations import known_roles
-
-    return routing.route_questions(questions(spark, sf), known_roles(postings(spark, sf)))
+def _routed(spark, sf, jobs):
+    return routing.route_questions(questions(spark, sf), known_roles(jobs))
 
 
 @query("q5_ml_insight_text", f"{INSIGHT_SQL} SELECT question_id, intent, insight FROM insights")
 def q5(spark, sf):
-    return routing.insight_text(_routed(spark, sf), postings(spark, sf)).select("question_id", "intent", "insight")
-
-
-def _chat(spark, sf):
-    routed = _routed(spark, sf)
-    return routed.withColumn("intent", routing.detect_intent(F.col("text"), dims.CHAT_INTENTS))
+    jobs = stored_postings(spark, sf)
+    return routing.insight_text(_routed(spark, sf, jobs), jobs).select("question_id", "intent", "insight")
 
 
 @query("q5_chat_insight")
 def q5_chat(spark, sf):
-    return routing.chat_insight(_chat(spark, sf), postings(spark, sf)).select("question_id", "intent", "insight")
+    jobs = stored_postings(spark, sf)
+    routed = _routed(spark, sf, jobs).withColumn("intent", routing.detect_intent(F.col("text"), dims.CHAT_INTENTS))
+    return routing.chat_insight(routed, jobs).select("question_id", "intent", "insight")
 
 
 FOLLOW_ROWS = ", ".join(f"('{i}', {n}, '{t.replace(chr(39), chr(39) * 2)}')" for i, ts in dims.FOLLOW_UPS.items() for n, t in enumerate(ts, 1))
@@ -431,16 +426,15 @@ PROMPT_SQL = """'ML Analysis Results:' || chr(10) || insight || chr(10) || chr(1
 
 @query("q7_augment_query", f"{INSIGHT_SQL} SELECT question_id, {PROMPT_SQL} AS prompt FROM insights")
 def q7(spark, sf):
-    answered = routing.insight_text(_routed(spark, sf), postings(spark, sf))
+    jobs = stored_postings(spark, sf)
+    answered = routing.insight_text(_routed(spark, sf, jobs), jobs)
     return routing.augment_query(answered).select("question_id", "prompt")
 
 
 @query("e5_answer_context", f"""{INSIGHT_SQL} SELECT question_id, intent, role, location, {PROMPT_SQL} AS prompt,
   role IS NOT NULL AND (n_role < 15 OR (location IS NOT NULL AND n_local < 15)) AS needs_scrape FROM insights""")
 def e5(spark, sf):
-    from jobtide.operators.locations import known_roles
-
-    jobs = postings(spark, sf)
+    jobs = stored_postings(spark, sf)
     out = build.answer_context(questions(spark, sf), known_roles(jobs), jobs)
     return out.select("question_id", "intent", "role", "location", "prompt", "needs_scrape")
 
@@ -470,12 +464,12 @@ def w4(spark, sf):
 
 
 @query("w6_low_yield_expand", """SELECT CAST(user_id AS VARCHAR) AS role, event_type AS location_group, CAST(min(day(ts)) AS INTEGER) AS start_page, count(*) AS n_cards, count(*) FILTER (value > 20) AS n_new,
-    CAST(CASE WHEN count(*) FILTER (value > 20) < 3 THEN min(day(ts)) + 2 END AS INTEGER) AS next_start FROM events GROUP BY 1, 2""")
+    CAST(CASE WHEN count(*) FILTER (value > 20) < 3 THEN min(day(ts)) + 2 ELSE 0 END AS INTEGER) AS next_start FROM events GROUP BY 1, 2""")
 def w6(spark, sf):
     seen = table(spark, sf, "events").groupBy(
         F.col("user_id").cast("string").alias("role"), F.col("event_type").alias("location_group"), F.dayofmonth("ts").alias("page")
     ).agg(F.count(F.lit(1)).alias("n_cards"), F.count_if(F.col("value") > 20).alias("n_new"))
-    return crawl.low_yield(seen, 2)
+    return crawl.low_yield(seen, 2).fillna(0, ["next_start"])
 
 
 @query("p15_slug_url", f"""{P} SELECT DISTINCT job_title, 'https://example.org/' || replace(lower(job_title), ' ', '-') || '-jobs-in-new-delhi-3' AS url FROM postings""")
@@ -514,7 +508,7 @@ def _landed_events(spark, sf):
         F.lit("Not Disclosed").alias("salary"), F.col("ts").cast("timestamp").alias("scraped_date"))
     path = scratch_path(spark, "landing")
     for v in (1, 2):
-        row(v).write.mode("append").csv(path, header=True, escape='"')
+        row(v).write.mode("append").csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return path
 
 
@@ -598,7 +592,7 @@ def e3(spark, sf):
 
 @query("e4_market_dashboard")
 def e4(spark, sf):
-    return reports.market_dashboard(postings(spark, sf), requests(spark))
+    return reports.market_dashboard(stored_postings(spark, sf), requests(spark))
 
 
 @query("e6_profile_report", f"""{GAP_SQL}, {ALIGN_SQL},
@@ -606,4 +600,4 @@ def e4(spark, sf):
   SELECT p.profile_id, role, score, CASE WHEN years_experience < p25 THEN 'Under-qualified' WHEN years_experience > p75 + 2 THEN 'Over-qualified' ELSE 'Perfectly Matched' END AS status
   FROM profiles p JOIN score USING (profile_id) JOIN q USING (role)""")
 def e6(spark, sf):
-    return reports.profile_report(profiles(spark, sf), postings(spark, sf)).select("profile_id", "role", "score", "status")
+    return reports.profile_report(profiles(spark, sf), stored_postings(spark, sf)).select("profile_id", "role", "score", "status")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.operators.clean import clean_postings
+from jobtide.session import scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,6 +71,13 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return clean_postings(raw, union_columns=("location", "skills_list"))
 
 
+def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned postings as a written table, for jobs that read them several times."""
+    path = scratch_path(spark, "postings")
+    postings(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """One profile per customer: skills bought, a target role by segment."""
     t = lambda n: table(spark, sf, n)

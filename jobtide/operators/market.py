@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from jobtide.functions.stats import t_pvalue, welch
 from jobtide.functions.text import normalize_skills
 from jobtide.operators.filters import role_titles
+from jobtide.session import broadcast_if_small
 
 SKILLS = "skills_list"
 
@@ -29,6 +30,13 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on grouping columns, where null is a group of its own."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, column: str, n: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Counts per value, most frequent first, ties by value; the first ``n`` per group."""
     counts = drop_null(df, column).groupBy(*by, column).agg(F.count(F.lit(1)).alias("count"))
@@ -73,7 +81,7 @@ def skill_frequency(postings: DataFrame, by: Sequence[str] = (), skills_col: str
             *[F.sum(c).alias(c) for c in ("count", "_salary", "_paid")]
         )
         totals = totals.join(bridge, "job_title").groupBy(*keys).agg(F.sum("_total").alias("_total"))
-    counted = skills.join(totals, keys) if keys else skills.withColumn("_total", totals.scalar())
+    counted = join_groups(skills, totals, keys) if keys else skills.withColumn("_total", totals.scalar())
     return counted.select(
         *keys, "skill_name", "count",
         F.when(F.col("_paid") > 0, F.col("_salary") / F.col("_paid")).alias("avg_salary"),
@@ -118,11 +126,11 @@ def skill_salary_impact(
     ]
     rows = explode_skills(paid, [*by, "salary_mid"], skills_col)
     if skills is not None:
-        rows = rows.join(F.broadcast(skills.select("skill_name").distinct()), "skill_name", "left_semi")
+        rows = rows.join(broadcast_if_small(skills.select("skill_name").distinct()), "skill_name", "left_semi")
     having = rows.groupBy(*by, "skill_name").agg(*moments)
     total = paid.groupBy(*by).agg(*[m.alias(f"t_{c}") for m, c in zip(moments, ("n", "mean", "var"))])
     if by:
-        both = having.join(total, list(by))
+        both = join_groups(having, total, by)
     else:
         packed = paid.agg(F.struct(*[m.alias(f"t_{c}") for m, c in zip(moments, ("n", "mean", "var"))]).alias("t"))
         both = having.withColumn("_t", packed.scalar()).select("*", "_t.*").drop("_t")
@@ -172,7 +180,7 @@ def weighted_percentiles(df: DataFrame, by: Sequence[str], value: str, points: S
         return counts.groupBy(*by).agg(F.percentile(value, levels, F.col("_n")).alias("p"), *extra)
     rough = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile_approx(value, levels, 10_000).alias("p"))
     sums = counts.groupBy(*by).agg(*extra)
-    return sums.join(rough, list(by)) if by else sums.withColumn("p", rough.scalar())
+    return join_groups(sums, rough, by) if by else sums.withColumn("p", rough.scalar())
 
 
 def salary_trends(postings: DataFrame, exact: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobtide import dims
 from jobtide.functions.text import contains_any, title_case
 from jobtide.operators import filters, market
+from jobtide.session import cut_lineage
 
 LOW_VOLUME = "⚠️ Note: Current market data volume is too low to provide statistical ML insights for this specific query."
 
@@ -86,7 +87,9 @@ def insight_text(routed: DataFrame, postings: DataFrame, min_rows: int = dims.MI
     """
     from jobtide.plans.reports import sliced_postings
 
-    slices = _slices(routed, postings, min_rows)
+    # Both are as long as the question list and enter several joins below.
+    routed = cut_lineage(routed)
+    slices = cut_lineage(_slices(routed, postings, min_rows))
     requests = slices.select("role", F.col("effective").alias("location")).distinct()
     tagged = sliced_postings(postings, requests)
     by = ["role", "wanted"]
