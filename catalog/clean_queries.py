@@ -12,7 +12,9 @@ from jobtide.operators import clean, skills
 from jobtide.sources import dictionary as dic
 from jobtide.sources import postings as src
 
-AS_OF = F.lit("2001-11-05").cast("timestamp")
+def as_of():
+    return F.lit("2001-11-05").cast("timestamp")
+
 
 
 @query("p1_clean_text_cols", f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents")
@@ -197,7 +199,7 @@ def g3(spark, sf):
 @query("l5_filter_fresh", f"""WITH {POSTINGS_SQL}
   SELECT job_url, scraped_date FROM postings WHERE scraped_date >= TIMESTAMP '2001-11-05' - INTERVAL 400 DAY""")
 def l5(spark, sf):
-    return clean.filter_fresh(postings(spark, sf), AS_OF, 400).select("job_url", "scraped_date")
+    return clean.filter_fresh(postings(spark, sf), as_of(), 400).select("job_url", "scraped_date")
 
 
 @query("i5_expire_stale", """SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY""")
@@ -229,7 +231,7 @@ def cleaned_with_skills(spark, sf, as_of=None, days=14):
   FROM postings p JOIN described USING (job_url) LEFT JOIN found USING (job_url)
   WHERE scraped_date >= TIMESTAMP '2001-11-05' - INTERVAL 1000 DAY""")
 def e1(spark, sf):
-    jobs = cleaned_with_skills(spark, sf, AS_OF, 1000)
+    jobs = cleaned_with_skills(spark, sf, as_of(), 1000)
     return jobs.select(
         "job_url", "job_title", "company", "experience_min", "experience_level", "salary_mid", "scraped_date",
         F.array_join("location", "|").alias("location"), "skills_text", "num_skills",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.clean_queries import AS_OF, DICTIONARY_SQL, E1_SQL, HITS_SQL, _sql_education, cleaned_with_skills, phrase_dictionary
+from catalog.clean_queries import DICTIONARY_SQL, HITS_SQL, _sql_education, phrase_dictionary
 from catalog.market_queries import ALIGN_SQL, P, REQUESTS, REQUESTS_SQL, ROLES, ROLES_SQL, requests, roles
 from catalog.match_queries import GAP_SQL, STOP
 from catalog.registry import query
