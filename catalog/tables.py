@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.operators.clean import clean_postings
-from jobtide.session import scratch_path
+from jobtide.session import scratch_path, spread
+
+
+# Tables with much work per row; the others are only joined or counted.
+WIDE_WORK = {"lineitem", "documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in WIDE_WORK else df
 
 
 ROLE_WORDS = ["Analyst", "Engineer", "Manager", "Designer"]

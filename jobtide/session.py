@@ -62,3 +62,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     one, where adaptive execution splits skewed partitions.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a table that was read in fewer pieces than there are cores.
+
+    A small file of one row group would keep all per-row work in one task; a
+    table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
