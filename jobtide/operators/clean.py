@@ -152,5 +152,6 @@ def clean_postings(
     df = with_job_id(parse_fields(df))
     if dictionary is not None:
         df = add_skill_fields(df, dictionary, compat)
-    df = df.withColumn("scraped_date", F.col("scraped_date").cast("timestamp"))
+    if df.schema["scraped_date"].dataType.typeName() == "string":
+        df = df.withColumn("scraped_date", F.col("scraped_date").cast("timestamp"))
     return df if as_of is None else filter_fresh(df, as_of, horizon_days)
