@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobtide import dims
 from jobtide.functions.text import normalize_skills
 from jobtide.operators.market import SKILLS
-from jobtide.session import broadcast_if_small
+from jobtide.session import broadcast_if_small, cut_lineage
 
 
 def baskets(postings: DataFrame, keep: Sequence[str] = (), skills: DataFrame | None = None, by: Sequence[str] = (), skills_col: str = SKILLS) -> DataFrame:
@@ -63,7 +63,8 @@ def skill_pairs(postings: DataFrame, skills: DataFrame, id_col: str = "job_url",
 
 def frequent_skill_sets(postings: DataFrame, min_support: float = 0.05, skills: DataFrame | None = None, skills_col: str = SKILLS) -> DataFrame:
     """(items, freq, n_baskets, support): skill sets in at least that share of the non-empty baskets."""
-    rows = baskets(postings, (), skills, (), skills_col)
+    # The miner passes over its baskets several times; derive them once.
+    rows = cut_lineage(baskets(postings, (), skills, (), skills_col))
     sets = FPGrowth(itemsCol="basket", minSupport=min_support).fit(rows).freqItemsets
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = sets.select(F.array_sort("items").alias("items"), "freq").withColumn("n_baskets", total)

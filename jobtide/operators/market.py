@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from jobtide.functions.stats import t_pvalue, welch
 from jobtide.functions.text import normalize_skills
 from jobtide.operators.filters import role_titles
-from jobtide.session import broadcast_if_small
+from jobtide.session import broadcast_if_small, cut_lineage
 
 SKILLS = "skills_list"
 
@@ -67,20 +67,12 @@ def skill_frequency(postings: DataFrame, by: Sequence[str] = (), skills_col: str
 
     Postings without skills count in the share's denominator.
     """
-    keys = list(by) if roles is None else [*by, "job_title"]
-    skills = explode_skills(postings, [*keys, "salary_mid"], skills_col).groupBy(*keys, "skill_name").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.sum("salary_mid").alias("_salary"),
-        F.count("salary_mid").alias("_paid"),
-    )
-    totals = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     if roles is not None:
-        bridge = role_titles(postings, roles)
-        keys = [*by, "role"]
-        skills = skills.join(bridge, "job_title").groupBy(*keys, "skill_name").agg(
-            *[F.sum(c).alias(c) for c in ("count", "_salary", "_paid")]
-        )
-        totals = totals.join(bridge, "job_title").groupBy(*keys).agg(F.sum("_total").alias("_total"))
+        keys, skills, totals = _role_skills(postings, by, skills_col, roles)
+    else:
+        keys = list(by)
+        skills = explode_skills(postings, [*keys, "salary_mid"], skills_col).groupBy(*keys, "skill_name").agg(*_skill_sums())
+        totals = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     counted = join_groups(skills, totals, keys) if keys else skills.withColumn("_total", totals.scalar())
     return counted.select(
         *keys, "skill_name", "count",
@@ -89,7 +81,31 @@ def skill_frequency(postings: DataFrame, by: Sequence[str] = (), skills_col: str
     )
 
 
-SKILL_ORDER = ("count", "skill_name")
+def _skill_sums() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("count"),
+        F.sum("salary_mid").alias("_salary"),
+        F.count("salary_mid").alias("_paid"),
+    ]
+
+
+def _role_skills(postings: DataFrame, by: Sequence[str], skills_col: str, roles: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
+    """Grouping columns, sums per skill and totals per role, from one pass over the postings.
+
+    Each posting counts once under a null skill, which gives totals and titles
+    too. The sums by title are stored, as three joins read them.
+    """
+    names = F.filter(normalize_skills(F.col(skills_col)), lambda s: s != "")
+    marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), names)).alias("skill_name")
+    rows = postings.select(*by, "job_title", "salary_mid", marked)
+    sums = cut_lineage(rows.groupBy(*by, "job_title", "skill_name").agg(*_skill_sums()))
+    tagged = sums.join(role_titles(sums, roles), "job_title")
+    keys = [*by, "role"]
+    skills = tagged.where("skill_name IS NOT NULL").groupBy(*keys, "skill_name").agg(
+        *[F.sum(c).alias(c) for c in ("count", "_salary", "_paid")]
+    )
+    totals = tagged.where("skill_name IS NULL").groupBy(*keys).agg(F.sum("count").alias("_total"))
+    return keys, skills, totals
 
 
 def top_skills(frequency: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
