@@ -109,21 +109,23 @@ ranked as (
 select doc_id, item_id, cast(start as integer) as start, cast(n_words as integer) as n_words, round(similarity, 6) as similarity
 from ranked where nth = 1"""
 
-#: The checksum goes through the text's bytes half by half with a table of 16 remainders, made by rule.
-SHARDING = """
-with recursive steps as (
-  select n, 0 as bit, n as crc from range(16) t(n)
-  union all
-  select n, bit + 1, case when crc & 1 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end from steps where bit < 4),
-halves as (select list(crc order by n) as t from steps where bit = 4),
-rows_ as (
+def remainder(n: int) -> int:
+    """CRC-32 remainder of half a byte (fixed value: the reflected polynomial)."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: The checksum takes the text's bytes half by half, the lower half first.
+SHARDING = f"""
+with rows_ as (
   select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as h from documents),
 nibbles as (
-  select doc_id, size, list_transform(range(length(h)), lambda i: strpos('0123456789ABCDEF', h[(i + 1 - 2 * (i % 2) + 1)::int]) - 1) as x from rows_),
+  select doc_id, size, list_transform(range(length(h)), lambda i: cast(strpos('0123456789ABCDEF', h[cast(i + 2 - 2 * (i % 2) as integer)]) - 1 as bigint)) as x
+  from rows_),
 summed as (
-  select doc_id, size,
-    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(x, lambda v: v::bigint)),
-      lambda crc, v: xor(crc >> 4, (select t from halves)[(xor(crc, v) & 15)::int + 1])), 4294967295) as text_crc32
+  select doc_id, size, xor(list_reduce(list_prepend(cast(4294967295 as bigint), x), lambda crc, v:
+      xor(crc >> 4, [{', '.join(f'{remainder(n)}::bigint' for n in range(16))}][cast((xor(crc, v) & 15) + 1 as integer)])), 4294967295) as text_crc32
   from nibbles),
 ordered as (
   select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and current row) - size as ahead,

@@ -179,7 +179,7 @@ def document_counts(sample: DataFrame) -> DataFrame:
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def learn(sample: DataFrame, least: int = 3, ratio: float = 8.0, evidence: float = 15.0) -> Lexicon:
+def learn(sample: DataFrame, least: int = 3, ratio: float = 8.0, evidence: float = 22.0) -> Lexicon:
     """The lexicon of a sample ``(text, y)``; see the module's text for the method."""
     size = sample.agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
     all1, all0 = size.n1 or 0, size.n - (size.n1 or 0)
@@ -192,7 +192,7 @@ def learn(sample: DataFrame, least: int = 3, ratio: float = 8.0, evidence: float
     terms = {}
     for r in sorted(found, key=lambda r: (-r.n1, r.word)):
         precision = (r.n1 + 0.5 * all1 / (all1 + all0)) / (r.n1 + r.n0 + 0.5)
-        if len(terms) < MAX_TERMS and r.n1 >= least + 1 and precision >= 0.6 and surprise(r.n1, r.n0, all1, all0) >= evidence:
+        if len(terms) < MAX_TERMS and r.n1 >= 2 * least and precision >= 0.6 and surprise(r.n1, r.n0, all1, all0) >= evidence:
             terms[r.word] = precision
     automaton = Automaton(terms)
     near = tally(sample, None, automaton).orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(MAX_FORMS).collect() if terms else []
