@@ -364,7 +364,7 @@ def m12(spark, sf):
 
 @query("m13_salary_model_train")
 def m13(spark, sf):
-    model = salary.train_salary_model(postings(spark, sf), trees=100, depth=8)
+    model = salary.train_salary_model(postings(spark, sf), trees=100)
     forest = model.stages.stages[-1]
     rows = [(n, float(w)) for n, w in enumerate(forest.featureImportances.toArray())]
     return spark.createDataFrame(rows, "input int, importance double").withColumn("trees", F.lit(forest.getNumTrees))
@@ -372,7 +372,7 @@ def m13(spark, sf):
 
 @query("m14_salary_predict")
 def m14(spark, sf):
-    model = salary.train_salary_model(postings(spark, sf), trees=100, depth=8)
+    model = salary.train_salary_model(postings(spark, sf), trees=100)
     people = profiles(spark, sf).withColumn("cluster_label", F.concat(F.lit("Cluster "), F.pmod(F.xxhash64("profile_id"), F.lit(20))))
     return salary.predict_salary(people, model).select("profile_id", "cluster_label", "predicted_salary")
 

@@ -6,7 +6,7 @@ from catalog.clean_queries import DICTIONARY_SQL, HITS_SQL, _sql_education, phra
 from catalog.market_queries import ALIGN_SQL, P, REQUESTS, REQUESTS_SQL, ROLES, ROLES_SQL, requests, roles
 from catalog.match_queries import GAP_SQL, STOP
 from catalog.registry import query
-from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, postings, profiles, raw_postings, stored_postings, sql_city, sql_clean, sql_title, table
+from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, full_postings, postings, profiles, raw_postings, stored_postings, sql_city, sql_clean, sql_title, table
 from jobtide import dims
 from jobtide.functions import text as tx
 from jobtide.operators import clean, filters, index, market, retrieval, routing
@@ -23,20 +23,21 @@ from jobtide.streaming import crawl, ingest
 
 
 def _landed(spark, sf):
-    """Raw postings written as CSV files."""
+    """Raw postings as CSV files of three layouts: other orders, and columns left out."""
     path = scratch_path(spark, "raw")
-    src.lists_as_text(raw_postings(spark, sf).drop("cluster_id", "cluster_label")).write.csv(path, header=True, escape='"')
-    return path
-
+    rows = src.lists_as_text(raw_postings(spark, sf).drop("cluster_id", "cluster_label"))
+    layouts = [rows.columns, rows.columns[::-1], sorted(set(rows.columns) - {"salary", "source"})]
+    for n, names in enumerate(layouts):
+        part = rows.where(F.expr(f"CAST(split(job_url, '=')[1] AS INT) % 3 = {n}"))
+        part.select(names).write.csv(f"{path}/layout{n}", header=True, escape='"')
+    return f"{path}/layout*"
 
-LANDED_SCHEMA = ("job_url string, job_title string, company string, experience_required string, salary string, job_description string, "
-                 "scraped_date timestamp, source string, source_file string, row_no bigint, location string, skills_list string")
 
-
-@query("s1_read_raw_postings", f"""WITH {RAW_SQL} SELECT job_url, source_file, row_no, job_title, company, experience_required, salary,
-  city_text AS location, p_name AS skills FROM raw""")
+@query("s1_read_raw_postings", f"""WITH {RAW_SQL}, laid AS (SELECT *, CAST(split_part(job_url, '=', 2) AS INTEGER) % 3 AS layout FROM raw)
+  SELECT job_url, source_file, row_no, job_title, company, experience_required, CASE WHEN layout < 2 THEN salary END AS salary,
+  city_text AS location, p_name AS skills FROM laid""")
 def s1(spark, sf):
-    raw = src.read_raw_postings(spark, _landed(spark, sf), LANDED_SCHEMA)
+    raw = src.read_raw_postings(spark, _landed(spark, sf))
     lists = [F.array_join("location", "|").alias("location"), F.array_join("skills_list", "|").alias("skills")]
     return raw.select("job_url", "source_file", "row_no", "job_title", "company", "experience_required", "salary", *lists)
 
@@ -93,11 +94,14 @@ def s6(spark, sf):
     return st.read_state(spark, path)
 
 
-@query("s7_read_resumes_text", f"""WITH {HITS_SQL} SELECT d.doc_id, CAST(length(text) AS INTEGER) AS char_count, {_sql_education('text')} AS education,
+@query("s7_read_resumes_text", f"""WITH {HITS_SQL} SELECT d.doc_id, CAST(length(text) + 1 AS INTEGER) AS char_count, {_sql_education('text')} AS education,
     coalesce(string_agg(skill, '|' ORDER BY skill), '') AS skills
   FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id WHERE length(text) > 0 GROUP BY d.doc_id, text""")
 def s7(spark, sf):
-    out = src.resume_facts(table(spark, sf, "documents").select("doc_id", "text"), phrase_dictionary(spark, sf), "doc_id")
+    path = scratch_path(spark, "resumes")  # one file for each text; the writer ends it with a line break
+    table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    resumes = src.read_resumes(spark, path).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long"))
+    out = src.resume_facts(resumes, phrase_dictionary(spark, sf), "doc_id")
     return out.select("doc_id", "char_count", F.array_join("education", "|").alias("education"), F.array_join("skills", "|").alias("skills"))
 
 
@@ -169,14 +173,14 @@ def j3(spark, sf):
     return crawl.frontier(events, ["click", "view", "purchase", "refund"], events.distinct())
 
 
-DOCS_SQL = f"""{P}, docs AS (SELECT job_url AS doc_id, source_file, 'Job Title: ' || job_title || chr(10) || 'Company: ' || company || chr(10) || 'Description: ' || chr(10) || 'Skills: ' AS text,
-    array_to_string(location, ', ') AS location, experience_level, coalesce(CAST(salary_mid AS VARCHAR), 'N/A') AS salary, cluster_id FROM postings)"""
+DOCS_SQL = f"""{P}, docs AS (SELECT job_url AS doc_id, source_file, 'Job Title: ' || job_title || chr(10) || 'Company: ' || company || chr(10) || 'Description: ' || job_description || chr(10) || 'Skills: ' || array_to_string(raw_skills, ', ') AS text,
+    array_to_string(location, ', ') AS location, experience_level, experience_min, coalesce(CAST(salary_mid AS VARCHAR), 'N/A') AS salary, cluster_id FROM postings)"""
 
 
 @query("p14_build_index_documents", DOCS_SQL + " SELECT doc_id, text, location, experience_level, salary, cluster_id, source_file FROM docs")
 def p14(spark, sf):
     m = lambda c: F.col(f"metadata.{c}").alias(c)
-    return index.index_documents(postings(spark, sf)).select("doc_id", "text", *[m(c) for c in ("location", "experience_level", "salary", "cluster_id", "source_file")])
+    return index.index_documents(full_postings(spark, sf)).select("doc_id", "text", *[m(c) for c in ("location", "experience_level", "salary", "cluster_id", "source_file")])
 
 
 BATCH_SQL = """SELECT doc_id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY substr(md5(doc_id), 1, 3), doc_id) - 1 AS position,
@@ -189,23 +193,29 @@ def p16(spark, sf):
     return index.batch_documents(docs).select("doc_id", "source_file", "position", "batch_id")
 
 
-@query("i3_incremental_index", f"{DOCS_SQL} SELECT doc_id, text FROM docs")
+@query("i3_incremental_index", f"""{DOCS_SQL}, parts AS (SELECT *, CASE WHEN experience_min < 4 THEN 0 ELSE 1 END AS run FROM docs),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY source_file, run ORDER BY substr(md5(doc_id), 1, 3), doc_id) - 1 AS position FROM parts),
+  firsts AS (SELECT source_file, max(CAST(floor(position / 10) AS BIGINT)) + 1 AS used FROM placed WHERE run = 0 GROUP BY 1)
+  SELECT doc_id, text, CAST(floor(position / 10) AS BIGINT) + CASE WHEN run = 1 THEN coalesce(used, 0) ELSE 0 END AS batch_id
+  FROM placed LEFT JOIN firsts USING (source_file)""")
 def i3(spark, sf):
     path = scratch_path(spark, "index")
-    jobs = postings(spark, sf)
+    jobs = full_postings(spark, sf)
+    again = jobs.withColumn("job_url", F.concat("job_url", F.lit("?x=2")))  # the same postings once more, later in the file
     index.append_index(index.incremental_index(jobs.where("experience_min < 4"), path), path)
-    index.append_index(index.incremental_index(jobs, path), path)
-    return spark.read.parquet(path).select("doc_id", "text")
+    index.append_index(index.incremental_index(jobs.union(again.withColumn("row_no", F.lit(2**62))), path), path)
+    return spark.read.parquet(path).select("doc_id", "text", "batch_id")
 
 
-@query("i6_rebuild_index_full", f"""{CLUSTERED_SQL}, firsts AS (SELECT url, {sql_clean('job_title')} AS job_title, {sql_clean('company')} AS company, source_file FROM numbered WHERE rn = 1)
-  SELECT url AS doc_id, 'Job Title: ' || f.job_title || chr(10) || 'Company: ' || f.company AS head, coalesce(c, -1) AS cluster_id, source_file FROM firsts f LEFT JOIN refs USING (job_title, company)""")
+@query("i6_rebuild_index_full", f"""{CLUSTERED_SQL}, firsts AS (SELECT url, {sql_clean('job_title')} AS job_title, {sql_clean('company')} AS company,
+    {sql_clean('job_description')} AS job_description, p_name, source_file FROM numbered WHERE rn = 1)
+  SELECT url AS doc_id, 'Job Title: ' || f.job_title || chr(10) || 'Company: ' || f.company || chr(10) || 'Description: ' || f.job_description
+    || chr(10) || 'Skills: ' || p_name AS text, coalesce(c, -1) AS cluster_id, source_file FROM firsts f LEFT JOIN refs USING (job_title, company)""")
 def i6(spark, sf):
-    raw = clean.clean_text_columns(raw_postings(spark, sf).drop("job_description"))
+    raw = clean.clean_text_columns(raw_postings(spark, sf)).withColumn("skills_text", F.array_join("skills_list", ", "))
     clusters = postings(spark, sf).where("scraped_date < TIMESTAMP '2000-01-01'")
     docs = index.rebuild_index(raw, clusters)
-    head = F.substring_index("text", "\n", 2)
-    return docs.select("doc_id", head.alias("head"), F.col("metadata.cluster_id").alias("cluster_id"), F.col("metadata.source_file").alias("source_file"))
+    return docs.select("doc_id", "text", F.col("metadata.cluster_id").alias("cluster_id"), F.col("metadata.source_file").alias("source_file"))
 
 
 # ----------------------------------------------------------------- retrieval
@@ -234,7 +244,7 @@ def r1(spark, sf):
 def r1_cells(spark, sf):
     queries, corpus = _vectors(spark, sf)
     everything = F.lit("all").alias("kind")
-    return retrieval.vector_topk(queries.select("*", everything), corpus.select("*", everything), k=5, match_on=["kind"], cell_rows=300)
+    return retrieval.vector_topk(queries.select("*", everything), corpus.select("*", everything), k=5, match_on=["kind"], block_rows=300)
 
 
 @query("r2_vector_topk_filtered", _hits_sql(1, "same_label AND query_id <> vec_id") + " SELECT query_id, vec_id, distance FROM hits")
@@ -499,7 +509,7 @@ def i4(spark, sf):
 
 
 def _landed_events(spark, sf):
-    """Events as raw postings, landed twice, the second time with another query part."""
+    """Events as raw postings, landed three times, with other query parts and in other column orders."""
     events = table(spark, sf, "events")
     row = lambda v: events.select(
         F.concat(F.lit("https://jobs.example/e/"), "event_id", F.lit(f"?v={v}")).alias("job_url"),
@@ -507,12 +517,12 @@ def _landed_events(spark, sf):
         F.lit("Bengaluru").alias("location"), F.expr("concat(user_id % 9, '-', user_id % 9 + 2, ' yrs')").alias("experience_required"),
         F.lit("Not Disclosed").alias("salary"), F.col("ts").cast("timestamp").alias("scraped_date"))
     path = scratch_path(spark, "landing")
-    for v in (1, 2):
-        row(v).write.mode("append").csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    for v in (1, 2, 3):  # three layouts
+        row(v).select(_EVENT_COLUMNS[v - 1 :] + _EVENT_COLUMNS[: v - 1]).write.mode("append").csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return path
 
 
-EVENT_SCHEMA = "job_url string, job_title string, company string, location string, experience_required string, salary string, scraped_date timestamp"
+_EVENT_COLUMNS = ["job_url", "job_title", "company", "location", "experience_required", "salary", "scraped_date"]
 EVENTS_SQL = """SELECT 'https://jobs.example/e/' || event_id AS job_url, event_type AS job_title, 'User ' || user_id AS company, 'Bangalore' AS location,
   CAST(user_id % 9 AS DOUBLE) AS experience_min, CAST(ts AS TIMESTAMP) AS scraped_date FROM events"""
 
@@ -522,7 +532,7 @@ def _event_rows(df):
 
 
 def _event_stream(spark, sf, **kw):
-    return ingest.clean_stream(ingest.read_raw_stream(spark, _landed_events(spark, sf), EVENT_SCHEMA), **kw)
+    return ingest.clean_stream(ingest.read_raw_stream(spark, _landed_events(spark, sf)), **kw)
 
 
 @query("i1_stream_ingest_postings", EVENTS_SQL + " WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
@@ -538,19 +548,19 @@ def i2(spark, sf):
     base = scratch_path(spark, "upsert")
     cleaned = clean.standardize_locations(clean.clean_text_columns(raw_postings(spark, sf))).withColumn("job_url", tx.canonical_url(F.col("job_url")))
     cleaned = cleaned.select("job_url", "job_title", "company", "location", "source_file", "row_no")
-    ingest.upsert_batch(cleaned.where("source_file < 'crawl_4.csv'"), 0, base)
-    ingest.upsert_batch(cleaned.where("source_file >= 'crawl_4.csv'"), 1, base)
-    return ingest.read_version(spark, base, 2).select("job_url", "job_title", "company", F.array_join("location", "|").alias("location"))
+    for part in ("source_file < 'crawl_4.csv'", "source_file >= 'crawl_4.csv'", "source_file > 'crawl_5.csv'"):
+        ingest.upsert_batch(cleaned.where(part), base)
+    return ingest.read_version(spark, base).select("job_url", "job_title", "company", F.array_join("location", "|").alias("location"))
 
 
 @query("i2_upsert_stream", EVENTS_SQL)
 def i2_stream(spark, sf):
     base = scratch_path(spark, "upserts")
-    raw = ingest.read_raw_stream(spark, _landed_events(spark, sf), EVENT_SCHEMA)
+    raw = ingest.read_raw_stream(spark, _landed_events(spark, sf), max_files=1)
     rows = clean.parse_fields(clean.standardize_locations(clean.clean_text_columns(raw)))
-    rows = rows.withColumns({"job_url": tx.canonical_url(F.col("job_url")), "source_file": F.lit("landing"), "row_no": F.lit(0)})
+    rows = rows.withColumn("job_url", tx.canonical_url(F.col("job_url")))
     ingest.upsert_stream(rows, base, f"{base}/checkpoint").awaitTermination()
-    return _event_rows(ingest.read_version(spark, base, 1))
+    return _event_rows(ingest.read_version(spark, base))
 
 
 # ---------------------------------------------------------------- composed jobs
@@ -576,8 +586,6 @@ def e2(spark, sf):
 def _landed_e2(spark, sf):
     path = scratch_path(spark, "landing")
     rows = raw_postings(spark, sf).drop("cluster_id", "cluster_label")
-    names = [c.split(" ")[0] for c in src.RAW_SCHEMA.split(", ")]
-    rows = rows.withColumn("posted_date", F.lit(None).cast("string")).select(*names)
     src.lists_as_text(rows).write.csv(path, header=True, escape='"')
     return path
 

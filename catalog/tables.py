@@ -76,6 +76,12 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return clean_postings(raw, union_columns=("location", "skills_list"))
 
 
+def full_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned postings with their descriptions and the text form of their skills."""
+    jobs = clean_postings(raw_postings(spark, sf), union_columns=("location", "skills_list"))
+    return jobs.withColumn("skills_text", F.array_join("skills_list", ", "))
+
+
 def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned postings as a written table, for jobs that read them several times."""
     path = scratch_path(spark, "postings")
@@ -166,7 +172,8 @@ numbered AS (
   FROM raw),
 merged AS (
   SELECT url AS job_url, arg_min({sql_clean('job_title')}, rn) AS job_title,
-    arg_min({sql_clean('company')}, rn) AS company,
+    arg_min({sql_clean('company')}, rn) AS company, arg_min({sql_clean('job_description')}, rn) AS job_description,
+    list_sort(list(DISTINCT p_name)) AS raw_skills,
     arg_min(experience_required, rn) FILTER (experience_required IS NOT NULL AND experience_required <> '') AS experience_required,
     arg_min(salary, rn) AS salary, arg_min(scraped_date, rn) AS scraped_date,
     arg_min(source_file, rn) AS source_file, arg_min(cluster_id, rn) AS cluster_id,
@@ -179,7 +186,7 @@ parsed AS (
     CASE WHEN NOT contains(salary, 'Not Disclosed') THEN {SQL_LAKHS} END AS sn
   FROM merged),
 postings AS (
-  SELECT job_url, job_title, company, location, skills, salary, scraped_date, source_file, cluster_id, cluster_label,
+  SELECT job_url, job_title, company, job_description, raw_skills, location, skills, salary, scraped_date, source_file, cluster_id, cluster_label,
     coalesce(en[1], 0.0) AS experience_min,
     CASE WHEN len(en) >= 2 THEN en[2] WHEN len(en) = 1 THEN en[1] + 2.0 ELSE 0.0 END AS experience_max,
     {sql_level('coalesce(en[1], 0.0)')} AS experience_level,

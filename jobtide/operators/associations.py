@@ -68,7 +68,8 @@ def frequent_skill_sets(postings: DataFrame, min_support: float = 0.05, skills:
     sets = FPGrowth(itemsCol="basket", minSupport=min_support).fit(rows).freqItemsets
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = sets.select(F.array_sort("items").alias("items"), "freq").withColumn("n_baskets", total)
-    return counted.withColumn("support", F.col("freq") / F.col("n_baskets"))
+    # Rules read the sets three times, and mining is the costly part.
+    return cut_lineage(counted.withColumn("support", F.col("freq") / F.col("n_baskets")))
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, max_consequent: int | None = None) -> DataFrame:
@@ -78,15 +79,19 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0, max_consequent
     two equi-joins of the itemsets with themselves.
     """
     sets = itemsets.select("items", "support")
-    masks = F.expr("sequence(1, shiftleft(1, size(items)) - 2)")
-    parts = (
-        sets.where(F.size("items") >= 2)
-        .withColumn("_mask", F.explode(masks))
-        .withColumn("antecedents", F.expr("filter(items, (x, i) -> getbit(_mask, i) = 1)"))
-        .withColumn("consequents", F.array_except("items", "antecedents"))
-    )
-    if max_consequent is not None:
-        parts = parts.where(F.size("consequents") <= max_consequent)
+    pairs = sets.where(F.size("items") >= 2)
+    if max_consequent == 1:  # one split for each item
+        parts = pairs.withColumn("_one", F.explode("items")).select(
+            "items", "support", F.array_remove("items", F.col("_one")).alias("antecedents"), F.array("_one").alias("consequents"))
+    else:
+        masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")
+        parts = (
+            pairs.withColumn("_mask", F.explode(masks))
+            .withColumn("antecedents", F.expr("filter(items, (x, i) -> getbit(_mask, i) = 1)"))
+            .withColumn("consequents", F.array_except("items", "antecedents"))
+        )
+        if max_consequent is not None:
+            parts = parts.where(F.size("consequents") <= max_consequent)
     side = lambda name: sets.select(F.col("items").alias(name), F.col("support").alias(f"{name}_support"))
     rules = parts.join(side("antecedents"), "antecedents").join(side("consequents"), "consequents")
     supp, a, c = F.col("support"), F.col("antecedents_support"), F.col("consequents_support")

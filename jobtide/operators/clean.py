@@ -52,41 +52,42 @@ def filter_fresh(df: DataFrame, as_of: Column, days: int = dims.FRESHNESS_DAYS,
     return df.where(F.col(column) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def posting_key(key: str = "job_url") -> Column:
+    """What tells postings apart: the URL, or title and company where there is none."""
+    apart = F.sha2(F.concat_ws("\u0001", "job_title", "company"), 256)
+    return F.when(F.coalesce(F.col(key), F.lit("")) == "", apart).otherwise(F.col(key))
+
+
+def total_order(df: DataFrame, order_by: Sequence[str] = ORDER) -> Column:
+    """The order columns that the table has, then a hash of the row, so that "first" is never random."""
+    return F.struct(*[c for c in order_by if c in df.columns], F.xxhash64(*df.columns))
+
+
 def merge_duplicates(
     postings: DataFrame,
     key: str = "job_url",
     order_by: Sequence[str] = ORDER,
     union_columns: Sequence[str] = ("location",),
     compat: bool = False,
+    id_column: str | None = None,
 ) -> DataFrame:
     """One row per key: the first filled value of each column, the union of list columns.
 
-    "First" follows ``order_by``. Null and '' count as not filled; with ``compat``
+    "First" follows ``order_by``, then a hash of the row. Null and '' count as not filled; with ``compat``
     only null does, and all rows without a key merge into one. By default rows
-    without a key are kept apart by title and company.
+    without a key are kept apart by title and company. ``id_column`` adds the hash of
+    what the row was merged by, which is unique.
 
-    One shuffle. The aggregate states are one value per plain column and the
+    The plain columns and the list columns are aggregated apart, on the same key: only
+    the key and the elements of the lists are multiplied. The states are one value per plain column and the
     distinct elements per list column, and both are combined before the
     shuffle, so a key that holds a large share of all rows stays cheap.
     """
     unions = [c for c in union_columns if c in postings.columns]
-    plain = [c for c in postings.columns if c != key and c not in unions]
+    plain = [c for c in postings.columns if c != key and c not in unions and c != id_column]
     strings = {f.name for f in postings.schema if f.dataType.typeName() == "string"}
-
-    group = F.coalesce(F.col(key), F.lit(""))
-    if not compat:
-        apart = F.sha2(F.concat_ws("\u0001", "job_title", "company"), 256)
-        group = F.when(group == "", apart).otherwise(group)
-
-    def tag(c: str) -> Column:
-        items = F.coalesce(F.col(c), F.array().cast("array<string>"))
-        return F.transform(items, lambda x: F.struct(F.lit(c).alias("tag"), x.alias("item")))
-
-    tagged = [tag(c) for c in unions]
-    order = F.struct(*order_by)
-    rows = postings.withColumns({"_key": group, "_order": order})
-    if tagged:
-        rows = rows.withColumn("_item", F.explode_outer(F.concat(*tagged)))
+    group = F.coalesce(F.col(key), F.lit("")) if compat else posting_key(key)
+    rows = postings.withColumns({"_key": group, "_order": total_order(postings, order_by)})
 
     def first_filled(c: str) -> Column:
         filled = F.col(c).isNotNull()
@@ -95,19 +96,28 @@ def merge_duplicates(
         return F.min_by(F.col(c), F.when(filled, F.col("_order"))).alias(c)
 
     aggs = [first_filled(c) for c in plain]
-    aggs += [
-        F.array_sort(F.collect_set(F.when(F.col("_item.tag") == c, F.col("_item.item")))).alias(c)
-        for c in unions
-    ]
     aggs.append(F.min_by(F.coalesce(F.col(key), F.lit("")), F.col("_order")).alias(key))
     merged = rows.groupBy("_key").agg(*aggs)
-    return merged.select(*postings.columns)
+    if unions:
+        empty = F.array().cast("array<string>")
+        tag = lambda c: F.transform(F.coalesce(F.col(c), empty), lambda x: F.struct(F.lit(c).alias("tag"), x.alias("item")))
+        tagged = [tag(c) for c in unions]
+        items = rows.select("_key", F.explode(F.concat(*tagged)).alias("_item"))
+        lists = items.groupBy("_key").agg(*[
+            F.array_sort(F.collect_set(F.when(F.col("_item.tag") == c, F.col("_item.item")))).alias(c) for c in unions])
+        merged = merged.join(lists, "_key", "left").withColumns({c: F.coalesce(F.col(c), empty) for c in unions})
+    if id_column:
+        merged = merged.withColumn(id_column, F.sha2("_key", 256))
+    return merged.select(*dict.fromkeys([*postings.columns, *([id_column] if id_column else [])]))
 
 
 def drop_duplicate_urls(postings: DataFrame, key: str = "job_url", order_by: Sequence[str] = ORDER) -> DataFrame:
-    """The first row of each key. A constant-size aggregate state, no per-key sort."""
+    """The first row of each key; rows alike in ``order_by`` go by a hash of the row.
+
+    A constant-size aggregate state, no per-key sort.
+    """
     row = F.struct(*postings.columns)
-    return postings.groupBy(key).agg(F.min_by(row, F.struct(*order_by)).alias("_row")).select("_row.*")
+    return postings.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, total_order(postings, order_by)).alias("_row")).select("_row.*")
 
 
 def merge_search_locations(found: DataFrame, key: str = "job_url", location: str = "location") -> DataFrame:
@@ -124,7 +134,7 @@ def add_skill_fields(df: DataFrame, dictionary: DataFrame, compat: bool = False)
     has_text = "job_description" in df.columns
     described = F.coalesce(F.col("job_description"), F.lit("")) if has_text else F.col("job_title")
     full = F.concat_ws(" ", F.coalesce("job_title", F.lit("")), described) if has_text else described
-    out = extract_skills(df.withColumn("_text", full), dictionary, "job_url", "_text").drop("_text")
+    out = extract_skills(df.withColumn("_text", full), dictionary, "job_id", "_text").drop("_text")
     return out.withColumns({
         "education_extracted": tx.education(described, compat),
         "skills_text": F.array_join("skills_extracted", ", "),
@@ -148,7 +158,7 @@ def clean_postings(
     if "job_url" in df.columns:
         if not compat:
             df = df.withColumn("job_url", tx.canonical_url(F.col("job_url")))
-        df = merge_duplicates(df, union_columns=union_columns, compat=compat)
+        df = merge_duplicates(df, union_columns=union_columns, compat=compat, id_column="job_id")
     df = with_job_id(parse_fields(df))
     if dictionary is not None:
         df = add_skill_fields(df, dictionary, compat)

@@ -285,7 +285,7 @@ def cluster_profile(postings: DataFrame, skills_col: str = SKILLS) -> DataFrame:
     return base.join(lists, "cluster_id", "left")
 
 
-def experience_alignment(profiles: DataFrame, postings: DataFrame, role_col: str = "target_role", exact: bool = True) -> DataFrame:
+def experience_alignment(profiles: DataFrame, postings: DataFrame, role_col: str = "target_role") -> DataFrame:
     """How each profile's years compare with the experience its target role asks for.
 
     The role's distribution is counted once (title, then role); profiles meet

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.operators.cells import in_cells, smallest_per_row
+from jobtide.operators.cells import smallest_per_row
 from jobtide.operators.market import top_n
 
-MAX_SHIPPED_QUERIES = 2_000
 # Vectors are single precision; differences below this are noise.
 DIGITS = 6
 
@@ -40,21 +40,24 @@ def vector_topk(
     query_id: str = "query_id",
     doc_id: str = "vec_id",
     vector: str = "embedding",
-    cell_rows: int = 4_000,
+    block_rows: int = 2_000,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of each query: (query, rank, doc, distance); exact.
 
     Ties go to the smaller id. ``match_on`` names metadata columns that must be
-    equal on both sides. A batch of at most ``MAX_SHIPPED_QUERIES`` queries goes
-    to the corpus, which then needs no shuffle; a larger one, or a filtered one,
-    is compared in cells of bounded size. Either way a task emits at most k rows
-    per query, never the distances.
+    equal on both sides; null equals nothing. The corpus stays where it is: queries travel to it in blocks of
+    about ``block_rows`` (dealt by hash of their id), one pass over the corpus for each block. A task
+    emits at most k rows per query, never the distances.
     """
     id_type = corpus.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {doc_id} {id_type}, distance double"
-    docs = corpus.select(*match_on, doc_id, F.col(vector).alias("_v"))
-    asked = queries.select(*match_on, query_id, F.col(vector).alias("_v"))
+    keys = list(match_on)
+    docs = corpus.select(*keys, doc_id, F.col(vector).alias("_v"))
+    asked = queries.select(*keys, query_id, F.col(vector).alias("_v"))
+    blocks = -(-asked.count() // block_rows)
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
 
     def nearest(q_ids, q_vectors, d_ids, d_vectors) -> pd.DataFrame:
         order = np.argsort(d_ids, kind="stable")
@@ -62,34 +65,33 @@ def vector_topk(
         rows, cols = smallest_per_row(cost, k)
         return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[order][cols], "distance": cost[rows, cols]})
 
-    shipped = [] if match_on else asked.limit(MAX_SHIPPED_QUERIES + 1).collect()
-    if not match_on and len(shipped) <= MAX_SHIPPED_QUERIES:
-        if not shipped:
-            return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
-        q_ids = np.array([r[query_id] for r in shipped])
-        q_vectors = np.array([r["_v"] for r in shipped], dtype=np.float64)
+    def one_block(block: int) -> DataFrame:
+        shipped = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).collect()
+        groups: dict[tuple, list] = {}
+        for r in shipped:
+            groups.setdefault(tuple(r[c] for c in keys), []).append(r)
+        known = {
+            group: (np.array([r[query_id] for r in rows]), np.array([r["_v"] for r in rows], dtype=np.float64))
+            for group, rows in groups.items() if None not in group
+        }
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for batch in batches:
-                found = nearest(q_ids, q_vectors, batch[doc_id].to_numpy(), _matrix(batch["_v"]))
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["distance", doc_id]).groupby(query_id, sort=False).head(k)
+                parts = batch.groupby(keys, sort=False) if keys else [((), batch)]
+                for group, part in parts:
+                    if group not in known:
+                        continue
+                    found = nearest(*known[group], part[doc_id].to_numpy(), _matrix(part["_v"]))
+                    best = found if best is None else pd.concat([best, found])
+                if best is not None:
+                    best = best.sort_values(["distance", doc_id]).groupby(query_id, sort=False).head(k)
             if best is not None:
                 yield best
 
-        partial = docs.mapInPandas(scan, schema)
-    else:
-        keys = list(match_on) or ["_all"]
-        whole = lambda df: df if match_on else df.withColumn("_all", F.lit(0))
-        left, right, names = in_cells(whole(docs), whole(asked), keys, doc_id, query_id, cell_rows)
-
-        def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            if not len(d) or not len(q):
-                return pd.DataFrame({query_id: [], doc_id: [], "distance": []})
-            return nearest(q[query_id].to_numpy(), _matrix(q["_v"]), d[doc_id].to_numpy(), _matrix(d["_v"]))
+        return docs.mapInPandas(scan, schema)
 
-        partial = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(cell, schema)
+    partial = reduce(DataFrame.union, map(one_block, range(blocks)))
     return top_n(partial, [query_id], [F.col("distance"), F.col(doc_id)], k)
 
 

@@ -197,15 +197,14 @@ def history_window(turns: DataFrame, exchanges: int = 5, block: int = 1_000) ->
     """Each turn with the ``exchanges`` exchanges (two turns each) before it.
 
     ``turn`` is the position within the conversation. A conversation is cut into
-    blocks of positions and every block also receives the turns just before it,
+    blocks of positions and a turn goes to its own block and to all that its reach touches,
     so a conversation of any length spreads over many tasks.
     """
     from pyspark.sql import Window
 
     reach = 2 * exchanges
     own = F.floor(F.col("turn") / block)
-    spills = F.col("turn") % block >= block - reach
-    copies = F.when(spills, F.array(own, own + 1)).otherwise(F.array(own))
+    copies = F.sequence(own, F.floor((F.col("turn") + reach) / block))
     rows = turns.select("conv_id", "turn", "role", "text", own.alias("_own"), F.explode(copies).alias("_block"))
     window = Window.partitionBy("conv_id", "_block").orderBy("turn").rangeBetween(-reach, -1)
     history = F.collect_list(F.struct("turn", "role", "text")).over(window)

@@ -9,11 +9,13 @@ either an equi-join (any dictionary) or a set intersection inside the row
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.text import WORD
-from jobtide.session import broadcast_if_small
+from jobtide.session import broadcast_if_small, cut_lineage
 from jobtide.sources.dictionary import usable_skills
 
 RUN = rf"([{WORD}]+|[^{WORD}]+)"
@@ -27,15 +29,30 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(trimmed, F.lit(RUN), 1)
 
 
-def _unedged(dictionary: DataFrame) -> list[str]:
-    """Entries such as ``C++`` that do not begin and end with a word character.
+def _unedged(dictionary: DataFrame) -> DataFrame:
+    """(skill, word) of entries such as ``C++`` that do not begin and end with a word character.
+
+    They have no span. ``word`` is their first word run in lower case, null if they have none.
+    """
+    rows = usable_skills(dictionary).where(~F.lower("skill").rlike(EDGED)).select("skill")
+    word = F.regexp_extract(F.lower("skill"), rf"[{WORD}]+", 0)
+    return rows.withColumn("word", F.when(word != "", word))
+
+
+def _unedged_hits(docs: DataFrame, others: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, skill) of unedged entries: documents that hold an entry's first word, then its own pattern.
 
-    They have no span; each is tested by its own pattern, so they must be few.
+    Entries without any word cannot be looked up; they are tested in blocks of patterns.
     """
-    rows = usable_skills(dictionary).where(~F.lower("skill").rlike(EDGED)).limit(MAX_LITERAL_SKILLS + 1).collect()
-    if len(rows) > MAX_LITERAL_SKILLS:
-        raise ValueError("too many dictionary entries without a word character at both ends")
-    return sorted(r["skill"] for r in rows)
+    text = F.lower(text_col)
+    words = docs.select(id_col, F.col(text_col).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"([{WORD}]+)"), 1))).alias("word"))
+    pattern = F.concat(F.lit(r"(?iU)\b\Q"), "skill", F.lit(r"\E\b"))
+    # The word of the entry may be part of a longer one in the text only if the pattern fails, so equality is enough.
+    hits = words.join(others.where("word IS NOT NULL"), "word").where(F.rlike(F.col("_text"), pattern)).select(id_col, "skill")
+    signs = sorted(r["skill"] for r in others.where("word IS NULL").collect())
+    for at in range(0, len(signs), MAX_LITERAL_SKILLS):
+        hits = hits.union(docs.select(id_col, F.explode(_pattern_hits(F.col(text_col), signs[at : at + MAX_LITERAL_SKILLS]))))
+    return hits
 
 
 def _pattern_hits(text: Column, names: list[str]) -> Column:
@@ -71,10 +88,7 @@ def match_dictionary(docs: DataFrame, dictionary: DataFrame, id_col: str, text_c
     runs = F.filter(F.array(_runs(F.col(text_col))), lambda r: F.size(r) > 0)
     spans = docs.select(id_col, F.explode(F.flatten(F.transform(runs, all_spans))).alias("key"))
     hits = spans.join(broadcast_if_small(keyed.select("key", "skill")), "key").select(id_col, "skill")
-    others = _unedged(dictionary)
-    if others:
-        hits = hits.union(docs.select(id_col, F.explode(_pattern_hits(F.col(text_col), others))))
-    return hits.distinct()
+    return hits.union(_unedged_hits(docs, _unedged(dictionary), id_col, text_col)).distinct()
 
 
 def _span(runs: Column, start: Column, words: int) -> Column:
@@ -87,18 +101,21 @@ def extract_skills(
 ) -> DataFrame:
     """Add the sorted array of dictionary skills that occur in the text.
 
-    A dictionary of at most ``MAX_LITERAL_SKILLS`` entries is matched inside the
-    row, without a shuffle; a longer one goes through :func:`match_dictionary`.
+    Entries are matched inside the row while at most ``MAX_LITERAL_SKILLS`` have to be put into the
+    plan. Beyond that the rows are numbered, matched by :func:`match_dictionary` and
+    joined back by number. Both ways give the same row for a row, whatever its id.
     """
-    keyed = _keyed(dictionary)
-    entries = keyed.limit(MAX_LITERAL_SKILLS + 1).collect()
+    entries = usable_skills(dictionary).select("skill").limit(MAX_LITERAL_SKILLS + 1).collect()
     if len(entries) > MAX_LITERAL_SKILLS:
-        hits = match_dictionary(docs, dictionary, id_col, text_col)
-        found = hits.groupBy(id_col).agg(F.array_sort(F.collect_set("skill")).alias(out))
+        rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+        hits = match_dictionary(rows.select("_row", text_col), dictionary, "_row", text_col)
+        found = hits.groupBy("_row").agg(F.array_sort(F.collect_set("skill")).alias(out))
         empty = F.array().cast("array<string>")
-        return docs.join(found, id_col, "left").withColumn(out, F.coalesce(out, empty))
-    found = skills_in(F.col(text_col), [(e["key"], e["skill"]) for e in entries])
-    others = _unedged(dictionary)
+        return rows.join(found, "_row", "left").withColumn(out, F.coalesce(out, empty)).drop("_row")
+    names = sorted(e["skill"] for e in entries)
+    edged = [n for n in names if re.fullmatch(r"(?s)\w(.*\w)?", n.lower())]
+    found = skills_in(F.col(text_col), [(n.lower(), n) for n in edged])
+    others = sorted(set(names) - set(edged))
     if others:
         found = F.array_sort(F.array_union(found, _pattern_hits(F.col(text_col), others)))
     return docs.withColumn(out, found)
@@ -145,9 +162,7 @@ def skills_in(text: Column, entries: list[tuple[str, str]]) -> Column:
 
 
 def _split_words(key: str) -> list[str]:
-    import regex
-
-    return regex.findall(rf"[{WORD}]+", key)
+    return re.findall(r"\w+", key)
 
 
 def _let(value: Column, body) -> Column:

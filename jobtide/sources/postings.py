@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtide import dims
 from jobtide.functions import text as tx
 from jobtide.operators.skills import extract_skills
 
-RAW_SCHEMA = (
-    "job_title string, company string, location string, experience_required string, salary string, "
-    "skills_list string, job_description string, posted_date string, job_url string, source string, "
-    "scraped_date timestamp, source_file string, row_no bigint"
-)
+#: Columns with another type than text.
+RAW_KINDS = {"scraped_date": "timestamp", "row_no": "bigint"}
+RAW_COLUMNS = [
+    "job_title", "company", "location", "experience_required", "salary", "skills_list", "job_description", "posted_date",
+    "job_url", "source", "scraped_date", "source_file", "row_no",
+]
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 
 
-def read_raw_postings(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> DataFrame:
+def header_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """The distinct headers of CSV files, each with the files that have it.
+
+    One pass over the first block of each file as plain lines; what comes to the driver is the list of files,
+    which the reader lists there anyway. A header must not hold line breaks.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), "value").where("block = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    return [(next(csv.reader([r["head"].lstrip("\ufeff").strip()])), r["files"]) for r in found if r["head"].strip()]
+
+
+def read_raw_postings(spark: SparkSession, path: str, kinds: dict[str, str] = RAW_KINDS) -> DataFrame:
     """All raw CSV files of a folder or pattern, unreadable files left out.
 
-    List cells arrive as text and leave as arrays. Columns a file lacks are null.
+    Columns are bound by the header of each file; files of one layout are read together
+    and layouts are stacked by name. Columns that no file has are null. Rows without a file name and row number of their own get
+    the file's name and a number that rises within the file. List cells
+    arrive as text and leave as arrays. A file is read by one task, so landing files should stay below some
+    hundred megabytes.
     """
-    raw = (
-        spark.read.schema(schema)
-        .options(**CSV_OPTIONS)
-        .option("ignoreCorruptFiles", True)
-        .csv(path)
-    )
-    return revive_lists(raw)
+    tables = []
+    for names, files in header_layouts(spark, path):
+        columns = [f"{n}_{names[:i].count(n)}" if n in names[:i] else n for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        rows = spark.read.schema(schema).options(**CSV_OPTIONS).option("ignoreCorruptFiles", True).csv(files)
+        tables.append(rows.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.monotonically_increasing_id() % (1 << 33)}))
+    if not tables:
+        return revive_lists(spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in RAW_COLUMNS)))
+    return revive_lists(typed(stack(tables), kinds))
+
+
+def typed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Text rows with all raw columns in their types; ``_file`` and ``_row`` fill gaps and go."""
+    lacking = {c: F.lit(None).cast("string") for c in RAW_COLUMNS if c not in rows.columns}
+    rows = rows.withColumns(lacking)
+    rows = rows.withColumns({c: F.col(c).try_cast(kind) for c, kind in kinds.items()})
+    rows = rows.withColumns({"source_file": F.coalesce("source_file", "_file"), "row_no": F.coalesce("row_no", "_row")})
+    rest = [c for c in rows.columns if c not in RAW_COLUMNS and c not in ("_file", "_row")]
+    return rows.select(*RAW_COLUMNS, *rest)
 
 
 def stack(tables: list[DataFrame]) -> DataFrame:
@@ -76,12 +110,18 @@ def write_processed(df: DataFrame, path: str, partition_by: str | None = None) -
 
 
 def append_processed(batch: DataFrame, path: str, key: str = "job_url") -> None:
-    """Append the rows whose key the table does not hold yet, so that a replay adds nothing."""
+    """Append the rows that the table does not hold yet, one for each posting, so that a replay adds nothing.
+
+    Postings are told apart as in the merge: by URL without its query part, or by title and company.
+    """
+    from jobtide.operators import clean
+
     spark = batch.sparkSession
+    keyed = lambda df: df.withColumn("_url", tx.canonical_url(F.col(key))).withColumn("_key", clean.posting_key("_url"))
+    rows = clean.drop_duplicate_urls(keyed(batch), "_key")
     if path_exists(spark, path):
-        known = spark.read.parquet(path).select(key)
-        batch = batch.join(known, key, "left_anti")
-    batch.write.mode("append").parquet(path)
+        rows = rows.join(keyed(spark.read.parquet(path)).select("_key").distinct(), "_key", "left_anti")
+    rows.select(batch.columns).write.mode("append").parquet(path)
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:

@@ -124,3 +124,51 @@ def test_resume_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("")
     facts = src.resume_facts(src.read_resumes(spark, str(tmp_path)), dic.builtin_skills(spark)).collect()
     assert [(r["skills"], r["education"], r["char_count"]) for r in facts] == [(["Python"], ["MBA"], 11)]
+
+
+def test_raw_files_bind_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('job_title,company,job_url,experience_required,extra\nDev,"A, Inc.",u1,1-2,x\n"Two\nlines",B,u2,,\n')
+    (tmp_path / "b.csv").write_text("﻿job_url,salary,job_title\nu3,5 LPA,Ops\n")
+    (tmp_path / "c.csv").write_text("experience_required,job_title,source_file,row_no,job_url\n3+ years,QA,old.csv,7,\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = {r["job_title"]: r for r in src.read_raw_postings(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"Dev", "Two\nlines", "Ops", "QA"}
+    dev, ops, qa = rows["Dev"], rows["Ops"], rows["QA"]
+    assert (dev["company"], dev["experience_required"], dev["job_url"], dev["source_file"], dev["salary"], dev["extra"]) == ("A, Inc.", "1-2", "u1", "a.csv", None, "x")
+    assert (ops["job_url"], ops["salary"], ops["source_file"]) == ("u3", "5 LPA", "b.csv") and (qa["source_file"], qa["row_no"]) == ("old.csv", 7)
+    assert dev["row_no"] < rows["Two\nlines"]["row_no"]
+
+
+def test_postings_without_url_keep_their_identity(spark):
+    rows = [(None, "Dev", "A", ["x"], "Python here"), ("", "Ops", "B", ["y"], "Java here"), ("u?a=1", "QA", "C", None, "SQL"), ("u", "QA2", "C", ["z"], "")]
+    raw = spark.createDataFrame(rows, "job_url string, job_title string, company string, location array<string>, job_description string")
+    raw = raw.withColumn("scraped_date", F.current_timestamp()).withColumns({"experience_required": F.lit("1"), "salary": F.lit("")})
+    got = {r["job_title"]: r for r in clean.clean_postings(raw, dic.builtin_skills(spark)).collect()}
+    assert len(got) == 3 and len({r["job_id"] for r in got.values()}) == 3
+    assert got["Dev"]["skills_extracted"] == ["Python"] and got["Ops"]["skills_extracted"] == ["Java"]
+
+
+def test_both_ways_of_extraction_agree(spark, monkeypatch):
+    rows = [(None, "python C++"), (None, "java"), ("u", "C++ and +++"), ("u", "a+++b"), (None, None)]
+    texts = spark.createDataFrame(rows, "job_url string, text string")
+    words = spark.createDataFrame([("python",), ("java",), ("C++ and",), ("+++",), ("and",)], "skill string")
+    both = []
+    for bound in (5000, 2):
+        monkeypatch.setattr(skills, "MAX_LITERAL_SKILLS", bound)
+        both.append(sorted((str(r["text"]), r["skills_extracted"]) for r in skills.extract_skills(texts, words, "job_url", "text").collect()))
+    assert both[0] == both[1] and dict(both[0])["java"] == ["java"]
+
+
+def test_first_is_never_random(spark):
+    rows = [("u", f"t{i}", "c", ["A"], None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, MERGE)
+    seen = {clean.merge_duplicates(df.orderBy(F.rand(n)).repartition(n)).first()["job_title"] for n in range(1, 6)}
+    assert len(seen) == 1
+
+
+def test_append_twice_adds_nothing(spark, tmp_path):
+    rows = [("v1", "t", "c"), ("v1", "t", "c"), ("v1?x=2", "t9", "c"), (None, "a", "b"), (None, "a", "b"), (None, "z", "b")]
+    batch = spark.createDataFrame(rows, "job_url string, job_title string, company string")
+    for _ in range(2):
+        src.append_processed(batch, str(tmp_path / "t"))
+        assert spark.read.parquet(str(tmp_path / "t")).count() == 3

@@ -130,9 +130,14 @@ def test_upsert_is_idempotent(spark, tmp_path):
     rows = [("u1", "t", "c", ["A"], "f1", 1), ("u2", "t", "c", ["B"], "f1", 2)]
     batch = spark.createDataFrame(rows, "job_url string, job_title string, company string, location array<string>, source_file string, row_no bigint")
     path = str(tmp_path / "table")
-    ingest.upsert_batch(batch, 0, path)
-    later = batch.withColumn("location", F.array(F.lit("C"))).withColumn("source_file", F.lit("f2"))
-    for _ in range(2):
-        ingest.upsert_batch(later, 1, path)
-    got = {r["job_url"]: r["location"] for r in ingest.read_version(spark, path, 2).collect()}
-    assert got == {"u1": ["A", "C"], "u2": ["B", "C"]}
+    assert ingest.upsert_batch(batch, path) == 1
+    later = batch.withColumn("location", F.array(F.lit("C"))).withColumns({"source_file": F.lit("f0"), "job_title": F.lit("later")})
+    for _ in range(2):  # a replay, as after a lost or new checkpoint
+        ingest.upsert_batch(later, path)
+    got = {r["job_url"]: (r["location"], r["job_title"]) for r in ingest.read_version(spark, path).collect()}
+    assert got == {"u1": (["A", "C"], "t"), "u2": (["B", "C"], "t")}
+    assert {r["job_url"]: r["location"] for r in ingest.read_version(spark, path, 1).collect()} == {"u1": ["A"], "u2": ["B"]}
+    one = spark.createDataFrame([("u9", "t", "c", ["Z"], "f3", 1)], batch.schema)
+    version = ingest.upsert_batch(one, path)
+    held = ingest.manifest(spark, path, version)
+    assert [v for v in held.values()].count(version) == 1 and ingest.upsert_batch(one.limit(0), path) == version
