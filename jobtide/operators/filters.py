@@ -58,6 +58,10 @@ def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+#: Bits of the map of phrase heads.
+HEAD_BITS = 1 << 16
+
+
 def contained_phrases(texts: DataFrame, key: str, text_col: str, phrases: DataFrame, phrase_col: str, head: int = 4) -> DataFrame:
     """(key, phrase, at): every phrase contained in a text, in lower case, with a position.
 
@@ -65,24 +69,35 @@ def contained_phrases(texts: DataFrame, key: str, text_col: str, phrases: DataFr
     phrases are looked up among the text's substrings, which gives the phrase
     lengths worth cutting at that position; the cut is then compared for
     equality. Heads and phrases are unique, so neither join can multiply, and a
-    row carries at most one phrase length of text.
+    row carries at most one phrase length of text. A bitmap of the heads' hashes (8 KB, whatever
+    their number) is tested inside the row, so that hardly any position without a hit becomes a row.
     """
     wanted = phrases.select(F.lower(phrase_col).alias("phrase")).where("phrase <> ''").distinct()
     heads = wanted.groupBy(F.substring("phrase", 1, head).alias("head")).agg(
         F.collect_set(F.length("phrase")).alias("lengths")
     )
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(HEAD_BITS))
+    bits = heads.select(place(F.col("head")).alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("cast(h % 64 as int)"))).alias("b"))
+    words = bits.agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m")).select(F.transform(
+        F.sequence(F.lit(0), F.lit(HEAD_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("bits"))
     sizes = wanted.agg(F.struct(
         F.max(F.length("phrase")).alias("longest"),
         F.collect_set(F.least(F.length("phrase"), F.lit(head))).alias("heads"),
     ).alias("s"))
-    low = texts.where(F.length(text_col) > 0).select(F.col(key), F.lower(text_col).alias("_low")).withColumn("_s", sizes.scalar())
+    low = texts.where(F.length(text_col) > 0).select(F.col(key), F.lower(text_col).alias("_low")).withColumns(
+        {"_s": sizes.scalar(), "_bits": words.scalar()})
+
+    def known(piece: Column) -> Column:
+        word = F.get(F.col("_bits"), (place(piece) / 64).cast("int"))
+        return F.call_function("getbit", word, (place(piece) % 64).cast("int")) == 1
 
-    def pieces(i: Column) -> Column:
-        return F.transform(F.col("_s.heads"), lambda n: F.struct(
+    def pieces(n: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.length("_low")), lambda i: known(F.substring(F.col("_low"), i, n)))
+        return F.transform(at, lambda i: F.struct(
             i.alias("at"), F.substring(F.col("_low"), i, n).alias("head"), F.substring(F.col("_low"), i, F.col("_s.longest")).alias("piece")))
 
-    starts = F.sequence(F.lit(1), F.length("_low"))
-    pieces_of = low.select(key, F.inline(F.flatten(F.transform(starts, pieces))))
+    pieces_of = low.select(key, F.inline(F.flatten(F.transform(F.col("_s.heads"), pieces))))
     return (
         pieces_of.join(heads, "head")
         .select(key, "at", "piece", F.explode("lengths").alias("n"))

@@ -156,6 +156,14 @@ STATS_SKILL_ORDER = ("skills_extracted", "skills_list")
 IMPACT_SKILL_ORDER = ("skills_list", "skills_extracted", "skills_text")
 
 
+def with_skills(df: DataFrame, order: tuple[str, ...] = STATS_SKILL_ORDER, out: str = "skills_list") -> DataFrame:
+    """The table with the first filled skill column as ``out``; an empty list where there is none."""
+    chosen = choose_column(df, order)
+    if chosen == out:
+        return df
+    return df.withColumn(out, F.col(chosen) if chosen else F.array().cast("array<string>"))
+
+
 def describe_sources(docs: DataFrame, indexed: DataFrame, failed: DataFrame | None = None, key: str = "job_url") -> DataFrame:
     """(source_file, n_docs, n_new, n_indexed, status) of an index build.
 
