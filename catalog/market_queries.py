@@ -143,9 +143,18 @@ def g6(spark, sf):
     return _impact(spark, sf)
 
 
-@query("g6_skill_salary_impact_pvalue")
+# The two-sided tail of Student's t by the midpoint rule; s = t + v / (1 - v) carries it to 0 < v < 1.
+@query("g6_skill_salary_impact_pvalue", f"""{P}, {IMPACT_SQL},
+  tests AS (SELECT skill, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+    pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM moments WHERE n1 >= 3 AND n2 >= 3 AND m1 > m2),
+  nodes AS (SELECT (i + 0.5) / 20000.0 AS v FROM range(20000) x(i)),
+  tails AS (SELECT skill, any_value(t) AS t, any_value(df) AS df,
+    2 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(any_value(df) * pi()) / 20000
+      * sum(pow(1 + pow(t + v / (1 - v), 2) / df, -(df + 1) / 2) / pow(1 - v, 2)) AS p FROM tests, nodes GROUP BY 1)
+  SELECT skill, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p_value FROM tails""")
 def g6_p(spark, sf):
-    return market.skill_salary_impact(postings(spark, sf)).select("skill", "t", "df", "p_value")
+    out = market.skill_salary_impact(postings(spark, sf))
+    return out.select("skill", *r6("t", "p_value"), F.round("df", 4).alias("df"))
 
 
 @query("t3_topk_premiums", f"{P}, {IMPACT_SQL} SELECT skill, premium FROM impact ORDER BY premium DESC, skill LIMIT 10")

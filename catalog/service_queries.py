@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.clean_queries import DICTIONARY_SQL, HITS_SQL, _sql_education, phrase_dictionary
 from catalog.market_queries import ALIGN_SQL, P, REQUESTS, REQUESTS_SQL, ROLES, ROLES_SQL, requests, roles
-from catalog.match_queries import GAP_SQL, STOP
+from catalog.match_queries import GAP_SQL, STOP, TOKENS_SQL
 from catalog.registry import query
 from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, full_postings, postings, profiles, raw_postings, stored_postings, sql_city, sql_clean, sql_title, table
 from jobtide import dims
@@ -574,13 +574,22 @@ def _part_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("skill")).distinct()
 
 
-# No posting shares a word with a prototype, so all fall to the first cluster.
-@query("e2_process_raw", f"""{P} SELECT kind, name, count(*) AS n, quantile_cont(salary_mid, 0.25) AS p25, median(salary_mid) AS p50, quantile_cont(salary_mid, 0.75) AS p75
-  FROM (SELECT 'global' AS kind, 'all' AS name, salary_mid FROM postings UNION ALL SELECT 'experience', experience_level, salary_mid FROM postings) WHERE salary_mid IS NOT NULL GROUP BY 1, 2""")
+LABELLED_SQL = (
+    TOKENS_SQL.replace("SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', item_id, text FROM benchmark",
+                       "SELECT 'd' AS kind, job_url AS id, job_description AS text FROM postings UNION ALL SELECT 'p', CAST(item_id AS VARCHAR), text FROM benchmark")
+    .replace("p.id AS cluster_id", "CAST(p.id AS BIGINT) AS cluster_id")
+    .replace("SELECT d.doc_id, coalesce(cluster_id,", "SELECT d.job_url, d.salary_mid, coalesce(best.cluster_id,")
+    .replace("FROM documents d LEFT JOIN best USING (doc_id)", "FROM postings d LEFT JOIN best ON best.doc_id = d.job_url")
+)
+
+
+@query("e2_process_raw", f"""{P}, {LABELLED_SQL} SELECT kind, name, count(*) AS n, quantile_cont(salary_mid, 0.25) AS p25, median(salary_mid) AS p50, quantile_cont(salary_mid, 0.75) AS p75
+  FROM (SELECT 'global' AS kind, 'all' AS name, salary_mid FROM postings UNION ALL SELECT 'experience', experience_level, salary_mid FROM postings
+    UNION ALL SELECT 'cluster', 'Item ' || cluster_id, salary_mid FROM classified) WHERE salary_mid IS NOT NULL GROUP BY 1, 2""")
 def e2(spark, sf):
     base = scratch_path(spark, "process")
     trends = build.process_raw(spark, _landed_e2(spark, sf), f"{base}/cleaned", f"{base}/clustered", _part_names(spark, sf), _prototypes(spark, sf), stop=STOP)
-    return trends.where("kind <> 'cluster'").select("kind", "name", "n", "p25", "p50", "p75")
+    return trends.select("kind", "name", "n", "p25", "p50", "p75")
 
 
 def _landed_e2(spark, sf):
@@ -598,6 +607,19 @@ def e3(spark, sf):
     return change.withColumn("indexed", docs.scalar())
 
 
+@query("e3_full_build_contents", f"""{DOCS_SQL.replace("docs AS", "indexed AS")}, {LABELLED_SQL}, first_skill AS (SELECT url AS job_url, p_name FROM numbered WHERE rn = 1)
+  SELECT 'cleaned' AS part, job_url, job_title AS value FROM postings
+  UNION ALL SELECT 'clustered', job_url, 'Item ' || cluster_id FROM classified
+  UNION ALL SELECT 'index', job_url, 'Job Title: ' || job_title || chr(10) || 'Company: ' || company || chr(10) || 'Description: ' || job_description
+    || chr(10) || 'Skills: ' || p_name FROM postings JOIN first_skill USING (job_url)""")
+def e3_contents(spark, sf):
+    base = scratch_path(spark, "build")
+    for _ in range(2):  # the second build finds nothing new
+        build.full_build(spark, _landed_e2(spark, sf), base, _part_names(spark, sf), _prototypes(spark, sf), None, stop=STOP)
+    part = lambda name, key, value: spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("part"), F.col(key).alias("job_url"), F.col(value).alias("value"))
+    return part("cleaned", "job_url", "job_title").union(part("clustered", "job_url", "cluster_label")).union(part("index", "doc_id", "text"))
+
+
 @query("e4_market_dashboard")
 def e4(spark, sf):
     return reports.market_dashboard(stored_postings(spark, sf), requests(spark))
