@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from jobtide.llm import (
     chat_repair, decontaminate, line_crf, packing, quality_rules, sharding, simhash_dedup, token_counts, toxicity, url_filter,
 )
+from tests_support import DOCS, slow_components, slow_fingerprint, slow_passages
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
 
 
@@ -176,27 +176,6 @@ def test_cascade_orders_by_rejection_per_cost_and_keeps_the_verdict(spark, odd):
 
 # 4 decontamination
 
-def slow_passages(docs, items, r=0.8):
-    import regex
-    cut = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}\p{M}]+", (t or "").lower()) if w]
-    out = {}
-    for d, text in docs:
-        w = cut(text)
-        for i, passage in items:
-            p = cut(passage)
-            k = min(5, len(p))
-            if not p or len(w) < k:
-                continue
-            want = Counter(tuple(p[j : j + k]) for j in range(len(p) - k + 1))
-            for s in range(max(1, len(w) - len(p) + 1)):
-                win = w[s : s + len(p)]
-                has = Counter(tuple(win[j : j + k]) for j in range(len(win) - k + 1))
-                sim = sum((has & want).values()) / sum((has | want).values())
-                if sim >= r and sim > out.get((d, i), (0, 0))[0]:
-                    out[d, i] = (sim, s)
-    return out
-
-
 def test_passages_match_brute_force(spark, odd):
     rng = random.Random(6)
     items = [(i, prose(rng, rng.choice([3, 14, 25, 40]))) for i in range(25)] + [(90, None), (91, ""), (92, None)]
@@ -398,29 +377,6 @@ def test_classifier_holds_out_and_separates(spark, odd, labels):
 
 # 9 near-duplicates
 
-def slow_fingerprint(text):
-    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    if not words:
-        return 0
-    runs = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def slow_components(fps, distance=2):
-    parent = {f: f for f in fps}
-
-    def root(f):
-        while parent[f] != f:
-            f = parent[f]
-        return f
-
-    for a, b in itertools.combinations(sorted(parent), 2):
-        if (a ^ b).bit_count() <= distance:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    return {f: root(f) for f in parent}
-
-
 def test_golay_code_is_perfect_and_keys_meet():
     tables = simhash_dedup.syndromes()
     assert len(set(tables[1].tolist())) == 2048
