@@ -236,9 +236,14 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket: int =
     """
     found = store(classes(docs, shingle, distance, bucket, key, text), "simhash-classes")
     best = store(found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", key), "simhash-best")
-    once = docs.join(best.where("count = 1").drop("count"), key, "left_semi")
-    again = docs.join(best.where("count > 1").drop("count"), key, "left_semi").dropDuplicates([key])
-    tags = found.where("component_id is null").groupBy("root").agg(F.min("tag").alias("__tag"))
-    blank = docs.where(F.col(key).isNull()).withColumn("__tag", F.xxhash64(text))
-    nameless = blank.join(tags, "__tag", "left_semi").dropDuplicates(["__tag"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(nameless.select(docs.columns))
+    # Always a shuffled join: the table of winners grows with the documents.
+    winners = lambda which: docs.join(best.where(which).drop("count").hint("merge"), key, "left_semi").select(docs.columns)
+    out = winners("count = 1")
+    if not best.where("count > 1").isEmpty():
+        out = out.unionByName(winners("count > 1").dropDuplicates([key]))
+    nameless = found.where("component_id is null")
+    if not nameless.isEmpty():
+        tags = nameless.groupBy("root").agg(F.min("tag").alias("__tag"))
+        blank = docs.where(F.col(key).isNull()).withColumn("__tag", F.xxhash64(text))
+        out = out.unionByName(blank.join(tags, "__tag", "left_semi").dropDuplicates(["__tag"]).select(docs.columns))
+    return out
