@@ -236,7 +236,7 @@ def score(text: Column, model: Model | None) -> Column:
             for at, one in enumerate(todo):
                 group.append(one)
                 size += len(one or "")
-                if size > 1_000_000 or at + 1 == len(todo):
+                if size > 300_000 or at + 1 == len(todo):
                     lines = line_features(group)
                     some = np.diff(lines.first) > 0
                     if model is None:
