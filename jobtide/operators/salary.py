@@ -40,6 +40,7 @@ def train_salary_model(postings: DataFrame, skills_col: str = "skills_list", tre
         RandomForestRegressor(
             featuresCol="features", labelCol="salary_mid", predictionCol="predicted_salary",
             numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all",
+            maxMemoryInMB=1024,  # deep trees: fewer passes over the rows
         ),
     ]
     return SalaryModel(Pipeline(stages=stages).fit(rows))
