@@ -8,9 +8,9 @@ pieces. The most frequent pre-tokens, at most ``COMMON`` of at most ``LONGEST``
 the tasks and are joined there; all others go through a shuffled join. Both joins are
 exact and use the same table.
 
-Texts are first cut at single spaces between other characters: what a pre-token is there depends
-on nothing outside the piece with its leading space, so tasks remember the pre-tokens of pieces.
-Texts with other white space beside a space are cut by the pattern as a whole.
+Texts are first cut at single spaces: the pre-tokens of a piece with its leading space depend on nothing
+outside it, so tasks add up equal pieces before they cut them into pre-tokens. Texts with other
+white space beside a space are cut by the pattern as a whole.
 
 Defined cases: a null text is empty (0 bytes, 0 tokens); special strings inside a text count as one
 token, as the library's default has it; every row is counted on its own, so repeated rows and
@@ -19,10 +19,11 @@ null ids do not matter; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-
 import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 import regex
@@ -35,54 +36,39 @@ from jobtide.llm.common import slices, store
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of the table that travels to the tasks.
 COMMON, LONGEST = 200_000, 64
-#: Pieces and pre-tokens that a task remembers at once.
+#: Pieces that a task remembers at once.
 REMEMBERED = 250_000
 
 
+#: A space beside other white space: what is a pre-token there depends on both sides.
+TANGLED = re.compile(r" (?:\s|(?<=\s ))").search
+
+
 class Cutter:
-    """Frequencies of a text's pre-tokens; remembers those of pieces between spaces."""
+    """Cuts texts into pieces between single spaces, and pieces into pre-tokens."""
 
     def __init__(self, specials: list[str]):
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.known: dict[str, list[str] | None] = {}
-
-    def piece(self, piece: str) -> list[str] | None:
-        """Pre-tokens of a piece with its leading space; None where its surroundings matter."""
-        try:
-            return self.known[piece]
-        except KeyError:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.find(" " + piece) if piece and not piece[0].isspace() and not piece[-1].isspace() else None
-            self.known[piece] = found
-            return found
-
-    def plain(self, text: str, into: Counter) -> None:
-        """Add the pre-tokens of a text without special strings."""
-        head, *rest = text.split(" ")
-        if not head or head[-1].isspace():
-            into.update(self.find(text))
-            return
-        found = []
-        for piece, n in Counter(rest).items():
-            if (tokens := self.piece(piece)) is None:
-                into.update(self.find(text))
-                return
-            found.append((tokens, n))
-        into.update(self.find(head))
-        for tokens, n in found:
-            for token in tokens:
-                into[token] += n
 
-    def count(self, text: str) -> tuple[Counter, int]:
-        """Frequencies of the pre-tokens, and the number of special strings."""
-        out: Counter = Counter()
-        parts = self.special.split(text) if self.special else [text]
+    def cut(self, text: str) -> tuple[list[str], list[str], int]:
+        """Pieces that follow a space, pre-tokens of all the rest, and the number of special strings."""
+        parts = self.special.split(text) if self.special and self.special.search(text) else [text]
+        pieces: list[str] = []
+        tokens: list[str] = []
         for part in parts:
-            if part:
-                self.plain(part, out)
-        return out, len(parts) - 1
+            if not part:
+                continue
+            if part[0] == " " or part[-1] == " " or TANGLED(part):
+                tokens += self.find(part)
+            else:
+                head, *rest = part.split(" ")
+                tokens += self.find(head)
+                pieces = pieces + rest if pieces else rest
+        return pieces, tokens, len(parts) - 1
+
+    def tokens_of(self, piece: str) -> list[str]:
+        return self.find(" " + piece)
 
 
 def load(path: str) -> tuple[str, list[str]]:
@@ -100,18 +86,25 @@ def pretoken_totals(texts: DataFrame, specials: list[str]) -> DataFrame:
     """``(token, n)``: distinct pre-tokens of the whole corpus with their frequencies."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, sums = Cutter(specials), Counter()
+        cutter, pieces, tokens = Cutter(specials), Counter(), Counter()
 
         def full() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(tokens := list(sums)), 20_000):
-                some = tokens[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([sums[t] for t in some], pa.int64())], names=["token", "n"])
-            sums.clear()
+            for piece, n in pieces.items():
+                for token in cutter.tokens_of(piece):
+                    tokens[token] += n
+            pieces.clear()
+            for at in range(0, len(found := list(tokens)), 20_000):
+                some = found[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([tokens[t] for t in some], pa.int64())], names=["token", "n"])
+            tokens.clear()
 
         for part in slices(batches):
             for text in part.column(0).to_pylist():
-                sums.update(cutter.count(text or "")[0])
-            if len(sums) >= REMEMBERED:
+                if text:
+                    rest, found, _ = cutter.cut(text)
+                    pieces.update(rest)
+                    tokens.update(found)
+            if len(pieces) + len(tokens) >= REMEMBERED:
                 yield from full()
         yield from full()
 
@@ -161,23 +154,44 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, table = Cutter(specials), known.value
+        common: dict[str, int] = {}  # piece: pieces of its common pre-tokens
+        odd: dict[str, list[str]] = {}  # piece: its other pre-tokens
+
+        def learn(piece: str) -> None:
+            tokens = cutter.tokens_of(piece)
+            common[piece] = sum(table.get(t, 0) for t in tokens)
+            if rest := [t for t in tokens if t not in table]:
+                odd[piece] = rest
+
+        def measured(text: str) -> tuple[int, Counter]:
+            pieces, tokens, total = cutter.cut(text)
+            counts = Counter(pieces)
+            if len(common) > REMEMBERED:
+                common.clear()
+                odd.clear()
+            for piece in counts:
+                if piece not in common:
+                    learn(piece)
+            total += sum(map(mul, map(common.__getitem__, counts), counts.values()))
+            rare: Counter = Counter()
+            for piece, n in counts.items():
+                if piece in odd:
+                    for token in odd[piece]:
+                        rare[token] += n
+            for token in tokens:
+                if token in table:
+                    total += table[token]
+                else:
+                    rare[token] += 1
+            return total, rare
+
         for part in slices(batches):
-            sizes, sums, tokens, times = [], [], [], []
-            for one in part.column(1).to_pylist():
-                found, total = cutter.count(one or "")
-                rare = {}
-                for token, n in found.items():
-                    if (k := table.get(token)) is None:
-                        rare[token] = n
-                    else:
-                        total += n * k
-                sizes.append(len((one or "").encode("utf-8", "replace")))
-                sums.append(total)
-                tokens.append(list(rare))
-                times.append(list(rare.values()))
+            found = [measured(x) if x else (0, {}) for x in part.column(1).to_pylist()]
+            sizes = [len(x.encode("utf-8", "replace")) if x else 0 for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
-                 pa.array(tokens, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array([total for total, _ in found], pa.int64()),
+                 pa.array([list(rare) for _, rare in found], pa.list_(pa.string())),
+                 pa.array([list(rare.values()) for _, rare in found], pa.list_(pa.int64()))],
                 names=["doc_id", "n_bytes", "common", "tokens", "times"])
 
     rows = store(
