@@ -20,6 +20,7 @@ null ids do not matter; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bounds of the table that travels to the tasks.
 COMMON, LONGEST = 200_000, 64
 #: Pieces that a task remembers at once.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 #: A space beside other white space: what is a pre-token there depends on both sides.
@@ -116,6 +117,7 @@ def piece_counts(totals: DataFrame, content: str) -> DataFrame:
     shared = totals.sparkSession.sparkContext.broadcast(content)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
