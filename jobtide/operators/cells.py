@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 
 
 def in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, cell_rows: int):
-    """Both tables with their cell columns, and the names to cogroup on."""
+    """Both tables with their cell columns, and the names to cogroup on. Without keys all rows meet."""
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     cells_of = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
-    sizes = count(left, "_nl").join(count(right, "_nr"), list(keys)).select(
+    # Without keys the sizes are one row.
+    meet = lambda df, other: df.join(other, list(keys)) if keys else df.crossJoin(F.broadcast(other))
+    sizes = meet(count(left, "_nl"), count(right, "_nr")).select(
         *keys, cells_of("_nl").alias("_chunks"), cells_of("_nr").alias("_blocks")
     )
 
     def place(df: DataFrame, row_id: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         spread: Column = F.pmod(F.xxhash64(F.col(row_id)), F.col(own_n)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))
-        placed = df.join(sizes, list(keys)).withColumn(own, spread).withColumn(other, copies).drop("_chunks", "_blocks")
+        placed = meet(df, sizes).withColumn(own, spread).withColumn(other, copies).drop("_chunks", "_blocks")
         # Fresh columns, in case both sides stem from one table.
         return placed.toDF(*placed.columns)
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.operators.cells import smallest_per_row
+from jobtide.operators.cells import in_cells, smallest_per_row
 from jobtide.operators.market import top_n
 
 # Vectors are single precision; differences below this are noise.
@@ -45,9 +44,9 @@ def vector_topk(
     """The ``k`` nearest corpus rows of each query: (query, rank, doc, distance); exact.
 
     Ties go to the smaller id. ``match_on`` names metadata columns that must be
-    equal on both sides; null equals nothing. The corpus stays where it is: queries travel to it in blocks of
-    about ``block_rows`` (dealt by hash of their id), one pass over the corpus for each block. A task
-    emits at most k rows per query, never the distances.
+    equal on both sides; null equals nothing. At most ``block_rows`` queries go to the corpus, which then
+    stays where it is; more are never gathered, but compared with it in shuffled cells of about
+    ``block_rows`` of either side. Either way a task emits at most k rows per query and cell, never the distances.
     """
     id_type = corpus.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
@@ -55,8 +54,8 @@ def vector_topk(
     keys = list(match_on)
     docs = corpus.select(*keys, doc_id, F.col(vector).alias("_v"))
     asked = queries.select(*keys, query_id, F.col(vector).alias("_v"))
-    blocks = -(-asked.count() // block_rows)
-    if not blocks:
+    shipped = asked.limit(block_rows + 1).collect()
+    if not shipped:
         return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
 
     def nearest(q_ids, q_vectors, d_ids, d_vectors) -> pd.DataFrame:
@@ -65,8 +64,7 @@ def vector_topk(
         rows, cols = smallest_per_row(cost, k)
         return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[order][cols], "distance": cost[rows, cols]})
 
-    def one_block(block: int) -> DataFrame:
-        shipped = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).collect()
+    if len(shipped) <= block_rows:
         groups: dict[tuple, list] = {}
         for r in shipped:
             groups.setdefault(tuple(r[c] for c in keys), []).append(r)
@@ -89,9 +87,17 @@ def vector_topk(
             if best is not None:
                 yield best
 
-        return docs.mapInPandas(scan, schema)
+        partial = docs.mapInPandas(scan, schema)
+    else:
+        del shipped
+        left, right, names = in_cells(docs, asked, keys, doc_id, query_id, block_rows)
+
+        def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(d) or not len(q):
+                return pd.DataFrame({query_id: [], doc_id: [], "distance": []})
+            return nearest(q[query_id].to_numpy(), _matrix(q["_v"]), d[doc_id].to_numpy(), _matrix(d["_v"]))
 
-    partial = reduce(DataFrame.union, map(one_block, range(blocks)))
+        partial = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(cell, schema)
     return top_n(partial, [query_id], [F.col("distance"), F.col(doc_id)], k)
 
 

@@ -92,6 +92,24 @@ def test_nearest_equals_brute_force(spark, matched):
         assert got[q] == order[:4]
 
 
+@pytest.mark.parametrize("matched", [[], ["label"]])
+def test_many_queries_stay_off_the_driver(spark, matched, monkeypatch):
+    corpus = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"), (F.col("id") % 3).alias("label"))
+    gathered, kind = [], type(corpus)
+    collect = kind.collect
+
+    def counted(df):
+        rows = collect(df)
+        gathered.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    hits = retrieval.vector_topk(corpus.withColumnRenamed("vec_id", "query_id"), corpus, 2, match_on=matched, block_rows=16)
+    assert sum(gathered) <= 17
+    monkeypatch.undo()
+    assert hits.groupBy("query_id").count().where("count = 2").count() == 200
+
+
 def test_classification_prefers_shared_terms(spark):
     docs = spark.createDataFrame([(1, "spark kafka etl pipeline"), (2, "payroll and recruitment"), (3, "zzz")], "doc_id int, text string")
     got = {r["doc_id"]: r["cluster_id"] for r in classify.classify_by_prototype(docs, classify.cluster_prototypes(spark)).collect()}
