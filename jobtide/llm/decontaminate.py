@@ -3,9 +3,10 @@
 Words are lower-cased runs of letters, digits and marks; shingles have five words (all words of
 a shorter item). A window has as many words as an item. Windows are placed so that a
 shingle shared with an item of their size falls on its place in the item, and at all starts between two
-such places less than a window apart. No other window is more similar than all of these: to the left
-of the first place a window's first shingle is not shared, so moving on loses nothing, and to the right of the last
-place the same holds for its last shingle. Every window gets the SimHash of its shingles, weighted by how often they occur.
+such places less than a window, or at most twice the span of its shingles' starts (``size - k``), apart. No other window
+is more similar than all of these. The places of a window's shared shingles are at most ``size - k`` from its start. If none
+is to the left, its first shingle is not shared, so moving on loses nothing; if none is to the right, the same holds for its
+last shingle and moving back. So it comes to a place, or between two that are no more than ``2 * (size - k)`` apart. Every window gets the SimHash of its shingles, weighted by how often they occur.
 ``radius + 1`` blocks of the fingerprints are joined: fingerprints that differ in at most ``radius``
 bits agree in one block at least. Candidates within the radius are verified by
 the weighted Jaccard similarity (sum of smaller over sum of larger counts) of
@@ -105,14 +106,15 @@ def windows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
             hit = hashed.join(F.broadcast(some), "h")
             start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.size("w") - F.col("size")))
             found.append(hit.select("doc_id", "tag", "size", F.lit(k).alias("k"), start.alias("start"), "w").select(
-                "doc_id", "tag", "size", "k", "start", F.slice("w", F.col("start") + 1, 2 * F.col("size")).alias("near")))
+                "doc_id", "tag", "size", "k", "start", F.slice("w", F.col("start") + 1, 3 * F.col("size")).alias("near")))
     if not found:
         return docs.sparkSession.createDataFrame(
             [], f"doc_id {dict(docs.dtypes)[key]}, tag long, size int, k int, start int, words array<string>")
     placed = reduce(DataFrame.union, found).groupBy("doc_id", "tag", "size", "k", "start").agg(F.first("near").alias("near"))
     after = F.lead("start").over(Window.partitionBy("doc_id", "tag", "size", "k").orderBy("start"))
     gap = placed.withColumn("gap", after - F.col("start"))
-    ahead = F.when(F.col("gap") < F.col("size"), F.col("gap") - 1).otherwise(0)
+    reach = F.greatest(F.col("size") - 1, 2 * (F.col("size") - F.col("k")))
+    ahead = F.when(F.col("gap") <= reach, F.col("gap") - 1).otherwise(0)
     moved = gap.withColumn("by", F.explode(F.sequence(F.lit(0), ahead)))
     return moved.select("doc_id", "tag", "size", "k", (F.col("start") + F.col("by")).alias("start"),
                         F.slice("near", F.col("by") + 1, F.col("size")).alias("words"))

@@ -204,6 +204,22 @@ def test_passages_match_brute_force(spark, odd):
     assert decontaminate.without_passages(leak, bench).count() == odd.count()
 
 
+def test_passages_with_swapped_halves(spark):
+    rng = random.Random(31)
+    items = [(i, prose(rng, n)) for i, n in enumerate([40, 46, 60, 60, 90])]
+    docs = []
+    for i, passage in items:
+        w = passage.split()
+        swapped = [*w[len(w) // 2 :], *w[: len(w) // 2]]
+        docs.append((2 * i, " ".join([prose(rng, 100), *swapped, prose(rng, 100)])))
+        docs.append((2 * i + 1, " ".join([*swapped, *swapped])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_passages(df, bench).collect()}
+    want = {k: round(s, 6) for k, (s, _) in slow_passages(docs, items).items()}
+    assert got == want and {(4, 2), (6, 3), (8, 4)} <= want.keys()
+
+
 def test_hamming_blocks_and_simhash(spark):
     rng = random.Random(8)
     pairs = []
