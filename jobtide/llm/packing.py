@@ -11,7 +11,7 @@ without a conflict is found: the tightest compatible one. If there is none, a bi
 
 Defined cases: a null or empty text is one piece of no words, packed like any other; a null source or
 cluster is in conflict with nothing; repeated rows are packed each; copies have equal texts
-and so are in conflict; equal pieces go in the order of their rows; an empty table gives an
+and so are in conflict, near copies only with ``clusters`` from :func:`near_clusters`; equal pieces go in the order of their rows; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.llm import simhash_dedup
 from jobtide.llm.common import store
 
 
@@ -58,20 +59,33 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def near_clusters(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text") -> DataFrame:
+    """``(copy, cluster)``: for the hash of each text that is not empty, the component of near-duplicates it is in.
+
+    The hash stands for the row's id, so rows without an id, or with an id that others have, get their own text's cluster.
+    """
+    texts = docs.where(F.col(text) != "").select(F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    found = simhash_dedup.near_duplicates(texts, shingle, distance, key="copy")
+    return found.groupBy(F.col("doc_id").alias("copy")).agg(F.min("component_id").alias("cluster"))
+
+
 def pack(
     docs: DataFrame, capacity: int = 2048, group_rows: int = 8192, key: str = "doc_id", text: str = "text",
-    source: str = "source", cluster: Column | None = None,
+    source: str = "source", cluster: Column | None = None, clusters: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, source, piece, start, n_words, bin, slot)``: a row for each piece of each row.
 
     ``start`` counts words of the text; ``bin`` is the bin's name. ``cluster`` is the duplicate cluster of a row, by
-    default the hash of its text.
+    default the hash of its text. With ``clusters``, ``(copy, cluster)`` of :func:`near_clusters`, that hash is looked up there.
     """
     if cluster is None:
         cluster = F.when(F.col(text) != "", F.xxhash64(text))
     rows = store(docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), cluster.alias("cluster"),
         words_in(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row")), "packing")
+    if clusters is not None:
+        known = clusters.select(F.col("copy").alias("cluster"), F.col("cluster").alias("near"))
+        rows = store(rows.join(known, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).select(rows.columns), "packing-clusters")
     groups = max(1, -(-rows.count() // group_rows))
     count = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)).cast("long")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select(

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from jobtide.llm import (
-    chat_repair, decontaminate, line_crf, packing, quality_rules, sharding, simhash_dedup, token_counts, toxicity, url_filter,
+    chat_repair, decontaminate, line_crf, packing, quality_rules, queries, sharding, simhash_dedup, token_counts, toxicity, url_filter,
 )
 from tests_support import DOCS, slow_components, slow_fingerprint, slow_passages
 
@@ -479,3 +479,25 @@ def test_packing_keeps_all_words_and_conflicts(spark, odd):
         assert sum(r["n_words"] for r in part) <= 400 and len(named) == len(set(named))
         assert sorted(r["slot"] for r in part) == list(range(len(part)))
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(23)
+    rows = []
+    for i in range(40):
+        w = prose(rng, 300).split()
+        for j in range(4):
+            w = [*w[:-1], f"last{j}"] if j else w
+            rows.append((4 * i + j, " ".join(w), "en", f"s{j}", 0))
+    rows += [(None, rows[0][1], "en", "other", 0), (1, rows[9][1] + " x", "en", "more", 0), (990, "", "en", "p", 0), (991, None, "en", "q", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    fps = {r[1]: slow_fingerprint(r[1]) for r in rows if r[1]}
+    root = slow_components(set(fps.values()))
+    by_source = {(r[0], r[3]): root[fps[r[1]]] for r in rows if r[1]}
+    assert len(set(by_source.values())) < len(set(fps.values()))  # near copies that are no exact copies
+    out = rows_of(queries.op10_best_fit_packing(spark, str(tmp_path)))
+    assert Counter((r["doc_id"], r["source"]) for r in out) == Counter((r[0], r[3]) for r in rows)
+    for _, part in itertools.groupby(sorted(out, key=lambda r: r["bin"]), key=lambda r: r["bin"]):
+        held = [by_source[r["doc_id"], r["source"]] for r in part if (r["doc_id"], r["source"]) in by_source]
+        assert len(held) == len(set(held))
