@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.llm import (
-    chat_repair, decontaminate, line_crf, packing, quality_rules, sharding, simhash_dedup, token_counts, toxicity, url_filter,
+    chat_repair, collocations, decontaminate, line_crf, line_dedup, packing, quality_rules, resampling, sharding, simhash_dedup, token_counts, toxicity, url_filter,
 )
 from jobtide.llm import sql
 from jobtide.llm.common import read_table
@@ -90,6 +90,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, clusters=packing.near_clusters(docs))
 
 
+@query(said=sql.COLLOCATIONS)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=10, longest=3, share=50, first=2000)
+
+
+@query(said=sql.RESAMPLING)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resampling.resample(docs, target, share=5, least_words=20, longest=3, buckets=10_000, seed=42)
+
+
+@query(said=sql.LINE_DEDUP)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(read_table(spark, sf_dir, "documents"), threshold=10, least_chars=1)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

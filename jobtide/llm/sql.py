@@ -135,3 +135,81 @@ select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_
   cast(row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as bigint) as slot,
   cast(null as integer) as grown_shard
 from cut"""
+
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+worded as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+counts as materialized (
+  select lang, phrase, n_words, count(*) as f from (
+    select lang, size as n_words, array_to_string(w[i:i+size-1], ' ') as phrase from (
+      select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from worded, (values (1), (2), (3)) sizes(size) where len(w) >= size))
+  group by all),
+totals as (select lang, sum(f) as n from counts where n_words = 1 group by 1),
+candidates as (select lang, phrase, n_words, f as a, string_split(phrase, ' ') as w from counts where n_words > 1 and f >= 10),
+cut as (select *, unnest(range(1, n_words)) as k from candidates),
+parted as (
+  select c.lang, c.phrase, c.n_words, c.a, c.k, l.f as l, r.f as r,
+    1000000 * c.a::hugeint * c.a::hugeint // (l.f::hugeint * r.f::hugeint) as score
+  from cut c join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.k], ' ')
+  join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k+1:c.n_words], ' ')),
+lowest as (select * from parted qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+  select lang, inner_phrase, max(a) as a from (
+    select lang, a, array_to_string(w[i:i+1], ' ') as inner_phrase from (select lang, a, w, unnest(range(1, n_words)) as i from candidates where n_words = 3))
+  group by all),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank
+  from lowest s left join longer g on g.lang = s.lang and g.inner_phrase = s.phrase where g.a is null or 100 * g.a < 50 * s.a)
+select r.lang, r.rank, r.phrase, cast(r.a as bigint) as a, cast(r.l as bigint) as l, cast(r.r as bigint) as r, cast(t.n as bigint) as n,
+  cast(r.score as bigint) as score
+from ranked r join totals t using (lang) where r.rank <= 2000"""
+
+
+def crc32(data: str) -> str:
+    """The checksum of a hexadecimal string's bytes, half by half, the lower half first."""
+    digits = f"list_transform(range(length({data})), lambda i: cast(strpos('0123456789ABCDEF', {data}[cast(i + 2 - 2 * (i % 2) as integer)]) - 1 as bigint))"
+    return f"""xor(list_reduce(list_prepend(cast(4294967295 as bigint), {digits}), lambda crc, v:
+      xor(crc >> 4, [{', '.join(f'{remainder(n)}::bigint' for n in range(16))}][cast((xor(crc, v) & 15) + 1 as integer)])), 4294967295)"""
+
+
+RESAMPLING = rf"""
+with texts as (
+  select row_number() over () as rid, doc_id, 'd' as side, text from documents union all select row_number() over (), null, 't', text from benchmark),
+worded as materialized (
+  select rid, side, doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
+features as materialized (
+  select rid, side, array_to_string(w[i:i+size-1], ' ') as feature, count(*) as times from (
+    select rid, side, w, size, unnest(range(1, len(w) - size + 2)) as i from worded, (values (1), (2), (3)) sizes(size) where len(w) >= size)
+  group by all),
+named as (select feature, hex(encode(feature)) as h from (select distinct feature from features)),
+bucketed as materialized (select feature, {crc32('h')} % 10000 as bucket from named),
+sums as (select b.bucket, sum(f.times) filter (f.side = 'd') as s, sum(f.times) filter (f.side = 't') as t from features f join bucketed b using (feature) group by 1),
+whole as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from sums),
+gains as (
+  select bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * (s_all + 10000) as double) / cast((coalesce(s, 0) + 1) * (t_all + 10000) as double))) as bigint) as gain
+  from sums, whole),
+weights as (
+  select f.rid, sum(f.times) as n_features, sum(f.times * g.gain) as weight
+  from features f join bucketed b using (feature) join gains g using (bucket) where f.side = 'd' group by 1),
+noised as (
+  select w.rid, w.doc_id, len(w.w) as n_words, cast(coalesce(x.n_features, 0) as bigint) as n_features, cast(coalesce(x.weight, 0) as bigint) as weight,
+    cast(('0x' || substr(sha256('42:' || coalesce(cast(w.doc_id as varchar), '')), 1, 8)) as bigint) as h
+  from worded w left join weights x using (rid) where w.side = 'd'),
+scored as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) as bigint) as score from noised),
+ranked as (
+  select *, row_number() over (order by n_words < 20, score desc, doc_id nulls first, weight, n_features) as place,
+    count(*) filter (n_words >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, cast(case when place <= able * 5 // 100 then place end as bigint) as rank from ranked"""
+
+LINE_DEDUP = rf"""
+with rows_ as materialized (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as w from documents),
+lines as materialized (
+  select rid, i, w[i] as line, {LOWER.format("trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key
+  from (select rid, w, unnest(range(1, len(w) + 1)) as i from rows_)),
+frequent as (select key from lines where length(key) >= 1 group by 1 having count(distinct rid) >= 10),
+kept as (select l.rid, string_agg(l.line, chr(10) order by l.i) as text, count(*) as n from lines l where l.key not in (select key from frequent) group by 1)
+select r.doc_id, cast(len(r.w) as bigint) as n_lines, cast(len(r.w) - coalesce(k.n, 0) as bigint) as n_dropped, sha256(coalesce(k.text, '')) as kept_sha256
+from rows_ r left join kept k using (rid)"""
