@@ -149,12 +149,13 @@ counts as materialized (
   group by all),
 totals as (select lang, sum(f) as n from counts where n_words = 1 group by 1),
 candidates as (select lang, phrase, n_words, f as a, string_split(phrase, ' ') as w from counts where n_words > 1 and f >= 10),
-cut as (select *, unnest(range(1, n_words)) as k from candidates),
+cut as materialized (
+  select lang, phrase, n_words, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k+1:n_words], ' ') as tail
+  from (select *, unnest(range(1, n_words)) as k from candidates)),
 parted as (
   select c.lang, c.phrase, c.n_words, c.a, c.k, l.f as l, r.f as r,
     1000000 * c.a::hugeint * c.a::hugeint // (l.f::hugeint * r.f::hugeint) as score
-  from cut c join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.k], ' ')
-  join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k+1:c.n_words], ' ')),
+  from cut c join counts l on l.lang = c.lang and l.phrase = c.head join counts r on r.lang = c.lang and r.phrase = c.tail),
 lowest as (select * from parted qualify row_number() over (partition by lang, phrase order by score, k) = 1),
 longer as (
   select lang, inner_phrase, max(a) as a from (
