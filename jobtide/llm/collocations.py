@@ -2,7 +2,7 @@
 
 Prefix polynomials over the bytes of a cut (one cumulative sum modulo 2^64) give the fingerprint of
 every n-gram by a subtraction and a product. Tasks add up equal fingerprints batch by batch, and check
-inside the batch that equal fingerprints are equal bytes. An entry is a fingerprint with its count in
+inside the batch that equal fingerprints are equal phrases of one language. An entry is a fingerprint with its count in
 the batch and a pointer (row, word) to one occurrence. Entries are packed by ranges of fingerprints, so
 a shuffle moves some twelve bytes for each, and a common phrase comes once from a batch. A range's task
 adds up and lets only the entries of frequent fingerprints go on.
@@ -33,7 +33,9 @@ from jobtide.llm.spans import Cut, byte_kinds, cuts, raw_texts, same_bytes
 
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a batch, after which its entries leave.
-BATCH = 2_000_000
+BATCH = 1_500_000
+#: Occurrences compared at once.
+BLOCK = 1 << 17
 #: Bits of a fingerprint, and of a length, that travel with a pointer.
 CHECK, LENGTH = 20, 4
 #: Bits of the filter that are set in one task.
@@ -106,28 +108,45 @@ class Batch:
 
     def add(self, cut: Cut, n: int, at: np.ndarray, fps: np.ndarray, row: int) -> None:
         start = cut.starts[at]
-        self.parts.append((fps, start + self.size, (cut.ends[at + n - 1] - start), cut.docs[at] + row, cut.number[at]))
+        small = (start + self.size, cut.ends[at + n - 1] - start, cut.docs[at] + row, cut.number[at])
+        self.parts.append((fps, *(x.astype(np.int32) for x in small)))
         self.texts.append(cut.text)
         self.size += len(cut.text)
         self.words += len(cut.starts)
 
-    def added_up(self) -> tuple[np.ndarray, ...]:
-        """``(fingerprint, count, row, word, start, size)`` in order of the fingerprints, and the text."""
-        fps, start, size, row, word = (np.concatenate(x) for x in zip(*self.parts))
-        text = np.concatenate(self.texts)
-        order = np.argsort(fps, kind="stable")
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def added_up(self, langs: list[str]) -> tuple[np.ndarray, ...]:
+        """``(fingerprint, count, row, word, start, size)`` in order of the fingerprints, and the text; empties the batch.
+
+        ``langs`` has the language of each row.
+        """
+        known: dict[str, int] = {}
+        lang = np.array([known.setdefault(x, len(known)) for x in langs], np.int32)
+        columns = list(zip(*self.parts))
+        self.parts = []
+        fps, start, size, row, word = (np.concatenate(columns.pop(0)) for _ in range(5))
+        text, self.texts = np.concatenate(self.texts), []
+        order = np.argsort(fps, kind="stable").astype(np.int32)
         ordered = fps[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(first, len(ordered)))
+        del ordered
         lead = np.repeat(order[first], count)
-        wrong = (size[order] != size[lead]) | ~same_bytes(text, start[order], start[lead], np.minimum(size[order], size[lead]))
+        wrong = np.zeros(len(order), bool)
+        for some in range(0, len(order), BLOCK):  # a block at a time: the comparison needs some 60 bytes for each
+            i, j = order[some : some + BLOCK], lead[some : some + BLOCK]
+            same = (size[i] == size[j]) & (lang[row[i]] == lang[row[j]])
+            wrong[some : some + BLOCK] = ~same | ~same_bytes(text, start[i], start[j], np.minimum(size[i], size[j]))
+        del lead
         best = order[first]
-        if wrong.any():  # equal fingerprints of different bytes: entries of their own
+        if wrong.any():  # equal fingerprints of different phrases: entries of their own
             count -= np.add.reduceat(wrong, first).astype(count.dtype)
             others: dict[tuple, list[int]] = {}
             for i in order[wrong].tolist():
-                others.setdefault((int(fps[i]), text[start[i] : start[i] + size[i]].tobytes()), []).append(i)
-            best = np.append(best, [i[0] for i in others.values()])
+                others.setdefault((int(fps[i]), int(lang[row[i]]), text[start[i] : start[i] + size[i]].tobytes()), []).append(i)
+            best = np.append(best, np.array([i[0] for i in others.values()], best.dtype))
             count = np.append(count, [len(i) for i in others.values()])
             again = np.argsort(fps[best], kind="stable")
             best, count = best[again], count[again]
@@ -145,9 +164,9 @@ def count_words(docs: DataFrame, longest: int) -> DataFrame:
         hasher, batch, names = Hasher(), Batch(), []
 
         def full() -> Iterator[pa.RecordBatch]:
-            if not batch.parts:
+            if not len(batch):
                 return
-            _, count, row, _, start, size, text = batch.added_up()
+            _, count, row, _, start, size, text = batch.added_up(names)
             data = text.tobytes()
             for at in range(0, len(count), 50_000):
                 some = slice(at, at + 50_000)
@@ -158,7 +177,7 @@ def count_words(docs: DataFrame, longest: int) -> DataFrame:
 
         for part in slices(batches):
             langs = part.column(1).to_pylist()
-            names = [*names, *langs] if batch.parts else langs
+            names = [*names, *langs] if len(batch) else langs
             numbers, first = lang_numbers(langs), len(names) - len(langs)
             for cut in cuts(raw_texts(part.column(2)), KINDS, longest):
                 batch.add(cut, 1, at := cut.grams(1), hasher.grams(cut, hasher.prefixes(cut), at, 1, numbers), first)
@@ -216,16 +235,16 @@ def gram_entries(docs: DataFrame, n: int, longest: int, bloom: np.ndarray, bucke
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, batch, ids = Hasher(), Batch(), np.zeros(0, np.int64)
+        hasher, batch, ids, names = Hasher(), Batch(), np.zeros(0, np.int64), []
 
         def full() -> Iterator[pa.RecordBatch]:
-            if not sum(len(p[0]) for p in batch.parts):
+            if not len(batch):
                 return
-            fps, count, row, word, _, _, _ = batch.added_up()
-            row, low = ids[row] - ids[0], int(ids[0])
+            fps, count, row, word, _, _, _ = batch.added_up(names)
+            row, low = ids[row] - ids[0], int(ids[0])  # rows of a task have numbers that follow each other
             bucket = ((fps >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             stops = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(fps)]
-            columns = [(fps, "<u8"), (count, "<u4"), (row, "<u8"), (word, "<u4")]
+            columns = [(fps, "<u8"), (count, "<u4"), (row, "<u4"), (word, "<u4")]
             spans = list(zip(stops[:-1], stops[1:]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([low] * len(spans), pa.int64()),
@@ -233,9 +252,9 @@ def gram_entries(docs: DataFrame, n: int, longest: int, bloom: np.ndarray, bucke
                 names=["bucket", "low", "fps", "counts", "rows", "words"])
 
         for part in slices(batches):
-            mine = part.column(0).to_numpy(zero_copy_only=False)
-            ids = np.concatenate([ids, mine]) if batch.parts else mine
-            numbers, first = lang_numbers(part.column(1).to_pylist()), len(ids) - len(mine)
+            mine, langs = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+            ids, names = (np.concatenate([ids, mine]), [*names, *langs]) if len(batch) else (mine, langs)
+            numbers, first = lang_numbers(langs), len(ids) - len(mine)
             for cut in cuts(raw_texts(part.column(2)), KINDS, longest):
                 at, prefixes = cut.grams(n), hasher.prefixes(cut)
                 for side in (0, 1):
@@ -255,7 +274,7 @@ def frequent_entries(packed: DataFrame, n: int, least: int) -> DataFrame:
     def added_up(table: pa.Table) -> pa.Table:
         fps, counts, words = (np.concatenate([unplanes(x, kind) for x in table.column(c).to_pylist()])
                               for c, kind in (("fps", "<u8"), ("counts", "<u4"), ("words", "<u4")))
-        rows = np.concatenate([unplanes(x, "<i8") + low for x, low in zip(table.column("rows").to_pylist(), table.column("low").to_pylist())])
+        rows = np.concatenate([unplanes(x, "<u4").astype(np.int64) + low for x, low in zip(table.column("rows").to_pylist(), table.column("low").to_pylist())])
         order = np.argsort(fps, kind="stable")
         fps = fps[order]
         first = np.concatenate([[True], fps[1:] != fps[:-1]])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WORD, GAP, BREAK = 0, 1, 2
 
@@ -66,7 +67,7 @@ class Cut:
         return np.flatnonzero(inside)
 
 
-def cuts(texts: list[bytes], kinds: np.ndarray, longest: int, size: int = 1 << 21) -> Iterator[Cut]:
+def cuts(texts: list[bytes], kinds: np.ndarray, longest: int, size: int = 1 << 19) -> Iterator[Cut]:
     """Cuts of some ``size`` bytes. A longer text comes in parts that share ``longest - 1`` words."""
     first, some, total = 0, [], 0
     gap = kinds != WORD
@@ -102,6 +103,7 @@ def cuts(texts: list[bytes], kinds: np.ndarray, longest: int, size: int = 1 << 2
 
 def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``text[a:a+size]`` equals ``text[b:b+size]``, for arrays of places; ``text`` ends in eight spare bytes."""
+    a, b, size = (x.astype(np.int64) for x in (a, b, size))
     eights = np.ndarray((len(text) - 7,), "<u8", buffer=text, strides=(1,))
     equal = np.ones(len(a), bool)
     todo, at = np.arange(len(a)), 0
@@ -119,3 +121,67 @@ def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 def raw_texts(column: pa.Array) -> list[bytes]:
     """Texts as bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (
+    11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of many slices at once; ``text`` ends in eight spare bytes. Slices of 32 bytes or more go one by one."""
+    eights = np.ndarray((len(text) - 7,), "<u8", buffer=text, strides=(1,))
+    fours = np.ndarray((len(text) - 7,), "<u4", buffer=text, strides=(1,))
+    out = P5 + sizes.astype(np.uint64)
+    for j in range(3):
+        at = np.flatnonzero(sizes >= 8 * j + 8)
+        if len(at):
+            out[at] = _turned(out[at] ^ (_turned(eights[starts[at] + 8 * j] * P2, 31) * P1), 27) * P1 + P4
+    done = sizes & ~7
+    at = np.flatnonzero(sizes & 4)
+    out[at] = _turned(out[at] ^ (fours[starts[at] + done[at]].astype(np.uint64) * P1), 23) * P2 + P3
+    done = sizes & ~3
+    for j in range(3):
+        at = np.flatnonzero((sizes & 3) > j)
+        out[at] = _turned(out[at] ^ (text[starts[at] + done[at] + j].astype(np.uint64) * P5), 11) * P1
+    out = (out ^ (out >> np.uint64(33))) * P2
+    out = (out ^ (out >> np.uint64(29))) * P3
+    out ^= out >> np.uint64(32)
+    long_ = np.flatnonzero(sizes >= 32)
+    if len(long_):
+        data, digest = text.tobytes(), xxhash.xxh64_intdigest
+        out[long_] = [digest(data[a : a + z]) for a, z in zip(starts[long_].tolist(), sizes[long_].tolist())]
+    return out
+
+
+def _shift_tables(most: int) -> np.ndarray:
+    """``[n, byte, value]``: a CRC-32 whose byte has that value, moved on by ``n`` zero bytes (fixed value: the reflected polynomial)."""
+    unit = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        unit = np.where(unit & 1, unit >> 1 ^ np.uint32(0xEDB88320), unit >> 1)
+    out = np.zeros((most, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for n in range(1, most):
+        out[n] = unit[out[n - 1] & 255] ^ (out[n - 1] >> np.uint32(8))
+    return out
+
+
+#: Checksums are moved by up to so many bytes at once (512 KB of tables).
+MOST = 128
+SHIFT = _shift_tables(MOST)
+
+
+def crc_joined(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of two parts one after the other, from theirs; ``size`` is the second part's length."""
+    moved, left = first.copy(), size.astype(np.int64)
+    while True:
+        n = np.minimum(left, MOST - 1)
+        moved = (SHIFT[n, 0, moved & 255] ^ SHIFT[n, 1, moved >> np.uint32(8) & 255]
+                 ^ SHIFT[n, 2, moved >> np.uint32(16) & 255] ^ SHIFT[n, 3, moved >> np.uint32(24)])
+        left = left - n
+        if not left.any():
+            return moved ^ second
