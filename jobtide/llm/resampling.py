@@ -3,7 +3,8 @@
 Features are runs of one to ``longest`` words. A batch interns its n-grams in an open-addressed table of
 NumPy arrays: keys are XXH64 of the n-gram's bytes, a slot that is taken is compared byte by byte with its
 owner, and what differs goes on to the next slot. All occurrences probe at once. A slot holds the n-gram's bucket
-(one CRC-32 for each distinct n-gram of the batch) and its count; counts give the corpus's bucket totals. In the second pass the slot
+and its count. The CRC-32 behind a bucket is worked out once for each distinct n-gram of the batch, joined from its words' (those
+are interned in the same way). Counts give the corpus's bucket totals. In the second pass the slot
 of each occurrence gathers its bucket's gain, and a document's gains are added up.
 
 Bucket totals are summed by Spark; ``buckets`` gains, a fixed number, travel to the tasks. A document's
@@ -23,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.common import slices, store
-from jobtide.llm.spans import Cut, byte_kinds, cuts, raw_texts, same_bytes
+from jobtide.llm.spans import Cut, byte_kinds, crc_joined, cuts, raw_texts, same_bytes, xxh64
 
 KINDS = byte_kinds(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -36,38 +36,60 @@ KINDS = byte_kinds(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 class Table:
     """The distinct n-grams of a cut."""
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buckets: int):
-        data, digest = text.tobytes(), xxhash.xxh64_intdigest
-        ends = (starts + sizes).tolist()
-        keys = np.array([digest(data[a:b]) for a, b in zip(starts.tolist(), ends)], np.uint64)
+    def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        keys = xxh64(text, starts, sizes)
         capacity = 1 << max(4, (2 * len(keys)).bit_length())
         owner = np.full(capacity, -1, np.int32)
-        probe = (keys & np.uint64(capacity - 1)).astype(np.int64)
-        todo = np.arange(len(keys))
+        probe = (keys & np.uint64(capacity - 1)).astype(np.int32)
+        todo = np.arange(len(keys), dtype=np.int32)
         while len(todo):
             slot = probe[todo]
-            free = owner[slot] < 0
-            owner[slot[free]] = todo[free]  # one of those that want a free slot gets it
             mine = owner[slot]
+            free = mine < 0
+            if free.any():
+                owner[slot[free]] = todo[free]  # one of those that want a free slot gets it
+                mine = owner[slot]
             same = (keys[mine] == keys[todo]) & (sizes[mine] == sizes[todo])
-            some = np.flatnonzero(same)
+            some = np.flatnonzero(same & (mine != todo))
             same[some] = same_bytes(text, starts[mine[some]], starts[todo[some]], sizes[todo[some]])
             todo = todo[~same]
             probe[todo] = (probe[todo] + 1) & (capacity - 1)
-        #: The slot of each occurrence, and what the slots hold.
-        self.slots = probe
-        self.count = np.bincount(probe, minlength=capacity)
-        self.bucket = np.zeros(capacity, np.int64)
-        taken = np.flatnonzero(owner >= 0)
-        first, crc = owner[taken], zlib.crc32
-        self.bucket[taken] = [crc(data[a:b]) % buckets for a, b in zip(starts[first].tolist(), (starts + sizes)[first].tolist())]
-
-
-def grams_of(cut: Cut, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, size, text number)`` of all n-grams of a cut."""
-    found = [(cut.starts[at], cut.ends[at + n - 1] - cut.starts[at], cut.docs[at]) for n in range(1, longest + 1) for at in [cut.grams(n)]]
-    start, size, doc = (np.concatenate(x) for x in zip(*found))
-    return start, size, doc
+        #: The slot of each occurrence; which slots are taken, and the first occurrence there.
+        self.slots, self.capacity = probe, capacity
+        self.taken = np.flatnonzero(owner >= 0)
+        self.first = owner[self.taken]
+
+
+def word_checksums(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each word, worked out once for each distinct one."""
+    table, data, crc = Table(text, starts, sizes), text.tobytes(), zlib.crc32
+    held = np.zeros(table.capacity, np.uint32)
+    held[table.taken] = [crc(data[a : a + z]) for a, z in zip(starts[table.first].tolist(), sizes[table.first].tolist())]
+    return held[table.slots]
+
+
+class Features:
+    """The n-grams of a cut in a table whose slots hold the bucket and the count of each."""
+
+    def __init__(self, cut: Cut, longest: int, buckets: int):
+        size = cut.ends - cut.starts
+        word = word_checksums(cut.text, cut.starts, size)
+        gap = np.full(len(word), zlib.crc32(b" "), np.uint32)
+        spaced = crc_joined(gap, word, size)  # of a space and the word
+        found = [(at, np.full(len(at), n)) for n in range(1, longest + 1) for at in [cut.grams(n)]]
+        at, n = (np.concatenate(x) for x in zip(*found))
+        start = cut.starts[at]
+        table = Table(cut.text, start, cut.ends[at + n - 1] - start)
+        first, most = at[table.first], n[table.first]
+        crc = word[first]
+        for j in range(1, longest):
+            more = np.flatnonzero(most > j)
+            nth = first[more] + j
+            crc[more] = crc_joined(crc[more], spaced[nth], size[nth] + 1)
+        self.docs, self.slots, self.taken = cut.docs[at], table.slots, table.taken
+        self.bucket = np.zeros(table.capacity, np.int64)
+        self.bucket[table.taken] = crc % np.uint32(buckets)
+        self.count = np.bincount(table.slots, minlength=table.capacity)
 
 
 def bucket_totals(docs: DataFrame, longest: int, buckets: int, text: str = "text") -> np.ndarray:
@@ -77,9 +99,8 @@ def bucket_totals(docs: DataFrame, longest: int, buckets: int, text: str = "text
         total = np.zeros(buckets, np.int64)
         for part in slices(batches):
             for cut in cuts(raw_texts(part.column(0)), KINDS, longest):
-                start, size, _ = grams_of(cut, longest)
-                table = Table(cut.text, start, size, buckets)
-                total += np.bincount(table.bucket, table.count, buckets).astype(np.int64)
+                found = Features(cut, longest, buckets)
+                total += np.bincount(found.bucket[found.taken], found.count[found.taken], buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -105,12 +126,11 @@ def weighed(docs: DataFrame, gains: np.ndarray, longest: int, key: str = "doc_id
             rows = part.num_rows
             words, features, weight = (np.zeros(rows, np.int64) for _ in range(3))
             for cut in cuts(raw_texts(part.column(1)), KINDS, longest):
-                start, size, doc = grams_of(cut, longest)
-                table = Table(cut.text, start, size, len(shared.value))
-                gain = shared.value[table.bucket][table.slots]
+                found = Features(cut, longest, len(shared.value))
+                gain = shared.value[found.bucket][found.slots]
                 words += np.bincount(cut.docs[cut.grams(1)], minlength=rows)
-                features += np.bincount(doc, minlength=rows)
-                weight += np.bincount(doc, gain, rows).astype(np.int64)  # sums of integers below 2^53: exact
+                features += np.bincount(found.docs, minlength=rows)
+                weight += np.bincount(found.docs, gain, rows).astype(np.int64)  # sums of integers below 2^53: exact
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(words), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
