@@ -11,8 +11,8 @@ can still match, and is shared by all words that reach it, so most words end
 after a few characters. Each distinct word is walked once in a task.
 
 Scoring: a hit counts with the evidence of its form; forms never seen get their
-term's, less for each edit and for each clean word near the term. A hit inside quotation marks
-or just after a word of reporting is quotation and counts ``QUOTED`` of its weight,
+term's, less for each edit and for each clean word near the term. A hit between two quotation marks
+at most ``SPAN`` tokens apart, or just after a word of reporting, is quotation and counts ``QUOTED`` of its weight,
 unless other hits stand in its window. Abusive hits add up (noisy or),
 quotations count by their largest. Documents without a hit score the rate of toxic ones among such documents.
 
@@ -42,6 +42,8 @@ MARKS = frozenset("\"“”„«»")
 #: Words that introduce a quotation.
 REPORTING = frozenset("said says called calls quote quoted quotes word words term terms wrote dit mot wort wörter sagte dijo palabra".split())
 WINDOW, QUOTED = 8, 0.25
+#: Most tokens between the marks of a quotation.
+SPAN = 40
 #: Bounds of what the driver collects: lexicon terms, and forms near them.
 MAX_TERMS, MAX_FORMS = 3000, 20000
 
@@ -257,13 +259,21 @@ def score_text(text: str | None, weights: dict[str, float], find) -> float:
     return max(quoted, 1 - rest)
 
 
-def quoted_places(tokens: list[str]) -> list[bool]:
-    """For each token, whether an odd number of marks stands before it and one after."""
-    last = max(i for i, t in enumerate(tokens) if t in MARKS)
-    out, odd = [], False
+def quoted_places(tokens: list[str], span: int = SPAN) -> list[bool]:
+    """For each token, whether it stands between two marks that are a pair.
+
+    A mark pairs with the next one if that is at most ``span`` tokens away; otherwise it is a stray one (an inch sign, a
+    quotation that is never closed), and the next may open a pair.
+    """
+    out, opened = [False] * len(tokens), None
     for i, t in enumerate(tokens):
-        out.append(odd and i < last)
-        odd ^= t in MARKS
+        if t not in MARKS:
+            continue
+        if opened is None or i - opened > span:
+            opened = i
+        else:
+            out[opened + 1 : i] = [True] * (i - opened - 1)
+            opened = None
     return out
 
 
