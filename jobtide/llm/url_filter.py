@@ -5,10 +5,12 @@ their host. A host's seeds are the shares of its URLs that rules allow and
 block. Trust flows forward along links (personalised PageRank from the
 trusted shares), distrust flows backward (to hosts that link to blocked ones). A host is blocked
 when its distrust reaches ``threshold`` and exceeds its trust. Both scores are
-scaled so that a host without links keeps its own shares.
+scaled so that a host without links keeps its own shares. Distrust is handed to the hosts that link to a bad one in proportion
+to their part of the links *to it*: whoever alone links to a blocked host takes on nearly all of its distrust, however
+many other links it has.
 
 Links are counted for each pair of hosts before anything is joined, and the
-iterations move one row for each host and pair; each result is written every few rounds. Host tables
+iterations move one row for each host and pair; each wave is written. Host tables
 grow with the web, so they are joined, never broadcast.
 
 Defined cases: a URL that is null or has no ``://`` has an empty host and path, fits no rule
@@ -20,6 +22,7 @@ relative ones included, carry nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +54,9 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
-    """The longest of the rules that fit, or null. Rules of one length cannot fit the same URL."""
+    """The longest of the rules that fit, or null; of equally long ones the first by name."""
     found = F.lit(None).cast("string")
-    for rule in sorted(set(rules), key=lambda r: (len(r), r)):
+    for rule in sorted(sorted(set(rules), reverse=True), key=len):
         h, p = split_rule(rule)
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         found = F.when(fits, F.lit(rule)).otherwise(found)
@@ -69,29 +72,35 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         "src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float, rounds: int, cut: int = 5) -> DataFrame:
-    """``(host, score)``: seed shares plus what comes over the links, after ``rounds`` rounds.
+def propagate(seeds: DataFrame, links: DataFrame, damping: float, least: float = 1e-9, cut: int = 8) -> DataFrame:
+    """``(host, score)``: seed shares plus what comes over the links.
 
     score = seed + damping * sum over incoming links of score(src) * n / all links of src
+
+    The seeds travel as waves: a wave is what the one before it hands on, and the score is the sum of all. It ends when no
+    host is handed ``least`` or more, far below what verdicts are rounded to.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     share = store(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "host-share")
-    score = seeds
-    if share.isEmpty():
-        return score.select("host", F.col("seed").alias("score"))
-    score = score.select("host", F.col("seed").alias("score"))
-    for done in range(1, rounds + 1):
-        flow = score.where("score > 0").join(share, F.col("host") == F.col("src")).groupBy("dst").agg(
-            (F.sum(F.col("score") * F.col("share")) * damping).alias("flow"))
-        score = seeds.join(flow, F.col("host") == F.col("dst"), "left").select(
-            "host", (F.col("seed") + F.coalesce("flow", F.lit(0.0))).alias("score"))
-        if done % cut == 0 or done == rounds:
-            score = store(score, "host-score")
-    return score
+    wave = seeds.where("seed > 0").select("host", F.col("seed").alias("score"))
+    total = [wave]
+    while not share.isEmpty():
+        wave = wave.join(share, F.col("host") == F.col("src")).groupBy("dst").agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
+        wave = store(wave.select(F.col("dst").alias("host"), "score"), "host-wave")
+        if (wave.agg(F.max("score")).first()[0] or 0) < least:
+            break
+        total.append(wave)
+        if len(total) > cut:
+            total = [store(summed(total), "host-score")]
+    return seeds.select("host").join(summed(total), "host", "left").select("host", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def summed(waves: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, waves).groupBy("host").agg(F.sum("score").alias("score"))
 
 
 def judge_urls(
-    pages: DataFrame, allow: Sequence[str], block: Sequence[str], damping: float = 0.85, rounds: int = 10,
+    pages: DataFrame, allow: Sequence[str], block: Sequence[str], damping: float = 0.85,
     threshold: float = 0.5, key: str = "page_id", url: str = "url", html: str = "html",
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` for each row of ``pages``.
@@ -109,9 +118,9 @@ def judge_urls(
     away = links.select(F.col("dst").alias("host")).distinct().join(own, "host", "left_anti").select(
         "host", F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
     hosts = store(own.unionByName(away), "hosts")
-    trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), links, damping, rounds)
+    trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), links, damping)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping, rounds)
+    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping)
     scored = trust.select("host", F.round("score", 6).alias("trust")).join(
         distrust.select("host", F.round("score", 6).alias("distrust")), "host")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
