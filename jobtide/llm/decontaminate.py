@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import store
+from jobtide.llm.common import free_name, store
 
 #: Upper bound of the rows broadcast at once.
 MAX_ANCHORS = 500_000
@@ -149,8 +149,9 @@ def find_passages(
 
 def without_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; all columns stay as they are."""
+    names = [free_name(docs, x) for x in ("__tag", "__bad_id", "__bad_tag")]
     bad = store(find_passages(docs, items, key=key, text=text, **how).select(
-        F.col("doc_id").alias("__bad_id"), F.col("tag").alias("__bad_tag")).distinct(), "leaks")
-    marked = docs.withColumn("__tag", F.xxhash64(text))
-    same = (F.col("__tag") == F.col("__bad_tag")) & F.col(key).eqNullSafe(F.col("__bad_id"))
-    return marked.join(bad, same, "left_anti").drop("__tag")
+        F.col("doc_id").alias(names[1]), F.col("tag").alias(names[2])).distinct(), "leaks")
+    marked = docs.withColumn(names[0], F.xxhash64(text))
+    same = (F.col(names[0]) == F.col(names[2])) & F.col(key).eqNullSafe(F.col(names[1]))
+    return marked.join(bad, same, "left_anti").drop(names[0])

@@ -9,7 +9,7 @@ the score.
 Only documents have labels, so training starts with every line labelled as its
 document and then relabels the lines of bad documents that the model finds good (the worst line
 stays bad). The fit uses a hash sample of at most ``rows`` labelled documents
-of at most ``MAX_LINES`` lines, about 50 bytes for each line on the driver. Scoring reads whole texts.
+of at most ``MAX_LINES`` lines; 52 bytes for each line come to the driver, where the fit takes some 400 bytes for each. Scoring reads whole texts.
 
 Defined cases: a text without a word (null, empty, white space) scores 0; every row is scored on
 its own, so repeated rows, null ids and other columns do not matter; an empty table gives an
@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import held_out, training_sample
+from jobtide.llm.common import free_name, held_out, training_sample
 
 SPACE, UPPER, LOWER, DIGIT, SYMBOL, MARK, STOP, OTHER = range(8)
-#: Longest document, in lines, that training uses.
+#: Longest document, in lines, that training uses, unless told otherwise (bounds the fit, not the scoring).
 MAX_LINES = 400
 FEATURES = 12
 
@@ -199,23 +199,24 @@ def curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(sample: DataFrame, steps: int = 80, passes: int = 2, ridge: float = 1e-4) -> Model | None:
-    """Fit the model on ``(text, y)``; None when there is no sample of both classes."""
-    @F.pandas_udf("struct<x:array<float>,w:array<float>>")
+def train(sample: DataFrame, steps: int = 80, passes: int = 2, ridge: float = 1e-4, lines: int = MAX_LINES) -> Model | None:
+    """Fit the model on ``(text, y)``, on documents of at most ``lines`` lines; None when there is no sample of both classes."""
+    @F.pandas_udf("struct<x:binary,w:binary>")
     def measured(texts: pd.Series) -> pd.DataFrame:
         found = [line_features([t]) for t in texts]
-        fits = [len(f.weight) <= MAX_LINES for f in found]
-        return pd.DataFrame({"x": [f.features.ravel().tolist() if ok else [] for f, ok in zip(found, fits)],
-                             "w": [f.weight.tolist() if ok else [] for f, ok in zip(found, fits)]})
+        fits = [len(f.weight) <= lines for f in found]
+        return pd.DataFrame({"x": [f.features.astype("<f4").tobytes() if ok else b"" for f, ok in zip(found, fits)],
+                             "w": [f.weight.astype("<f4").tobytes() if ok else b"" for f, ok in zip(found, fits)]})
 
-    rows = sample.select(F.xxhash64("text").alias("h"), measured("text").alias("m"), "y").where(F.size("m.w") > 0).select("h", "m.*", "y").collect()
+    rows = sample.select(F.xxhash64("text").alias("h"), measured("text").alias("m"), "y").where(F.octet_length("m.w") > 0).select("h", "m.*", "y").collect()
     rows.sort(key=lambda r: (r.h, r.y))
     label = np.array([r.y for r in rows])
     if len(set(label.tolist())) < 2:
         return None
-    first = np.concatenate([[0], np.cumsum([len(r.w) for r in rows])]).astype(np.int64)
-    lines = Lines(np.concatenate([np.array(r.x).reshape(-1, FEATURES) for r in rows]), np.concatenate([r.w for r in rows]), first)
-    x, line_label = with_neighbours(lines), np.repeat(label, np.diff(first))
+    first = np.concatenate([[0], np.cumsum([len(r.w) // 4 for r in rows])]).astype(np.int64)
+    plain = lambda data: np.frombuffer(b"".join(data), "<f4").astype(float)
+    found = Lines(plain(r.x for r in rows).reshape(-1, FEATURES), plain(r.w for r in rows), first)
+    x, line_label = with_neighbours(found), np.repeat(label, np.diff(first))
     of_line = np.repeat(np.arange(len(rows)), np.diff(first))
     for turn in range(passes):
         weights, edge = fit_chain(x, line_label, first, steps, ridge)
@@ -223,7 +224,7 @@ def train(sample: DataFrame, steps: int = 80, passes: int = 2, ridge: float = 1e
             good, _ = forward_backward(x @ weights, edge, first)
             worst = np.minimum.reduceat(good, first[:-1])
             line_label = np.where((label[of_line] == 1) | ((good > 0.5) & (good > worst[of_line])), 1, 0)
-    return Model(weights, edge, *curve(raw_quality(lines, weights, edge), label))
+    return Model(weights, edge, *curve(raw_quality(found, weights, edge), label))
 
 
 def score(text: Column, model: Model | None) -> Column:
@@ -269,4 +270,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows:
               out: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more; all columns stay as they are."""
     model = fit(docs, labels, rows, folds, out, key, text)
-    return docs.withColumn("__score", score(F.col(text), model)).where(F.col("__score") >= threshold).drop("__score")
+    name = free_name(docs, "__score")
+    return docs.withColumn(name, score(F.col(text), model)).where(F.col(name) >= threshold).drop(name)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.llm.common import free_name
+
 SYMBOLS = "#*$%&|<>"
 
 
@@ -161,7 +163,8 @@ def keeps(text: Column, rules: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: list[Rule] = RULES, rows: int = 400, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule lets pass; all columns stay as they are."""
     order = planned(docs, rules, rows, text)
-    return docs.withColumn("__kept", keeps(F.col(text), order)).where("__kept").drop("__kept")
+    kept = free_name(docs, "__kept")
+    return docs.withColumn(kept, keeps(F.col(text), order)).where(F.col(kept)).drop(kept)
 
 
 def judge_rules(

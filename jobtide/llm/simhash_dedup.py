@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.common import slices, store
+from jobtide.llm.common import free_name, slices, store
 
 #: (first bit, bits) of the three segments.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
@@ -235,15 +235,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket: int =
     keeps one of its rows.
     """
     found = store(classes(docs, shingle, distance, bucket, key, text), "simhash-classes")
-    best = store(found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", key), "simhash-best")
+    times = free_name(docs, "__times")
+    best = store(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times)), "simhash-best")
     # Always a shuffled join: the table of winners grows with the documents.
-    winners = lambda which: docs.join(best.where(which).drop("count").hint("merge"), key, "left_semi").select(docs.columns)
-    out = winners("count = 1")
-    if not best.where("count > 1").isEmpty():
-        out = out.unionByName(winners("count > 1").dropDuplicates([key]))
+    winners = lambda which: docs.join(best.where(which).drop(times).hint("merge"), key, "left_semi").select(docs.columns)
+    out = winners(F.col(times) == 1)
+    if not best.where(F.col(times) > 1).isEmpty():
+        out = out.unionByName(winners(F.col(times) > 1).dropDuplicates([key]))
     nameless = found.where("component_id is null")
     if not nameless.isEmpty():
-        tags = nameless.groupBy("root").agg(F.min("tag").alias("__tag"))
-        blank = docs.where(F.col(key).isNull()).withColumn("__tag", F.xxhash64(text))
-        out = out.unionByName(blank.join(tags, "__tag", "left_semi").dropDuplicates(["__tag"]).select(docs.columns))
+        tag = free_name(docs, "__tag")
+        tags = nameless.groupBy("root").agg(F.min("tag").alias(tag))
+        blank = docs.where(F.col(key).isNull()).withColumn(tag, F.xxhash64(text))
+        out = out.unionByName(blank.join(tags, tag, "left_semi").dropDuplicates([tag]).select(docs.columns))
     return out
