@@ -13,26 +13,21 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def url_filter(allow: Sequence[str], block: Sequence[str], damping: float = 0.85, rounds: int = 10, threshold: float = 0.5) -> str:
+def url_filter(allow: Sequence[str], block: Sequence[str], damping: float = 0.85, waves: int = 200, threshold: float = 0.5) -> str:
     rules = "".join(
         f"when (host = {quoted(h)} or ends_with(host, {quoted('.' + h)})) and starts_with(path, {quoted(p)}) then {quoted(r)} "
         for r in sorted({*allow, *block}, key=lambda r: (-len(r), r)) for h, p in [(r.partition('/')[0], r[r.index('/'):])])
     blocked = ", ".join(map(quoted, block))
     steps = []
-
-    def walk(name: str, seed: str, src: str, dst: str) -> None:
-        steps.append(f"{name}_share as materialized (select {src} as src, {dst} as dst, n / sum(n) over (partition by {src}) as share from links)")
-        steps.append(f"{name}_0 as materialized (select host, {seed} as seed, cast({seed} as double) as score from hosts)")
-        for i in range(1, rounds + 1):
-            steps.append(
-                f"{name}_{i} as materialized (select s.host, s.seed, s.seed + coalesce(f.flow, 0) as score from {name}_{i - 1} s left join ("
-                f"select e.dst, {damping} * sum(p.score * e.share) as flow from {name}_{i - 1} p join {name}_share e on p.host = e.src group by 1) f on f.dst = s.host)")
-
-    walk("trust", "allowed", "src", "dst")
-    walk("distrust", "blocked", "dst", "src")
+    for name, seed, src, dst in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
+        steps.append(f"{name}_share as (select {src} as src, {dst} as dst, n / sum(n) over (partition by {src}) as share from links)")
+        steps.append(
+            f"{name}_wave(k, host, score) as (select 0, host, cast({seed} as double) from hosts where {seed} > 0 union all "
+            f"select k + 1, e.dst, {damping} * sum(p.score * e.share) from {name}_wave p join {name}_share e on p.host = e.src where k < {waves} group by k, e.dst)")
+        steps.append(f"{name} as (select h.host, coalesce(sum(w.score), 0) as score from hosts h left join {name}_wave w on w.host = h.host group by 1)")
     link = r"""(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)"""
     return f"""
-with cut as (select page_id, html, {AFTER.format('url')} as rest from pages),
+with recursive cut as (select page_id, html, {AFTER.format('url')} as rest from pages),
 parts as (select page_id, html, {HOST.format('rest')} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
 ruled as (select *, case {rules} end as rule from parts),
 judged as (select *, case when rule in ({blocked}) then 'block' when rule is not null then 'allow' end as said from ruled),
@@ -44,7 +39,7 @@ own as (select host, avg(case when said = 'allow' then 1.0 else 0.0 end) as allo
 hosts as materialized (select * from own union all
         select distinct dst, 0.0, 0.0 from links where dst not in (select host from own)),
 {', '.join(steps)},
-scored as (select t.host, round(t.score, 6) as trust, round(d.score, 6) as distrust from trust_{rounds} t join distrust_{rounds} d using (host))
+scored as (select t.host, round(t.score, 6) as trust, round(d.score, 6) as distrust from trust t join distrust d using (host))
 select j.page_id, j.host, j.path, j.rule,
   coalesce(j.said, case when s.distrust >= {threshold} and s.distrust > s.trust then 'block' end, 'allow') as verdict, s.trust, s.distrust
 from judged j left join scored s on j.host = s.host"""
@@ -93,7 +88,7 @@ doc_grams as (select rid, k, i, array_to_string(w[i:i+k-1], ' ') as g from doc_r
 starts as (select distinct d.rid, p.size, p.k, d.i - p.i as start from doc_grams d join places p on d.k = p.k and d.g = p.g),
 clipped as (select distinct s.rid, s.size, s.k, greatest(0, least(s.start, len(d.w) - s.size)) as start from starts s join docs d using (rid)),
 gaps as (select *, lead(start) over (partition by rid, size, k order by start) - start as gap from clipped),
-cut as (select rid, size, k, unnest(range(start, start + case when gap < size then gap else 1 end)) as start from gaps),
+cut as (select rid, size, k, unnest(range(start, start + case when gap <= greatest(size - 1, 2 * (size - k)) then gap else 1 end)) as start from gaps),
 win as materialized (select row_number() over () as wid, c.*, d.w[c.start + 1 : c.start + c.size] as words from cut c join docs d using (rid)),
 win_runs as (select wid, size, k, words, unnest(range(1, len(words) - k + 2)) as i from win),
 win_grams as (select wid, size, k, array_to_string(words[i:i+k-1], ' ') as g, count(*) as n from win_runs group by all),
