@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
 Documents are cut into pieces of at most ``capacity`` words. A bin holds no two pieces of one
-source and no two of one duplicate cluster. Pieces are dealt at random, by a hash of their row,
+source and no two of one duplicate cluster. Pieces are dealt at random, by a hash of id, source and text,
 into groups of some ``group_rows`` documents, which are packed on their own: the hot
 source or cluster spreads like any other, and only the last bins of a group stay emptier than they
 could be. In a group, pieces go in order of falling size. Bins are kept in
@@ -11,7 +11,7 @@ without a conflict is found: the tightest compatible one. If there is none, a bi
 
 Defined cases: a null or empty text is one piece of no words, packed like any other; a null source or
 cluster is in conflict with nothing; repeated rows are packed each; copies have equal texts
-and so are in conflict, near copies only with ``clusters`` from :func:`near_clusters`; equal pieces go in the order of their rows; an empty table gives an
+and so are in conflict, near copies only with ``clusters`` from :func:`near_clusters`; equal pieces go in the order of a hash of id, source and text, so bins do not depend on files or partitions; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -20,13 +20,17 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm import simhash_dedup
 from jobtide.llm.common import store
 
 
+#: Parts into which the rows of one text are dealt when their cluster is looked up.
+SALTS = 32
+
+
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """The bin of each piece; the pieces are given in the order in which they are packed."""
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(x for x in sources if x is not None))}
@@ -69,6 +73,26 @@ def near_clusters(docs: DataFrame, shingle: int = 3, distance: int = 2, text: st
     return found.groupBy(F.col("doc_id").alias("copy")).agg(F.min("component_id").alias("cluster"))
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Adds ``copy_no``, from 0, to rows of one ``name`` (equal id, source and text), which are else alike.
+
+    Names with one row, nearly all, are numbered without moving them. Many rows of one name are numbered by input
+    partition and shifted, so none of their tasks holds them all.
+    """
+    again = store(rows.groupBy("name").agg(F.count("*").alias("rows")).where("rows > 1").select("name"), "packing-repeated")
+    if again.isEmpty():
+        return rows.withColumn("copy_no", F.lit(0).cast("long"))
+    flagged = rows.join(again.withColumn("again", F.lit(True)), "name", "left").withColumn("part", F.spark_partition_id())
+    flagged = store(flagged, "packing-flagged")
+    many = flagged.where("again").drop("again")
+    inside = F.row_number().over(Window.partitionBy("name", "part").orderBy("words")) - 1
+    ahead = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = many.groupBy("name", "part").count().select("name", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("offset"))
+    counted = many.withColumn("nth", inside).join(offsets, ["name", "part"]).withColumn("copy_no", F.col("nth") + F.col("offset"))
+    return store(flagged.where("again is null").withColumn("copy_no", F.lit(0).cast("long")).select(*rows.columns, "copy_no").unionByName(
+        counted.select(*rows.columns, "copy_no")), "packing-numbered")
+
+
 def pack(
     docs: DataFrame, capacity: int = 2048, group_rows: int = 8192, key: str = "doc_id", text: str = "text",
     source: str = "source", cluster: Column | None = None, clusters: DataFrame | None = None,
@@ -81,22 +105,26 @@ def pack(
     if cluster is None:
         cluster = F.when(F.col(text) != "", F.xxhash64(text))
     rows = store(docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), cluster.alias("cluster"),
-        words_in(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row")), "packing")
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), cluster.alias("cluster"), words_in(F.col(text)).alias("words"),
+        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")), text).alias("name")), "packing")
+    rows = numbered_copies(rows)
     if clusters is not None:
-        known = clusters.select(F.col("copy").alias("cluster"), F.col("cluster").alias("near"))
-        rows = store(rows.join(known, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).select(rows.columns), "packing-clusters")
+        # Only copies whose cluster has another name are looked up, each of them once for every salt.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        known = clusters.where("copy <> cluster").select(F.col("copy").alias("cluster"), F.col("cluster").alias("near"), salts)
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("name", "copy_no"), F.lit(SALTS)).cast("int"))
+        rows = store(salted.join(known, ["cluster", "salt"], "left").withColumn("cluster", F.coalesce("near", "cluster")).select(rows.columns), "packing-clusters")
     groups = max(1, -(-rows.count() // group_rows))
     count = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)).cast("long")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select(
-        "doc_id", "source", "cluster", "row", "piece", (F.col("piece") * capacity).alias("start"),
+        "doc_id", "source", "cluster", "name", "copy_no", "piece", (F.col("piece") * capacity).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece") * capacity).alias("n_words"),
-        F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).alias("group"))
+        F.pmod(F.xxhash64("name", "copy_no", "piece"), F.lit(groups)).alias("group"))
     full = pieces.where(F.col("n_words") == capacity)  # fills a bin alone
     kinds = dict(rows.dtypes)
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_words", "row", "piece"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["n_words", "name", "copy_no", "piece"], ascending=[False, True, True, True], kind="stable")
         plain = lambda column: [None if pd.isna(x) else x for x in column]
         frame["bin"] = best_fit(frame["n_words"].tolist(), plain(frame["source"]), plain(frame["cluster"]), capacity)
         frame["slot"] = frame.groupby("bin").cumcount()
@@ -109,5 +137,5 @@ def pack(
         "group").applyInPandas(packed, schema).withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"]))
     alone = full.select(
         "doc_id", "source", "piece", "start", "n_words",
-        F.concat(F.lit("f"), "row", F.lit("-"), "piece").alias("bin"), F.lit(0).cast("long").alias("slot"))
+        F.concat(F.lit("f"), F.hex("name"), F.lit("-"), "copy_no", F.lit("-"), "piece").alias("bin"), F.lit(0).cast("long").alias("slot"))
     return mixed.unionByName(alone)
