@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -97,6 +98,16 @@ def test_toxicity_learns_terms_spelling_and_quotation(spark):
     assert all(out[i].predicted == t for i, _, t in marks)
 
 
+def test_stray_marks_are_no_quotation():
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    find = lambda word: 0.95 if word == "nitwit" else 0.0
+    judged = lambda text: toxicity.score_text(text, {}, find)
+    assert judged("nitwit") == judged(f'a 5" pipe {words(500)} nitwit {words(500)} a 7" pipe') == pytest.approx(0.95)
+    assert judged(f'a 5" pipe {words(500)} "you nitwit" {words(500)}') == pytest.approx(0.95 * toxicity.QUOTED)
+    assert judged(f'"{words(10)} nitwit" then') == pytest.approx(0.95 * toxicity.QUOTED)
+    assert toxicity.quoted_places(['"', "a", '"', "b", '"', "c"]) == [False, True, False, False, False, False]
+
+
 def test_toxicity_odd(odd, labels, spark):
     out = rows_of(toxicity.judge_toxicity(odd, labels))
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
@@ -135,12 +146,44 @@ def test_propagation_is_power_iteration(spark):
     for a, b, n in links:
         m[int(b[1:]), int(a[1:])] += n
     m = m / np.maximum(1, m.sum(axis=0))
-    want = s = np.array([seed[f"h{i}"] for i in range(12)])
-    for _ in range(7):
-        want = s + 0.85 * m @ want
+    want = np.linalg.solve(np.eye(12) - 0.85 * m, np.array([seed[f"h{i}"] for i in range(12)]))
     got = url_filter.propagate(spark.createDataFrame(list(seed.items()), "host string, seed double"),
-                               spark.createDataFrame(links, "src string, dst string, n long"), 0.85, 7)
-    assert all(math.isclose(r.score, want[int(r.host[1:])], rel_tol=1e-9) for r in got.collect())
+                               spark.createDataFrame(links, "src string, dst string, n long"), 0.85).collect()
+    assert len(got) == 12 and all(math.isclose(r.score, want[int(r.host[1:])], abs_tol=1e-7) for r in got)
+
+
+def as_sql(said, **tables):
+    """Rows of a SQL twin on tables given as ``(columns, rows)``."""
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.execute(f"create table {name} ({columns})")
+        if rows:
+            con.executemany(f"insert into {name} values ({', '.join('?' * len(rows[0]))})", rows)
+    found = con.execute(said)
+    return [dict(zip([c[0] for c in found.description], r)) for r in found.fetchall()]
+
+
+def test_url_filter_agrees_with_sql_on_linked_hosts(spark):
+    """Among them a host with a blocked share of 0.15 that is linked both ways with another: its verdict needs the limit."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    pages = [(i, "http://slow.net/fr/1" if i < 3 else "http://slow.net/en/1", link("pal.org")) for i in range(20)]
+    pages += [(100 + i, "http://pal.org/", link("slow.net")) for i in range(4)]
+    rng = random.Random(12)
+    hosts = ["a.com", "b.org", "c.net", "www.example.com", "example.com", "d.net", "e.io"]
+    for i in range(80):
+        h = rng.choice(hosts)
+        pages.append((200 + i, f"http://{h}/{rng.choice(['en/', 'es/', 'fr/', ''])}", link(*rng.sample(hosts, 2))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = rows_of(url_filter.judge_urls(df, queries.ALLOW, queries.BLOCK))
+    want = as_sql(queries.SQL["op2_url_filter"], pages=("page_id bigint, url varchar, html varchar", pages))
+    shown = lambda rows: sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"], round(r["trust"], 5), round(r["distrust"], 5)) for r in rows)
+    assert shown(out) == shown(want)
+    assert {r["verdict"] for r in out if r["host"] == "slow.net"} == {"block"}
+
+
+def test_equally_long_rules(spark):
+    df = spark.createDataFrame([(1, "http://x.a.com/x/y", "")], "page_id long, url string, html string")
+    assert rows_of(url_filter.judge_urls(df, ["a.com/"], ["com/x/"]))[0]["rule"] == "a.com/"
 
 
 # 3 quality rules
@@ -218,6 +261,8 @@ def test_passages_with_swapped_halves(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_passages(df, bench).collect()}
     want = {k: round(s, 6) for k, (s, _) in slow_passages(docs, items).items()}
     assert got == want and {(4, 2), (6, 3), (8, 4)} <= want.keys()
+    said = as_sql(queries.SQL["op4_benchmark_decontamination"], documents=("doc_id bigint, text varchar", docs), benchmark=("item_id bigint, text varchar", items))
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in said} == got
 
 
 def test_hamming_blocks_and_simhash(spark):
@@ -481,6 +526,20 @@ def test_packing_keeps_all_words_and_conflicts(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_bins_do_not_depend_on_partitions(spark):
+    rng = random.Random(29)
+    rows = [(i, prose(rng, rng.choice([3, 50, 200])), "en", rng.choice("aaab"), 0) for i in range(120)]
+    rows += rows[:10] + [(None, "same text", "en", "c", 0)] * 5 + [rows[3]] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    bins = []
+    for parts in (1, 3, 7):
+        out = rows_of(packing.pack(docs.repartition(parts), capacity=300, group_rows=40))
+        assert len(out) == len(rows) and len({(r["bin"], r["slot"]) for r in out}) == len(out)
+        bins.append(sorted(sorted((r["doc_id"] or -1, r["source"], r["n_words"]) for r in part)
+                           for _, part in itertools.groupby(sorted(out, key=lambda r: r["bin"]), key=lambda r: r["bin"])))
+    assert bins[0] == bins[1] == bins[2]
+
+
 def test_near_copies_never_share_a_bin(spark, tmp_path):
     rng = random.Random(23)
     rows = []
