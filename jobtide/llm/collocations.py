@@ -33,7 +33,7 @@ from jobtide.llm.spans import Cut, byte_kinds, cuts, raw_texts, same_bytes
 
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a batch, after which its entries leave.
-BATCH = 1_500_000
+BATCH = 2_200_000
 #: Occurrences compared at once.
 BLOCK = 1 << 17
 #: Bits of a fingerprint, and of a length, that travel with a pointer.
