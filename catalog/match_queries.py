@@ -216,9 +216,10 @@ SCORED_SQL = f"""{P}, {PROFILES_SQL},
   jobs AS (SELECT *, [lower(e) for e in needs] AS needs_low, [lower(s) for s in skills] AS js, [lower(x) for x in location] AS cities
     FROM (SELECT *, {NEEDS.format('[', ']', '[]')} AS needs FROM postings)),
   scored AS (SELECT profile_id, job_url, job_title, company, skills, us,
-      round((len(list_intersect(us, js)) / len(js)) * 30
-        + CASE WHEN years >= experience_min THEN 60 - least((years - experience_min) * 4, 20) ELSE greatest(0, 60 - (experience_min - years) * 15) END
-        + CASE WHEN len(needs) = 0 OR list_has_any(needs_low, covers) THEN 10 ELSE 0 END, 9) AS match_score
+      (len(list_intersect(us, js)) / len(js)) * 30 AS skill_points,
+      CASE WHEN years >= experience_min THEN 60 - least((years - experience_min) * 4, 20) ELSE greatest(0, 60 - (experience_min - years) * 15) END AS experience_points,
+      CASE WHEN len(needs) = 0 OR list_has_any(needs_low, covers) THEN 10 ELSE 0 END AS education_points,
+      round(skill_points + experience_points + education_points, 9) AS match_score
     FROM users JOIN jobs ON contains(lower(job_title), target_role) AND experience_min <= years + 3 AND list_has_any(places, cities)),
   best AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, job_url) AS INTEGER) AS rank FROM scored QUALIFY rank <= 15)"""
 
@@ -228,9 +229,11 @@ def j7(spark, sf):
     return match.count_matches(profiles(spark, sf), _jobs(spark, sf))
 
 
-@query("m1_match_score", SCORED_SQL + " SELECT profile_id, job_url, match_score FROM best WHERE rank = 1")
+@query("m1_match_score", SCORED_SQL + """ SELECT profile_id, rank, job_url, match_score, round(skill_points, 9) AS skill_points,
+    CAST(experience_points AS DOUBLE) AS experience_points, CAST(education_points AS DOUBLE) AS education_points FROM best""")
 def m1(spark, sf):
-    return match.match_profiles(profiles(spark, sf), _jobs(spark, sf), k=1).select("profile_id", "job_url", "match_score")
+    people, jobs = cut_lineage(profiles(spark, sf)), _jobs(spark, sf)
+    return match.match_parts(match.match_profiles(people, jobs), people, jobs)
 
 
 @query("t2_topk_matches", SCORED_SQL + " SELECT profile_id, rank, job_url, match_score FROM best")
@@ -248,10 +251,10 @@ def _explained(out):
     return out.withColumns({c: F.array_join(c, "|") for c in ("matched_skills", "missing_skills")})
 
 
-@query("m2_match_explain", EXPLAIN_SQL + " WHERE rank <= 3")
+@query("m2_match_explain", EXPLAIN_SQL)
 def m2(spark, sf):
-    people, jobs = profiles(spark, sf), _jobs(spark, sf)
-    return _explained(match.match_explain(match.match_profiles(people, jobs, k=3), people, jobs))
+    people, jobs = cut_lineage(profiles(spark, sf)), _jobs(spark, sf)
+    return _explained(match.match_explain(match.match_profiles(people, jobs), people, jobs))
 
 
 @query("e7_job_matches", EXPLAIN_SQL)

@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.tables import POSTINGS_SQL, PROFILES_SQL, RAW_SQL, full_postings, postings, profiles, raw_postings, stored_postings, sql_city, sql_clean, sql_title, table
 from jobtide import dims
 from jobtide.functions import text as tx
-from jobtide.operators import clean, filters, index, market, retrieval, routing
+from jobtide.operators import clean, filters, index, market, retrieval, routing, vector_index
 from jobtide.operators.locations import known_roles
 from jobtide.plans import build, reports
 from jobtide.session import scratch_path
@@ -221,13 +221,14 @@ def i6(spark, sf):
 # ----------------------------------------------------------------- retrieval
 
 
+# Searches take every hundredth vector as a query, against all vectors.
 def _vectors(spark, sf):
     corpus = table(spark, sf, "embeddings")
-    return corpus.select(F.col("vec_id").alias("query_id"), "embedding", "label"), corpus
+    return corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), corpus
 
 
 KNN_SQL = """pairs AS (SELECT q.vec_id AS query_id, d.vec_id, q.label = d.label AS same_label,
-    round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 2), 6) AS distance FROM embeddings q, embeddings d)"""
+    round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 2), 6) AS distance FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)"""
 
 
 def _hits_sql(k, where="true"):
@@ -247,6 +248,21 @@ def r1_cells(spark, sf):
     return retrieval.vector_topk(queries.select("*", everything), corpus.select("*", everything), k=5, match_on=["kind"], block_rows=300)
 
 
+@query("r1_vector_index_topk", _hits_sql(8) + " SELECT * FROM hits")
+def r1_index(spark, sf):
+    queries, corpus = _vectors(spark, sf)
+    index = vector_index.build_index(corpus.drop("label"), scratch_path(spark, "vectors"))
+    return vector_index.search(queries, index, k=8, exact=True)
+
+
+# An approximate search: what it misses depends on the centroids, so SQL cannot say it.
+@query("r1_vector_index_recall")
+def r1_recall(spark, sf):
+    queries, corpus = _vectors(spark, sf)
+    index = vector_index.build_index(corpus.drop("label"), scratch_path(spark, "vectors"))
+    return vector_index.recall(vector_index.search(queries, index, k=8, probes=8), retrieval.vector_topk(queries, corpus, k=8))
+
+
 @query("r2_vector_topk_filtered", _hits_sql(1, "same_label AND query_id <> vec_id") + " SELECT query_id, vec_id, distance FROM hits")
 def r2(spark, sf):
     queries, corpus = _vectors(spark, sf)
@@ -508,8 +524,8 @@ def i4(spark, sf):
     return crawl.crawl_frontier(users, done, yields, groups, quota=6, max_pages=29).select("role", "location_group", "page", "location", "url")
 
 
-def _landed_events(spark, sf):
-    """Events as raw postings, landed three times, with other query parts and in other column orders."""
+def _landed_layouts(spark, sf):
+    """Folders with events as raw postings, landed three times, with other query parts and in other column orders."""
     events = table(spark, sf, "events")
     row = lambda v: events.select(
         F.concat(F.lit("https://jobs.example/e/"), "event_id", F.lit(f"?v={v}")).alias("job_url"),
@@ -517,9 +533,14 @@ def _landed_events(spark, sf):
         F.lit("Bengaluru").alias("location"), F.expr("concat(user_id % 9, '-', user_id % 9 + 2, ' yrs')").alias("experience_required"),
         F.lit("Not Disclosed").alias("salary"), F.col("ts").cast("timestamp").alias("scraped_date"))
     path = scratch_path(spark, "landing")
-    for v in (1, 2, 3):  # three layouts
-        row(v).select(_EVENT_COLUMNS[v - 1 :] + _EVENT_COLUMNS[: v - 1]).write.mode("append").csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return path
+    for v in (1, 2, 3):
+        row(v).select(_EVENT_COLUMNS[v - 1 :] + _EVENT_COLUMNS[: v - 1]).write.csv(
+            f"{path}/{v}", header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return [f"{path}/{v}" for v in (1, 2, 3)]
+
+
+def _landed_events(spark, sf):
+    return _landed_layouts(spark, sf)[0].rsplit("/", 1)[0] + "/*"
 
 
 _EVENT_COLUMNS = ["job_url", "job_title", "company", "location", "experience_required", "salary", "scraped_date"]
@@ -531,15 +552,11 @@ def _event_rows(df):
     return df.select("job_url", "job_title", "company", F.array_join("location", "|").alias("location"), "experience_min", "scraped_date")
 
 
-def _event_stream(spark, sf, **kw):
-    return ingest.clean_stream(ingest.read_raw_stream(spark, _landed_events(spark, sf)), **kw)
-
-
 @query("i1_stream_ingest_postings", EVENTS_SQL + " WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
 def i1(spark, sf):
     base = scratch_path(spark, "ingest")
-    stream = _event_stream(spark, sf, as_of=F.lit("2024-01-31").cast("timestamp"))
-    ingest.ingest_stream(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    files = ingest.landed_files(spark, _landed_events(spark, sf))
+    ingest.ingest_stream(files, f"{base}/table", f"{base}/checkpoint", F.lit("2024-01-31").cast("timestamp")).awaitTermination()
     return _event_rows(spark.read.parquet(f"{base}/table"))
 
 
@@ -556,10 +573,9 @@ def i2(spark, sf):
 @query("i2_upsert_stream", EVENTS_SQL)
 def i2_stream(spark, sf):
     base = scratch_path(spark, "upserts")
-    raw = ingest.read_raw_stream(spark, _landed_events(spark, sf), max_files=1)
-    rows = clean.parse_fields(clean.standardize_locations(clean.clean_text_columns(raw)))
-    rows = rows.withColumn("job_url", tx.canonical_url(F.col("job_url")))
-    ingest.upsert_stream(rows, base, f"{base}/checkpoint").awaitTermination()
+    # One layout after the other: three versions.
+    for layout in sorted(_landed_layouts(spark, sf)):
+        ingest.upsert_stream(ingest.landed_files(spark, layout), base, f"{base}/checkpoint-{layout[-1]}").awaitTermination()
     return _event_rows(ingest.read_version(spark, base))
 
 

@@ -16,7 +16,7 @@ from jobtide.operators.market import top_n
 DIGITS = 6
 
 
-def _distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
+def distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     """Rounded squared L2 or cosine distances, queries by corpus."""
     if metric == "cosine":
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
@@ -26,10 +26,18 @@ def _distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarr
     return np.round(np.maximum(found, 0.0), DIGITS)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
+def as_matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k: int, cost_of, query_id: str, doc_id: str) -> pd.DataFrame:
+    """The ``k`` nearest of some documents for each of some queries; ties go to the smaller id."""
+    order = np.argsort(d_ids, kind="stable")
+    cost = cost_of(q_vectors, d_vectors[order])
+    rows, cols = smallest_per_row(cost, k)
+    return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[order][cols], "distance": cost[rows, cols]})
+
+
 def vector_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -44,7 +52,7 @@ def vector_topk(
     """The ``k`` nearest corpus rows of each query: (query, rank, doc, distance); exact.
 
     Ties go to the smaller id. ``match_on`` names metadata columns that must be
-    equal on both sides; null equals nothing. At most ``block_rows`` queries go to the corpus, which then
+    equal on both sides; null equals nothing. Rows without a vector are near to nothing. At most ``block_rows`` queries go to the corpus, which then
     stays where it is; more are never gathered, but compared with it in shuffled cells of about
     ``block_rows`` of either side. Either way a task emits at most k rows per query and cell, never the distances.
     """
@@ -52,17 +60,14 @@ def vector_topk(
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {doc_id} {id_type}, distance double"
     keys = list(match_on)
-    docs = corpus.select(*keys, doc_id, F.col(vector).alias("_v"))
-    asked = queries.select(*keys, query_id, F.col(vector).alias("_v"))
+    docs = corpus.where(F.col(vector).isNotNull()).select(*keys, doc_id, F.col(vector).alias("_v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(*keys, query_id, F.col(vector).alias("_v"))
     shipped = asked.limit(block_rows + 1).collect()
     if not shipped:
         return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
 
     def nearest(q_ids, q_vectors, d_ids, d_vectors) -> pd.DataFrame:
-        order = np.argsort(d_ids, kind="stable")
-        cost = _distances(q_vectors, d_vectors[order], metric)
-        rows, cols = smallest_per_row(cost, k)
-        return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[order][cols], "distance": cost[rows, cols]})
+        return nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k, lambda a, b: distances(a, b, metric), query_id, doc_id)
 
     if len(shipped) <= block_rows:
         groups: dict[tuple, list] = {}
@@ -80,7 +85,7 @@ def vector_topk(
                 for group, part in parts:
                     if group not in known:
                         continue
-                    found = nearest(*known[group], part[doc_id].to_numpy(), _matrix(part["_v"]))
+                    found = nearest(*known[group], part[doc_id].to_numpy(), as_matrix(part["_v"]))
                     best = found if best is None else pd.concat([best, found])
                 if best is not None:
                     best = best.sort_values(["distance", doc_id]).groupby(query_id, sort=False).head(k)
@@ -95,7 +100,7 @@ def vector_topk(
         def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(d) or not len(q):
                 return pd.DataFrame({query_id: [], doc_id: [], "distance": []})
-            return nearest(q[query_id].to_numpy(), _matrix(q["_v"]), d[doc_id].to_numpy(), _matrix(d["_v"]))
+            return nearest(q[query_id].to_numpy(), as_matrix(q["_v"]), d[doc_id].to_numpy(), as_matrix(d["_v"]))
 
         partial = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(cell, schema)
     return top_n(partial, [query_id], [F.col("distance"), F.col(doc_id)], k)

@@ -21,7 +21,7 @@ RAW_COLUMNS = [
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 
 
-def header_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+def header_layouts(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """The distinct headers of CSV files, each with the files that have it.
 
     One pass over the first block of each file as plain lines; what comes to the driver is the list of files,
@@ -35,8 +35,8 @@ def header_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list
     return [(next(csv.reader([r["head"].lstrip("\ufeff").strip()])), r["files"]) for r in found if r["head"].strip()]
 
 
-def read_raw_postings(spark: SparkSession, path: str, kinds: dict[str, str] = RAW_KINDS) -> DataFrame:
-    """All raw CSV files of a folder or pattern, unreadable files left out.
+def read_raw_postings(spark: SparkSession, path: str | list[str], kinds: dict[str, str] = RAW_KINDS) -> DataFrame:
+    """All raw CSV files of a folder, a pattern or a list of files, unreadable files left out.
 
     Columns are bound by the header of each file; files of one layout are read together
     and layouts are stacked by name. Columns that no file has are null. Rows without a file name and row number of their own get

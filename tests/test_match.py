@@ -1,10 +1,12 @@
+import csv
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import classify, index, match, retrieval, routing, transition
+from jobtide.operators import classify, index, match, retrieval, routing, transition, vector_index
+from jobtide.sources.postings import read_raw_postings
 from jobtide.streaming import crawl, ingest
 
 JOB = "job_url string, job_title string, location array<string>, experience_min double, skills_list array<string>, education_extracted array<string>"
@@ -35,16 +37,18 @@ def brute(users, jobs, k):
     return {p: sorted(v)[:k] for p, v in out.items()}, {p: len(v) for p, v in out.items()}
 
 
-@pytest.mark.parametrize("cell", [7, 2000])
-def test_match_equals_brute_force(spark, cell):
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_match_equals_brute_force(spark, k):
     users, jobs = people_and_jobs(spark)
-    want, counts = brute(users, jobs, 5)
+    want, counts = brute(users, jobs, k)
     got = {}
-    for r in match.match_profiles(users, jobs, k=5, cell_rows=cell).orderBy("profile_id", "rank").collect():
+    for r in match.match_profiles(users, jobs, k=k).orderBy("profile_id", "rank").collect():
         got.setdefault(r["profile_id"], []).append((-r["match_score"], r["job_url"]))
     assert got == want
-    seen = {r["profile_id"]: r["n_matches"] for r in match.count_matches(users, jobs, cell_rows=cell).collect()}
+    seen = {r["profile_id"]: r["n_matches"] for r in match.count_matches(users, jobs).collect()}
     assert {p: n for p, n in seen.items() if n} == counts
+    parts = match.match_parts(match.match_profiles(users, jobs, k=k), users, jobs).collect()
+    assert all(abs(r.match_score - r.skill_points - r.experience_points - r.education_points) < 1e-6 for r in parts)
 
 
 def test_single_scores(spark):
@@ -76,6 +80,28 @@ def test_transition_model_separates(spark):
     assert weights["skill_ratio"] > 0 > weights["exp_gap"] and weights["loc_match"] == pytest.approx(0)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vector_index(spark, tmp_path, metric):
+    rnd = np.random.default_rng(8)
+    middle = rnd.normal(size=(12, 8)) * 4
+    rows = [(i, [float(np.float32(x)) for x in middle[i % 12] + rnd.normal(size=8)], i % 3) for i in range(600)]
+    rows += [(1000, None, 0), (1001, rows[5][1], 0), (1002, rows[5][1], 0)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("away", F.lit("clash")).drop("away")
+    queries = corpus.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    true = retrieval.vector_topk(queries, corpus, 5, metric=metric)
+    index = vector_index.build_index(corpus, str(tmp_path / "index"), lists=20, rows=200, metric=metric)
+    assert spark.read.parquet(index.path).count() == 602 and len(index.centroids) == 20
+    want = sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in true.collect())
+    assert len(want) == 30 * 5  # the query without a vector finds nothing
+    for probes, block in ((1, 7), (4, 2000)):
+        got = vector_index.search(queries, index, 5, probes=probes, exact=True, block_rows=block).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in got) == want
+    hits = vector_index.recall(vector_index.search(queries, index, 5, probes=6), true).agg(F.sum("n_found") / F.sum("n_true")).first()[0]
+    assert hits >= 0.9
+    nothing = vector_index.build_index(corpus.limit(0), str(tmp_path / "nothing"))
+    assert vector_index.search(queries, nothing, 5).count() == 0 and vector_index.search(queries.limit(0), index, 5, exact=True).count() == 0
+
+
 @pytest.mark.parametrize("matched", [[], ["label"]])
 def test_nearest_equals_brute_force(spark, matched):
     rnd = np.random.default_rng(5)
@@ -159,3 +185,42 @@ def test_upsert_is_idempotent(spark, tmp_path):
     version = ingest.upsert_batch(one, path)
     held = ingest.manifest(spark, path, version)
     assert [v for v in held.values()].count(version) == 1 and ingest.upsert_batch(one.limit(0), path) == version
+
+
+LANDED = ["job_url", "job_title", "company", "location", "job_description", "scraped_date"]
+
+
+def test_stream_takes_what_the_batch_reader_takes(spark, tmp_path):
+    """Three layouts, quoted line breaks, a field of 200,000 characters, an empty file, a replay and a late file."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    rows = [{"job_url": f"https://x/{i}?q=1", "job_title": f"Data, \"Analyst\" {i}", "company": "Comp\nany", "location": "Pune",
+             "job_description": "word " * (40_000 if i == 3 else 3), "scraped_date": "2024-01-0%d" % (i % 9 + 1)} for i in range(12)]
+
+    def land(name, columns, some):
+        with open(landing / name, "w", newline="") as f:
+            out = csv.DictWriter(f, columns, extrasaction="ignore")
+            out.writeheader()
+            out.writerows(some)
+
+    land("a.csv", LANDED, rows[:5])
+    land("b.csv", LANDED[::-1], rows[3:9])
+    (landing / "empty.csv").write_text("")
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    run = lambda: ingest.ingest_stream(ingest.landed_files(spark, str(landing), 1), table, checkpoint).awaitTermination()
+    run()
+    run()
+    land("c.csv", LANDED[2:] + LANDED[:2], rows[7:])
+    run()
+    got = spark.read.parquet(table)
+    want = ingest.clean_rows(read_raw_postings(spark, str(landing)))
+    assert sorted(r.job_url for r in got.collect()) == sorted(r.job_url for r in want.select("job_url").distinct().collect())
+    assert got.count() == 12 and got.agg(F.max(F.length("job_description"))).first()[0] == 199_999
+    assert {r.company for r in got.collect()} == {"Comp any"}
+    assert spark.read.parquet(f"{table}/_files").count() == 3
+    number = spark.read.parquet(f"{table}/_files").where("path LIKE '%c.csv'").first().batch
+    ingest.ingest_batch(ingest.clean_rows(read_raw_postings(spark, str(landing / "c.csv"))), table, number)  # a replay
+    assert spark.read.parquet(table).count() == 12
+    base = str(tmp_path / "versions")
+    ingest.upsert_stream(ingest.landed_files(spark, str(landing)), base, str(tmp_path / "c2")).awaitTermination()
+    assert ingest.read_version(spark, base).count() == 12
