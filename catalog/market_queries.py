@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.tables import CITY, POSTINGS_SQL, RAW_SQL, TARGET_ROLE, PROFILES_SQL, postings, profiles, raw_postings, table
+from catalog.tables import CITY, POSTINGS_SQL, RAW_SQL, TARGET_ROLE, PROFILES_SQL, postings, profiles, raw_postings, stored_postings, table
 from jobtide import dims
 from jobtide.operators import clean, filters, locations, market
+from jobtide.session import scratch_path
 
 P = f"WITH {POSTINGS_SQL}"
 ROLES = ["analyst", "building eng", "furniture manager", "household", "machinery designer", "automobile", "data scientist"]
@@ -115,6 +116,24 @@ def t1(spark, sf):
     return market.top_skills(frequency, 10, ["role"]).drop("rank")
 
 
+# Counts by day are stored in two runs, the second of which writes its own days only.
+@query("g5_skill_growth", f"""{P}, days AS (SELECT CAST(scraped_date AS DATE) AS day, skills FROM postings WHERE scraped_date IS NOT NULL),
+  last AS (SELECT max(day) AS as_of FROM days),
+  dated AS (SELECT CASE WHEN as_of - day BETWEEN 0 AND 59 THEN 'now' ELSE 'before' END AS w, skills FROM days, last WHERE as_of - day BETWEEN 0 AND 119),
+  totals AS (SELECT count(*) FILTER (w = 'now') AS t_now, count(*) FILTER (w = 'before') AS t_before FROM dated),
+  counted AS (SELECT skill_name, count(*) FILTER (w = 'now') AS n_now, count(*) FILTER (w = 'before') AS n_before FROM (SELECT w, unnest(skills) AS skill_name FROM dated) GROUP BY 1)
+  SELECT skill_name, n_now, n_before, round(n_now / t_now * 100, 9) AS share_now, round(n_before / t_before * 100, 9) AS share_before,
+    round(CASE WHEN n_before > 0 THEN (n_now / t_now) / (n_before / t_before) * 100 - 100 END, 6) AS growth_rate FROM counted, totals WHERE n_now > 0""")
+def g5_growth(spark, sf):
+    jobs, path = stored_postings(spark, sf), scratch_path(spark, "daily-skills")
+    last = jobs.agg(F.max("scraped_date")).scalar()
+    market.store_daily_skills(jobs.where(F.col("scraped_date") < F.add_months(last, -2)), path)
+    market.store_daily_skills(jobs.where(F.to_date("scraped_date") >= F.to_date(F.add_months(last, -2))), path)
+    daily, as_of = spark.read.parquet(path), jobs.agg(F.max(F.to_date("scraped_date"))).first()[0]
+    out = market.skill_growth(daily, F.lit(as_of), 60, None)
+    return out.withColumns({"growth_rate": F.round("growth_rate", 6), "share_now": F.round("share_now", 9), "share_before": F.round("share_before", 9)})
+
+
 @query("g5_emerging_skills", f"""{P}, f AS ({_frequency_sql('postings', [])})
   SELECT skill_name, "count", avg_salary, percentage, percentage AS growth_rate FROM f ORDER BY "count" DESC, skill_name LIMIT 15""")
 def g5(spark, sf):

@@ -1,6 +1,5 @@
 """Association, graph, matching and model queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.market_queries import P, PR, ROLES, ROLES_SQL, _frequency_sql, roles
@@ -66,34 +65,41 @@ def a5(spark, sf):
     return graph.degree_centrality(*_graph(spark, sf), ["role"])
 
 
-# The labels themselves cannot be said in SQL; what every greedy modularity partition must satisfy can.
-@query("a6_skill_communities", CENTRAL_SQL + """ SELECT role, node, degree = 0 AS isolated, true AS alone_or_linked, true AS named_after_smallest,
-    true AS modularity_holds FROM central""")
+def _rounds_sql(rounds=10):
+    """Label propagation, a step for each round."""
+    steps = ["links AS MATERIALIZED (SELECT role, src AS node, dst AS other FROM strong UNION SELECT role, dst, src FROM strong)",
+             "l0 AS MATERIALIZED (SELECT role, skill_name AS node, skill_name AS label FROM top20)"]
+    for i in range(rounds):
+        steps.append(f"""l{i + 1} AS MATERIALIZED (SELECT role, node, label FROM (
+          SELECT role, node, label, count(*) AS n FROM (SELECT k.role, k.node, l.label FROM links k JOIN l{i} l ON k.role = l.role AND k.other = l.node UNION ALL SELECT role, node, label FROM l{i}) GROUP BY 1, 2, 3)
+          QUALIFY row_number() OVER (PARTITION BY role, node ORDER BY n DESC, label) = 1)""")
+    return ",\n  ".join(steps) + f""",
+  labelled AS (SELECT role, node, min(node) OVER (PARTITION BY role, label) AS community FROM l{rounds}),
+  ends_in AS (SELECT s.role, a.community AS ca, b.community AS cb FROM strong s JOIN labelled a ON a.role = s.role AND a.node = src JOIN labelled b ON b.role = s.role AND b.node = dst),
+  mass AS (SELECT role, community, count(*) AS d FROM (SELECT role, ca AS community FROM ends_in UNION ALL SELECT role, cb FROM ends_in) GROUP BY 1, 2),
+  quality AS (SELECT role, inside / m - dd / (4 * m * m) AS modularity FROM (SELECT role, count(*) AS m, count(*) FILTER (ca = cb) AS inside FROM ends_in GROUP BY 1)
+    JOIN (SELECT role, sum(d * d) AS dd FROM mass GROUP BY 1) USING (role))"""
+
+
+LABELS_SQL = CENTRAL_SQL + ", " + _rounds_sql()
+
+
+@query("a6_skill_communities", LABELS_SQL + " SELECT role, node, community, round(modularity, 9) AS modularity FROM labelled LEFT JOIN quality USING (role)")
 def a6(spark, sf):
     edges, nodes = _graph(spark, sf)
     edges, nodes = cut_lineage(edges), cut_lineage(nodes)
     labels = cut_lineage(graph.communities(edges, nodes, ["role"]))
-    sizes = labels.groupBy("role", "community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("smallest"))
-    single = labels.withColumn("community", F.col("node"))
-    gained = graph.modularity(edges, labels, ["role"]).join(
-        graph.modularity(edges, single, ["role"]).withColumnRenamed("modularity", "alone"), "role")
-    central = graph.degree_centrality(edges, nodes, ["role"])
-    rows = labels.join(sizes, ["role", "community"]).join(central, ["role", "node"]).join(gained, "role", "left")
-    isolated = F.col("degree") == 0
-    return rows.select(
-        "role", "node", isolated.alias("isolated"), (isolated == (F.col("size") == 1)).alias("alone_or_linked"),
-        (F.col("community") == F.col("smallest")).alias("named_after_smallest"),
-        F.coalesce(F.col("modularity") >= F.col("alone"), F.lit(True)).alias("modularity_holds"))
-
-
-@query("a7_community_breakdown", CENTRAL_SQL + " SELECT role, node, centrality, true AS ranked FROM central")
+    quality = graph.modularity(edges, labels, ["role"]).withColumn("modularity", F.round("modularity", 9))
+    return labels.join(quality, "role", "left")
+
+
+@query("a7_community_breakdown", LABELS_SQL + """ SELECT role, community, size, CAST(rank AS INTEGER) AS rank, node, centrality FROM (
+    SELECT *, count(*) OVER (PARTITION BY role, community) AS size, row_number() OVER (PARTITION BY role, community ORDER BY centrality DESC, node) AS rank
+    FROM labelled JOIN central USING (role, node)) WHERE rank <= 8""")
 def a7(spark, sf):
     edges, nodes = _graph(spark, sf)
-    labels = graph.communities(edges, nodes, ["role"])
-    out = graph.community_breakdown(graph.degree_centrality(edges, nodes, ["role"]), labels, ["role"], n=20)  # as many as a graph has nodes
-    before = F.lag("centrality").over(Window.partitionBy("role", "community").orderBy("rank"))
-    ranked = F.coalesce(F.col("centrality") <= before, F.col("rank") == 1) & (F.col("rank") <= F.col("size"))
-    return out.select("role", "node", "centrality", ranked.alias("ranked"))
+    edges, nodes = cut_lineage(edges), cut_lineage(nodes)
+    return graph.community_breakdown(graph.degree_centrality(edges, nodes, ["role"]), graph.communities(edges, nodes, ["role"]), ["role"])
 
 
 SUPPORT = 0.003

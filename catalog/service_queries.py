@@ -12,7 +12,7 @@ from jobtide.functions import text as tx
 from jobtide.operators import clean, filters, index, market, retrieval, routing, vector_index
 from jobtide.operators.locations import known_roles
 from jobtide.plans import build, reports
-from jobtide.session import scratch_path
+from jobtide.session import cut_lineage, scratch_path
 from jobtide.sources import dictionary as dic
 from jobtide.sources import pages as pg
 from jobtide.sources import postings as src
@@ -489,8 +489,9 @@ def w4(spark, sf):
     return crawl.quota_per_pair(_pages(spark, sf), quota=5)
 
 
-@query("w6_low_yield_expand", """SELECT CAST(user_id AS VARCHAR) AS role, event_type AS location_group, CAST(min(day(ts)) AS INTEGER) AS start_page, count(*) AS n_cards, count(*) FILTER (value > 20) AS n_new,
-    CAST(CASE WHEN count(*) FILTER (value > 20) < 3 THEN min(day(ts)) + 2 ELSE 0 END AS INTEGER) AS next_start FROM events GROUP BY 1, 2""")
+@query("w6_low_yield_expand", """WITH placed AS (SELECT CAST(user_id AS VARCHAR) AS role, event_type AS location_group, CAST(day(ts) AS INTEGER) AS page, value, min(CAST(day(ts) AS INTEGER)) OVER (PARTITION BY user_id, event_type) AS start_page FROM events)
+  SELECT role, location_group, start_page, count(*) AS n_cards, count(*) FILTER (value > 20) AS n_new,
+    CAST(CASE WHEN count(*) FILTER (value > 20) < 3 THEN start_page + 2 ELSE 0 END AS INTEGER) AS next_start FROM placed WHERE page < start_page + 2 GROUP BY 1, 2, 3""")
 def w6(spark, sf):
     seen = table(spark, sf, "events").groupBy(
         F.col("user_id").cast("string").alias("role"), F.col("event_type").alias("location_group"), F.dayofmonth("ts").alias("page")
@@ -504,24 +505,44 @@ def p15(spark, sf):
     return titles.select("job_title", crawl.search_url(F.col("job_title"), F.lit("New Delhi"), F.lit(3), "https://example.org").alias("url"))
 
 
-@query("i4_plan_crawl_frontier", """WITH seen AS (SELECT CAST(user_id AS VARCHAR) AS role, event_type AS location_group, CAST(day(ts) AS INTEGER) AS page, count(*) AS n_cards, count(*) FILTER (value > 10) AS n_new FROM events GROUP BY 1, 2, 3),
-  state AS (SELECT role, location_group, sum(n_new) AS n_new, max(page) AS page, arg_max(n_new, page) AS last_new FROM seen GROUP BY 1, 2),
-  open AS (SELECT r.role, g AS location_group, coalesce(page, 0) AS page, coalesce(n_new, 0) AS n_new, coalesce(last_new < 3, false) AS poor FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS role FROM events) r
-    CROSS JOIN (SELECT unnest(['click', 'error', 'refund']) AS g) LEFT JOIN state s ON s.role = r.role AND s.location_group = g
-    WHERE NOT (g = 'error' AND CAST(r.role AS BIGINT) % 2 = 0)),
-  going AS (SELECT *, unnest(range(page + 1, least(page + CASE WHEN poor THEN 2 ELSE 1 END, 29) + 1)) AS next_page FROM open WHERE n_new < 6 AND page < 29)
+SEEN_SQL = """seen AS (SELECT CAST(user_id AS VARCHAR) AS role, event_type AS location_group, CAST(day(ts) AS INTEGER) AS page, count(*) AS n_cards, count(*) FILTER (value > 10) AS n_new FROM events GROUP BY 1, 2, 3),
+  run AS (SELECT *, coalesce(sum(n_new) OVER (PARTITION BY role, location_group ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM seen WHERE page <= 29),
+  state AS (SELECT role, location_group, max(page) AS page, CAST(sum(n_new) AS BIGINT) AS n_new, CASE WHEN sum(n_new) >= 6 THEN 'quota' WHEN max(page) >= 29 THEN 'page limit' ELSE 'open' END AS status FROM run WHERE ahead < 6 GROUP BY 1, 2)"""
+
+
+def _crawled(spark, sf):
+    """(yields by page, state of every pair): the state is folded in two runs, the second of which sees all pages again."""
+    pages = table(spark, sf, "events").groupBy(
+        F.col("user_id").cast("string").alias("role"), F.col("event_type").alias("location_group"), F.dayofmonth("ts").alias("page")
+    ).agg(F.count(F.lit(1)).alias("n_cards"), F.count_if(F.col("value") > 10).alias("n_new"))
+    pages = cut_lineage(pages)
+    state = cut_lineage(crawl.fold_pages(spark.createDataFrame([], crawl.STATE), pages.where("page <= 12"), quota=6, max_pages=29))
+    return pages, crawl.fold_pages(state, pages, quota=6, max_pages=29)
+
+
+@query("w4_crawl_state", f"WITH {SEEN_SQL} SELECT * FROM state")
+def w4_state(spark, sf):
+    return _crawled(spark, sf)[1]
+
+
+@query("i4_plan_crawl_frontier", f"""WITH {SEEN_SQL},
+  blocks AS (SELECT role, location_group, start_page, start_page + 2 AS next_start FROM (SELECT *, min(page) OVER (PARTITION BY role, location_group) AS start_page FROM seen)
+    WHERE page < start_page + 2 GROUP BY 1, 2, 3 HAVING sum(n_new) < 3),
+  open AS (SELECT r.role, g AS location_group, coalesce(page, 0) AS page, CASE WHEN page = next_start - 1 THEN 2 * next_start - start_page - 1 ELSE coalesce(page, 0) + 1 END AS upto
+    FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS role FROM events) r CROSS JOIN (SELECT unnest(['click', 'error', 'refund']) AS g)
+    LEFT JOIN state s ON s.role = r.role AND s.location_group = g LEFT JOIN blocks b ON b.role = r.role AND b.location_group = g
+    WHERE NOT (g = 'error' AND CAST(r.role AS BIGINT) % 2 = 0) AND coalesce(status, 'open') = 'open'),
+  going AS (SELECT *, unnest(range(page + 1, least(upto, 29) + 1)) AS next_page FROM open)
   SELECT role, location_group, CAST(next_page AS INTEGER) AS page, place AS location, 'https://example.org/' || role || '-jobs-in-' || replace(lower(place), ' ', '-') || '-' || next_page AS url
   FROM going JOIN (VALUES ('click', 'Click City'), ('click', 'Klick'), ('error', 'Error'), ('refund', 'Refund')) v(g, place) ON g = location_group""")
 def i4(spark, sf):
     events = table(spark, sf, "events")
-    pair = [F.col("user_id").cast("string").alias("role"), F.col("event_type").alias("location_group")]
-    yields = events.groupBy(*pair, F.dayofmonth("ts").alias("page")).agg(F.count(F.lit(1)).alias("n_cards"), F.count_if(F.col("value") > 10).alias("n_new"))
-    done = events.where("event_type = 'error' AND user_id % 2 = 0").select(*pair).distinct()
     users = events.select(F.col("user_id").cast("string").alias("role"))
-    # Users without an error event but an even id are completed as well.
-    done = done.union(users.where("CAST(role AS BIGINT) % 2 = 0").select("role", F.lit("error").alias("location_group"))).distinct()
+    done = users.where("CAST(role AS BIGINT) % 2 = 0").select("role", F.lit("error").alias("location_group")).distinct()
     groups = {"click": ["Click City", "Klick"], "error": ["Error"], "refund": ["Refund"]}
-    return crawl.crawl_frontier(users, done, yields, groups, quota=6, max_pages=29).select("role", "location_group", "page", "location", "url")
+    pages, state = _crawled(spark, sf)
+    planned = crawl.crawl_frontier(users, done, state, groups, crawl.low_yield(pages, 2), max_pages=29)
+    return planned.select("role", "location_group", "page", "location", "url")
 
 
 def _landed_layouts(spark, sf):
@@ -619,7 +640,7 @@ def _landed_e2(spark, sf):
 def e3(spark, sf):
     base = scratch_path(spark, "build")
     change = build.full_build(spark, _landed_e2(spark, sf), base, _part_names(spark, sf), _prototypes(spark, sf), None, stop=STOP)
-    docs = spark.read.parquet(f"{base}/index").agg(F.count(F.lit(1)).alias("n"))
+    docs = build.read_build(spark, base, "index").agg(F.count(F.lit(1)).alias("n"))
     return change.withColumn("indexed", docs.scalar())
 
 
@@ -632,7 +653,7 @@ def e3_contents(spark, sf):
     base = scratch_path(spark, "build")
     for _ in range(2):  # the second build finds nothing new
         build.full_build(spark, _landed_e2(spark, sf), base, _part_names(spark, sf), _prototypes(spark, sf), None, stop=STOP)
-    part = lambda name, key, value: spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("part"), F.col(key).alias("job_url"), F.col(value).alias("value"))
+    part = lambda name, key, value: build.read_build(spark, base, name).select(F.lit(name).alias("part"), F.col(key).alias("job_url"), F.col(value).alias("value"))
     return part("cleaned", "job_url", "job_title").union(part("clustered", "job_url", "cluster_label")).union(part("index", "doc_id", "text"))
 
 

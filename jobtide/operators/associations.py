@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobtide import dims
 from jobtide.functions.text import normalize_skills
+from jobtide.operators.columns import IMPACT_SKILL_ORDER, chosen_skills
 from jobtide.operators.market import SKILLS
 from jobtide.session import broadcast_if_small, cut_lineage
 
@@ -61,8 +62,9 @@ def skill_pairs(postings: DataFrame, skills: DataFrame, id_col: str = "job_url",
     return rows.select(id_col, F.inline(_pairs(F.array_sort("basket"))))
 
 
-def frequent_skill_sets(postings: DataFrame, min_support: float = 0.05, skills: DataFrame | None = None, skills_col: str = SKILLS) -> DataFrame:
+def frequent_skill_sets(postings: DataFrame, min_support: float = 0.05, skills: DataFrame | None = None, skills_col: str | None = None) -> DataFrame:
     """(items, freq, n_baskets, support): skill sets in at least that share of the non-empty baskets."""
+    postings, skills_col = chosen_skills(postings, skills_col, IMPACT_SKILL_ORDER)
     # The miner passes over its baskets several times; derive them once.
     rows = cut_lineage(baskets(postings, (), skills, (), skills_col))
     sets = FPGrowth(itemsCol="basket", minSupport=min_support).fit(rows).freqItemsets

@@ -78,10 +78,8 @@ def merge_duplicates(
     without a key are kept apart by title and company. ``id_column`` adds the hash of
     what the row was merged by, which is unique.
 
-    The plain columns and the list columns are aggregated apart, on the same key: only
-    the key and the elements of the lists are multiplied. The states are one value per plain column and the
-    distinct elements per list column, and both are combined before the
-    shuffle, so a key that holds a large share of all rows stays cheap.
+    One aggregate: its states are one value per plain column and the distinct lists per list column, and all are combined
+    before the shuffle, so a key that holds a large share of all rows stays cheap.
     """
     unions = [c for c in union_columns if c in postings.columns]
     plain = [c for c in postings.columns if c != key and c not in unions and c != id_column]
@@ -97,15 +95,9 @@ def merge_duplicates(
 
     aggs = [first_filled(c) for c in plain]
     aggs.append(F.min_by(F.coalesce(F.col(key), F.lit("")), F.col("_order")).alias(key))
+    empty = F.array().cast("array<string>")
+    aggs += [F.coalesce(F.array_compact(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))), empty).alias(c) for c in unions]
     merged = rows.groupBy("_key").agg(*aggs)
-    if unions:
-        empty = F.array().cast("array<string>")
-        tag = lambda c: F.transform(F.coalesce(F.col(c), empty), lambda x: F.struct(F.lit(c).alias("tag"), x.alias("item")))
-        tagged = [tag(c) for c in unions]
-        items = rows.select("_key", F.explode(F.concat(*tagged)).alias("_item"))
-        lists = items.groupBy("_key").agg(*[
-            F.array_sort(F.collect_set(F.when(F.col("_item.tag") == c, F.col("_item.item")))).alias(c) for c in unions])
-        merged = merged.join(lists, "_key", "left").withColumns({c: F.coalesce(F.col(c), empty) for c in unions})
     if id_column:
         merged = merged.withColumn(id_column, F.sha2("_key", 256))
     return merged.select(*dict.fromkeys([*postings.columns, *([id_column] if id_column else [])]))

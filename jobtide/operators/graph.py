@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,89 +30,30 @@ def degree_centrality(edges: DataFrame, vertices: DataFrame, by: Sequence[str] =
     return joined.withColumn("centrality", centrality).drop("_n")
 
 
-MAX_GRAPH_VERTICES = 500
+def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = (), rounds: int = 10) -> DataFrame:
+    """Communities of the unweighted graphs by label propagation: (by, node, community).
 
-
-def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = (), max_vertices: int = MAX_GRAPH_VERTICES) -> DataFrame:
-    """Greedy modularity communities of the unweighted graphs: (by, node, community).
-
-    Starts from single vertices and merges, in each graph, the two linked
-    communities whose merge raises modularity most, while it does not fall. The
-    gain of a merge is compared as the integer 2mL - dd', which no summation
-    order can change; ties go to the smallest labels. A community is named after
-    its smallest vertex; isolated vertices stay alone.
-
-    When every graph has at most ``max_vertices`` vertices, as top-k skill graphs
-    do, each graph is one task's work. Otherwise all graphs advance together,
-    one merge per round, as joins over the edge table.
+    Every vertex starts with its own name. In a round, all vertices of all graphs at once take the label that most of their
+    neighbours and they themselves hold, of equally frequent ones the smallest. It ends when no label changes, or after ``rounds``
+    rounds. A community is named after its smallest vertex; isolated vertices stay alone. One method
+    for graphs of any size: a round is two joins over the edge table, and is checkpointed.
     """
-    keys = list(by) or ["_graph"]
-    graph = lambda df: df if by else df.withColumn("_graph", F.lit(0))
-    links = graph(edges).select(*keys, "src", "dst")
-    nodes = graph(vertices).select(*keys, "node")
-    largest = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_vertices:
-        schema = nodes.withColumn("community", F.col("node")).schema
-        labels = nodes.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(_greedy_labels, schema)
-    else:
-        labels = _greedy_rounds(links, nodes, keys)
-    return labels.select(*by, "node", "community")
-
-
-def _greedy_labels(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Communities of one bounded graph."""
-    nodes = nodes.sort_values("node", ignore_index=True)
-    place = pd.Series(nodes.index, index=nodes["node"])
-    between = np.zeros((len(nodes), len(nodes)), dtype=np.int64)
-    src, dst = place[links["src"]].to_numpy(), place[links["dst"]].to_numpy()
-    between[src, dst] = between[dst, src] = 1
-    degree, m = between.sum(axis=1), len(links)
-    label = np.arange(len(nodes))
-    while True:
-        gain = np.where(np.triu(between, 1) > 0, 2 * m * between - np.outer(degree, degree), -1)
-        a, b = np.unravel_index(np.argmax(gain), gain.shape) if gain.size else (0, 0)
-        if not gain.size or gain[a, b] < 0:
-            return nodes.assign(community=nodes["node"].to_numpy()[label])
-        label[label == b] = a
-        between[a] += between[b]
-        between[:, a] += between[:, b]
-        between[b] = between[:, b] = 0
-        between[a, a] = 0
-        degree[a], degree[b] = degree[a] + degree[b], 0
-
-
-def _greedy_rounds(links: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """The same merges for graphs of any size; every round is checkpointed."""
-    links = cut_lineage(links)
-    totals = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    degrees = _both_ways(links, keys).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = cut_lineage(
-        nodes.join(degrees, [*keys, "node"], "left").fillna(0, ["degree"]).withColumn("community", F.col("node"))
-    )
-    count = lambda df: df.select(*keys, "community").distinct().count()
-    remaining = count(nodes)
-    while True:
-        label = nodes.select(*keys, "node", "community")
-        ends = links
-        for side in ("src", "dst"):
-            ends = ends.join(label.select(*keys, F.col("node").alias(side), F.col("community").alias(f"c_{side}")), [*keys, side])
-        weight = nodes.groupBy(*keys, "community").agg(F.sum("degree").alias("d"))
-        end = lambda name: weight.select(*keys, F.col("community").alias(name), F.col("d").alias(f"d_{name}"))
-        gains = (
-            ends.where("c_src <> c_dst")
-            .groupBy(*keys, F.least("c_src", "c_dst").alias("a"), F.greatest("c_src", "c_dst").alias("b"))
-            .agg(F.count(F.lit(1)).alias("links"))
-            .join(totals, keys).join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"])
-            .withColumn("gain", 2 * F.col("m") * F.col("links") - F.col("d_a") * F.col("d_b"))
-            .where("gain >= 0")
-        )
-        merge = gains.groupBy(*keys).agg(F.min(F.struct((-F.col("gain")).alias("g"), "a", "b")).alias("_merge"))
-        merged = F.when(F.col("community") == F.col("_merge.b"), F.col("_merge.a")).otherwise(F.col("community"))
-        nodes = cut_lineage(nodes.join(merge, keys, "left").withColumn("community", merged).drop("_merge"))
-        left = count(nodes)
-        if left == remaining:
-            return nodes
-        remaining = left
+    keys = list(by)
+    nodes = cut_lineage(vertices.select(*keys, "node").distinct())
+    links = cut_lineage(_both_ways(edges.where("src <> dst"), by).distinct())
+    labels = nodes.withColumn("label", F.col("node"))
+    mark = None
+    for _ in range(rounds):
+        heard = links.join(labels.withColumnsRenamed({"node": "other"}), [*keys, "other"]).select(*keys, "node", "label")
+        votes = heard.unionByName(labels).groupBy(*keys, "node", "label").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy(*keys, "node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
+        labels = cut_lineage(best.select(*keys, "node", F.col("best.label").alias("label")))
+        state = labels.agg(F.sum(F.xxhash64(*keys, "node", "label").cast("decimal(38,0)"))).first()[0]
+        if state == mark:
+            break
+        mark = state
+    smallest = labels.groupBy(*keys, "label").agg(F.min("node").alias("community"))
+    return labels.join(smallest, [*keys, "label"]).select(*keys, "node", "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

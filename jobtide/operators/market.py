@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.stats import t_pvalue, welch
 from jobtide.functions.text import normalize_skills
+from jobtide.operators.columns import IMPACT_SKILL_ORDER, STATS_SKILL_ORDER, chosen_skills
 from jobtide.operators.filters import role_titles
 from jobtide.session import broadcast_if_small, cut_lineage
 
@@ -62,11 +63,12 @@ def _rate(n: Column, total: Column) -> Column:
     return n / total * 100
 
 
-def skill_frequency(postings: DataFrame, by: Sequence[str] = (), skills_col: str = SKILLS, roles: DataFrame | None = None) -> DataFrame:
+def skill_frequency(postings: DataFrame, by: Sequence[str] = (), skills_col: str | None = None, roles: DataFrame | None = None) -> DataFrame:
     """Per group and skill: count, mean salary, and the share of all the group's postings.
 
-    Postings without skills count in the share's denominator.
+    Postings without skills count in the share's denominator. Extracted skills go before listed ones, unless a column is named.
     """
+    postings, skills_col = chosen_skills(postings, skills_col, STATS_SKILL_ORDER)
     if roles is not None:
         keys, skills, totals = _role_skills(postings, by, skills_col, roles)
     else:
@@ -120,13 +122,48 @@ def emerging_skills(postings: DataFrame, n: int = 15, **kw) -> DataFrame:
     return top_skills(frequency, n, kw.get("by", ()))
 
 
+def daily_skills(postings: DataFrame, skills_col: str | None = None, date: str = "scraped_date") -> DataFrame:
+    """(day, skill_name, n): postings of each day with each skill; under a null skill all postings of the day."""
+    postings, skills_col = chosen_skills(postings, skills_col, STATS_SKILL_ORDER)
+    names = F.filter(normalize_skills(F.col(skills_col)), lambda x: x != "")
+    rows = postings.where(F.col(date).isNotNull()).select(
+        F.to_date(date).alias("day"), F.explode(F.concat(F.array(F.lit(None).cast("string")), names)).alias("skill_name"))
+    return rows.groupBy("day", "skill_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_daily_skills(postings: DataFrame, path: str, **kw) -> None:
+    """Write the counts of the days in ``postings``, a folder for each; other days of the table stay as they are."""
+    daily_skills(postings, **kw).repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def skill_growth(daily: DataFrame, as_of: Column, days: int = 14, n: int | None = 15) -> DataFrame:
+    """(skill_name, n_now, n_before, share_now, share_before, growth_rate) of two windows of ``days`` days.
+
+    The later window ends with ``as_of``. Shares are percentages of the window's postings, the rate is the change of the share
+    in percent; null for skills that are new. Skills go by rate (new ones first), then share and name. Only counts of
+    the days of both windows are read.
+    """
+    age = F.datediff(as_of, "day")
+    window = F.when(age.between(0, days - 1), "now").when(age.between(days, 2 * days - 1), "before")
+    part = daily.where(age.between(0, 2 * days - 1)).withColumn("_w", window)
+    count = lambda w, c: F.sum(F.when(F.col("_w") == w, F.col("n")).otherwise(0)).alias(c)
+    totals = part.where("skill_name IS NULL").agg(F.struct(count("now", "now"), count("before", "before")).alias("t")).scalar()
+    sums = part.where("skill_name IS NOT NULL").groupBy("skill_name").agg(count("now", "n_now"), count("before", "n_before")).where("n_now > 0")
+    share = lambda c, w: F.coalesce(_rate(F.col(c), F.nullif(F.col(f"_t.{w}"), F.lit(0))), F.lit(0.0))
+    out = sums.withColumn("_t", totals).withColumns({"share_now": share("n_now", "now"), "share_before": share("n_before", "before")})
+    out = out.withColumn("growth_rate", F.when(F.col("n_before") > 0, (F.col("share_now") / F.col("share_before") - 1) * 100)).drop("_t")
+    if n is None:
+        return out
+    return out.orderBy(F.col("growth_rate").desc_nulls_first(), F.col("share_now").desc(), "skill_name").limit(n)
+
+
 def skill_salary_impact(
     postings: DataFrame,
     by: Sequence[str] = (),
     skills: DataFrame | None = None,
     min_n: int = 3,
     positive_only: bool = True,
-    skills_col: str = SKILLS,
+    skills_col: str | None = None,
 ) -> DataFrame:
     """Mean salary with and without each skill, the premium, and Welch's test of it.
 
@@ -134,6 +171,7 @@ def skill_salary_impact(
     with it, so no skill scans the postings again. Membership is exact on
     normalised skills; ``skills`` (``skill_name``) limits the skills looked at.
     """
+    postings, skills_col = chosen_skills(postings, skills_col, IMPACT_SKILL_ORDER)
     paid = postings.where(F.col("salary_mid").isNotNull())
     moments = [
         F.count(F.lit(1)).cast("double").alias("n"),
@@ -263,8 +301,9 @@ def salary_distribution(postings: DataFrame, by: Sequence[str] = (), exact: bool
     )
 
 
-def cluster_profile(postings: DataFrame, skills_col: str = SKILLS) -> DataFrame:
+def cluster_profile(postings: DataFrame, skills_col: str | None = None) -> DataFrame:
     """Per cluster: count, mean salary, five companies, five locations, ten skills."""
+    postings, skills_col = chosen_skills(postings, skills_col, STATS_SKILL_ORDER)
     base = postings.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count"), F.avg("salary_mid").alias("avg_salary"))
     kinds = [("company", 5), ("location", 5), ("skill", 10)]
     one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.text import normalize_skills
+from jobtide.operators.columns import IMPACT_SKILL_ORDER, chosen_skills
 
 MIN_ROWS = 20
 
@@ -20,11 +21,12 @@ class SalaryModel:
     stages: PipelineModel
 
 
-def train_salary_model(postings: DataFrame, skills_col: str = "skills_list", trees: int = 100, depth: int = 30, seed: int = 42) -> SalaryModel | None:
+def train_salary_model(postings: DataFrame, skills_col: str | None = None, trees: int = 100, depth: int = 30, seed: int = 42) -> SalaryModel | None:
     """Forest on experience (median where missing), number of skills and cluster.
 
     Null when fewer than twenty postings have a salary.
     """
+    postings, skills_col = chosen_skills(postings, skills_col, IMPACT_SKILL_ORDER)
     rows = postings.where("salary_mid IS NOT NULL").select(
         F.col("experience_min").cast("double").alias("exp_num"),
         F.size(normalize_skills(F.col(skills_col))).cast("double").alias("num_skills"),

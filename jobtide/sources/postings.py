@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from jobtide import dims
 from jobtide.functions import text as tx
+from jobtide.operators.columns import STATS_SKILL_ORDER, choose_column, with_skills  # noqa: F401
 from jobtide.operators.skills import extract_skills
 
 #: Columns with another type than text.
@@ -140,30 +141,6 @@ def resume_facts(resumes: DataFrame, dictionary: DataFrame, id_col: str = "path"
     })
 
 
-def choose_column(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
-    """The first candidate column that exists and holds a value somewhere.
-
-    One aggregate over the table; Parquet answers it from column statistics.
-    """
-    present = [c for c in candidates if c in df.columns]
-    if not present:
-        return None
-    filled = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in present]).first()
-    return next((c for c in present if filled[c]), None)
-
-
-STATS_SKILL_ORDER = ("skills_extracted", "skills_list")
-IMPACT_SKILL_ORDER = ("skills_list", "skills_extracted", "skills_text")
-
-
-def with_skills(df: DataFrame, order: tuple[str, ...] = STATS_SKILL_ORDER, out: str = "skills_list") -> DataFrame:
-    """The table with the first filled skill column as ``out``; an empty list where there is none."""
-    chosen = choose_column(df, order)
-    if chosen == out:
-        return df
-    return df.withColumn(out, F.col(chosen) if chosen else F.array().cast("array<string>"))
-
-
 def describe_sources(docs: DataFrame, indexed: DataFrame, failed: DataFrame | None = None, key: str = "job_url") -> DataFrame:
     """(source_file, n_docs, n_new, n_indexed, status) of an index build.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtide.operators import classify, index, match, retrieval, routing, transition, vector_index
+from jobtide.plans import build
 from jobtide.sources.postings import read_raw_postings
 from jobtide.streaming import crawl, ingest
 
@@ -224,3 +225,55 @@ def test_stream_takes_what_the_batch_reader_takes(spark, tmp_path):
     base = str(tmp_path / "versions")
     ingest.upsert_stream(ingest.landed_files(spark, str(landing)), base, str(tmp_path / "c2")).awaitTermination()
     assert ingest.read_version(spark, base).count() == 12
+
+
+def test_crawl_folds_once_however_often_it_runs(spark):
+    none = spark.createDataFrame([], crawl.STATE)
+    pages = [("a", "g", p, 5, 1) for p in (1, 2, 3)] + [("b", "g", 1, 9, 4), ("b", "g", 2, 9, 4), ("b", "g", 3, 9, 4)]
+    pages += [("c", "g", 1, 3, 2), ("c", "g", 2, 0, 0), ("c", "g", 3, 7, 7), ("d", "g", 1, 1, 1), ("d", "g", 4, 1, 1)]
+    pages = spark.createDataFrame(pages, "role string, location_group string, page int, n_cards long, n_new long")
+    whole = crawl.fold_pages(none, pages, quota=6, max_pages=4)
+    got = {r.role: (r.page, r.n_new, r.status) for r in whole.collect()}
+    assert got == {"a": (3, 3, "open"), "b": (2, 8, "quota"), "c": (2, 2, "dry"), "d": (4, 2, "page limit")}
+    state = none
+    for upto in (1, 2, 2, 3, 3, 4):
+        state = crawl.fold_pages(state, pages.where(F.col("page") <= upto), quota=6, max_pages=4).checkpoint()
+    assert {r.role: (r.page, r.n_new, r.status) for r in state.collect()} == got
+    roles, done = spark.createDataFrame([(x,) for x in "abcdef"], "role string"), spark.createDataFrame([("f", "g")], "role string, location_group string")
+    blocks = crawl.low_yield(pages, 3)
+    plan = lambda s: sorted((r.role, r.page) for r in crawl.crawl_frontier(roles, done, s, {"g": ["G"]}, blocks, max_pages=20).collect())
+    assert plan(whole) == [("a", 4), ("e", 1)]  # three new postings in the first block: no second one
+    blocks = crawl.low_yield(pages, 3, threshold=4)
+    assert plan(whole) == [("a", 4), ("a", 5), ("a", 6), ("e", 1)]
+    more = pages.unionByName(pages.limit(1).selectExpr("'a' role", "'g' location_group", "6 page", "5L n_cards", "0L n_new"))
+    blocks = crawl.low_yield(more, 3, threshold=4)
+    assert plan(crawl.fold_pages(whole, more, quota=6, max_pages=20)) == [("a", 7), ("d", 5), ("e", 1)][:1] + [("e", 1)]
+
+
+def test_a_build_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    raw, base = tmp_path / "raw", str(tmp_path / "base")
+    raw.mkdir()
+
+    def land(name, ids):
+        with open(raw / name, "w", newline="") as f:
+            out = csv.writer(f)
+            out.writerow(LANDED)
+            out.writerows([f"https://x/{i}", f"Job {i}", "C", "Pune", f"needs sql and word{i % 3} text", "2024-01-01"] for i in ids)
+
+    dictionary = spark.createDataFrame([("sql",)], "skill string")
+    prototypes = spark.createDataFrame([(0, "A", "sql text"), (1, "B", "word1 word2")], "cluster_id int, cluster_label string, text string")
+    run = lambda: build.full_build(spark, str(raw), base, dictionary, prototypes, stop=[])
+    urls = lambda part, key="job_url": sorted(r[0] for r in build.read_build(spark, base, part).select(key).collect())
+    land("a.csv", range(6))
+    assert build.read_build(spark, base, "cleaned") is None and run().first()["new_records"] == 6
+    first = [f"https://x/{i}" for i in range(6)]
+    land("b.csv", range(4, 9))
+    for broken in ("cluster_table", "commit"):
+        with monkeypatch.context() as m:
+            m.setattr(build, broken, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                run()
+        assert urls("cleaned") == urls("clustered") == urls("index", "doc_id") == first
+    assert run().first()["new_records"] == 3 and not run().first()["should_update"]
+    assert urls("cleaned") == urls("clustered") == urls("index", "doc_id") == [f"https://x/{i}" for i in range(9)]
+    assert {"pca_x", "pca_y"} <= set(build.read_build(spark, base, "clustered").columns)
