@@ -204,20 +204,26 @@ def word_prints(words: DataFrame) -> DataFrame:
 
 
 def bloom_filter(fps: DataFrame, bits: int) -> np.ndarray:
-    """A filter of ``bits`` (a power of two) with two places for each ``fp``; its size does not depend on the data."""
+    """A filter of ``bits`` (a power of two) with two places for each ``fp``; its size does not depend on the data.
+
+    Places are dealt out by chunks of the filter, and a task sets the bits of its chunks as they come.
+    """
     shift, mask = bits.bit_length() - 1, F.lit(bits - 1).cast("long")
     places = fps.select(F.explode(F.array(
-        F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", shift).bitwiseAND(mask))).alias("place")).distinct()
-
-    def filled(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        flags = np.zeros(min(CHUNK, bits), np.uint8)
-        flags[table.column("place").to_numpy() - chunk * CHUNK] = 1
-        return pa.table({"chunk": pa.array([chunk], pa.int64()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+        F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", shift).bitwiseAND(mask))).alias("place"))
+    chunk = F.shiftright("place", CHUNK.bit_length() - 1).cast("int")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunks, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for c in np.unique(chunks).tolist():
+                inside = at[chunks == c] - c * CHUNK
+                np.bitwise_or.at(held.setdefault(c, np.zeros(min(CHUNK, bits) // 8, np.uint8)), inside >> 3, (128 >> (inside & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in places.select(F.shiftright("place", CHUNK.bit_length() - 1).alias("chunk"), "place").groupBy("chunk").applyInArrow(
-            filled, "chunk long, bits binary").collect():
+    for r in places.select(chunk.alias("chunk"), "place").repartition("chunk").mapInArrow(filled, "chunk int, bits binary").collect():
         out[r.chunk * CHUNK // 8 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -290,7 +296,10 @@ def frequent_entries(packed: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def read_phrases(docs: DataFrame, entries: DataFrame, longest: int) -> DataFrame:
-    """``(lang, phrase, words, f)``: the phrases that the pointers of the entries lead to, with exact counts."""
+    """``(lang, phrase, words, f)``: the phrases that the pointers of the entries lead to, with exact counts.
+
+    A phrase travels as one string with its language, parted by a new line, which no phrase holds.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -317,15 +326,17 @@ def read_phrases(docs: DataFrame, entries: DataFrame, longest: int) -> DataFrame
                     some = some[(found >> np.uint64(64 - CHECK)).astype(np.int64) == check[some]]
                     todo[some] = False
                     a, b = cut.starts[at[some]].tolist(), cut.ends[at[some] + size - 1].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[i] for i in doc[some].tolist()], pa.string()), pa.array([data[x:y].decode() for x, y in zip(a, b)], pa.string()),
-                         pa.array(np.full(len(some), size, np.int32)), pa.array(f[some])], names=["lang", "phrase", "words", "f"])
+                    named = [f"{data[x:y].decode()}\n{langs[i]}" for x, y, i in zip(a, b, doc[some].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(named, pa.string()), pa.array(f[some])], names=["name", "f"])
             if todo.any():
                 raise ValueError("a pointer does not lead to its phrase: the documents give other rows when they are read again; store them first")
 
     pointers = entries.groupBy("row").agg(F.collect_list(F.struct("place", "f")).alias("places"))
     texts = docs.join(pointers.hint("merge"), "row").select("lang", "text", "places")
-    return texts.mapInArrow(read, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    counts = texts.mapInArrow(read, "name string, f long").groupBy("name").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("name", "\n", 1)
+    lang = F.expr("substring(name, instr(name, '\n') + 1)")
+    return counts.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("words"), "f")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, filter_bits: int = 1 << 26, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
@@ -351,14 +362,16 @@ def scored(phrases: DataFrame, words: DataFrame, least: int) -> DataFrame:
     counts = words.where(F.col("f") >= least).select("lang", "phrase", "f").unionByName(phrases.select("lang", "phrase", "f"))
     parts = F.split("phrase", " ")
     cut = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).select(
-        "lang", "phrase", "words", F.col("f").alias("a"), "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), " ").alias("left"),
+        "lang", F.col("f").alias("a"), "words", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), " ").alias("left"),
         F.array_join(F.slice(parts, F.col("k") + 1, F.col("words")), " ").alias("right"))
     cut = cut.join(counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cut = cut.join(counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     wide = {c: F.col(c).cast("decimal(15,0)") for c in "alr"}  # products fit 38 digits
     score = F.call_function("div", wide["a"] * wide["a"] * F.lit(1_000_000).cast("decimal(7,0)"), wide["l"] * wide["r"])
-    best = cut.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "words", "a", "l", "r")).alias("best"))
-    return best.select("lang", "phrase", "best.words", "best.a", "best.l", "best.r", "best.score")
+    cut = cut.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "words", "a", "k", "l", "r", score.alias("score"))
+    best = cut.where("words > 2").groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "words", "a", "l", "r")).alias("best"))
+    single = cut.where("words = 2").select("lang", "phrase", "words", "a", "l", "r", "score")  # has one cut
+    return single.unionByName(best.select("lang", "phrase", "best.words", "best.a", "best.l", "best.r", "best.score"))
 
 
 def not_contained(found: DataFrame, share: int) -> DataFrame:
@@ -372,7 +385,7 @@ def not_contained(found: DataFrame, share: int) -> DataFrame:
     return joined.where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)).drop("longer")
 
 
-def first_of_each(found: DataFrame, first: int, salts: int = 64) -> DataFrame:
+def first_of_each(found: DataFrame, first: int, salts: int = 16) -> DataFrame:
     """Adds ``rank``; a language's rows are first cut to ``first`` in ``salts`` parts, so none meets one task whole."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
