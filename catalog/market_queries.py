@@ -126,11 +126,11 @@ def t1(spark, sf):
     round(CASE WHEN n_before > 0 THEN (n_now / t_now) / (n_before / t_before) * 100 - 100 END, 6) AS growth_rate FROM counted, totals WHERE n_now > 0""")
 def g5_growth(spark, sf):
     jobs, path = stored_postings(spark, sf), scratch_path(spark, "daily-skills")
-    last = jobs.agg(F.max("scraped_date")).scalar()
-    market.store_daily_skills(jobs.where(F.col("scraped_date") < F.add_months(last, -2)), path)
-    market.store_daily_skills(jobs.where(F.to_date("scraped_date") >= F.to_date(F.add_months(last, -2))), path)
-    daily, as_of = spark.read.parquet(path), jobs.agg(F.max(F.to_date("scraped_date"))).first()[0]
-    out = market.skill_growth(daily, F.lit(as_of), 60, None)
+    as_of = F.lit(jobs.agg(F.max(F.to_date("scraped_date"))).first()[0])
+    age = F.datediff(as_of, F.to_date("scraped_date"))
+    market.store_daily_skills(jobs.where(age.between(30, 119)), path)  # what a daily job would have written
+    market.store_daily_skills(jobs.where(age.between(0, 29)), path)
+    out = market.skill_growth(spark.read.parquet(path), as_of, 60, None)
     return out.withColumns({"growth_rate": F.round("growth_rate", 6), "share_now": F.round("share_now", 9), "share_before": F.round("share_before", 9)})
 
 

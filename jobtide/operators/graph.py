@@ -39,13 +39,15 @@ def communities(edges: DataFrame, vertices: DataFrame, by: Sequence[str] = (), r
     for graphs of any size: a round is two joins over the edge table, and is checkpointed.
     """
     keys = list(by)
-    nodes = cut_lineage(vertices.select(*keys, "node").distinct())
-    links = cut_lineage(_both_ways(edges.where("src <> dst"), by).distinct())
-    labels = nodes.withColumn("label", F.col("node"))
+    own = vertices.select(*keys, "node").distinct()
+    labels = cut_lineage(own.select(*keys, "node", F.concat("node", F.lit("")).alias("label")))
+    # A vertex hears its neighbours and itself.
+    links = _both_ways(edges.where("src <> dst"), by).unionByName(own.select(*keys, "node", F.concat("node", F.lit("")).alias("other")))
+    links = cut_lineage(links.distinct())
     mark = None
     for _ in range(rounds):
-        heard = links.join(labels.withColumnsRenamed({"node": "other"}), [*keys, "other"]).select(*keys, "node", "label")
-        votes = heard.unionByName(labels).groupBy(*keys, "node", "label").agg(F.count(F.lit(1)).alias("n"))
+        heard = links.join(labels.withColumnsRenamed({"node": "other"}), [*keys, "other"])
+        votes = heard.groupBy(*keys, "node", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(*keys, "node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
         labels = cut_lineage(best.select(*keys, "node", F.col("best.label").alias("label")))
         state = labels.agg(F.sum(F.xxhash64(*keys, "node", "label").cast("decimal(38,0)"))).first()[0]
