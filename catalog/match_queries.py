@@ -355,6 +355,27 @@ def _labelled(spark, sf):
     return docs.join(table(spark, sf, "labels"), "doc_id").withColumn("label", F.col("quality"))
 
 
+@query("m9_transition_probabilities")
+def m9_rows(spark, sf):
+    return transition.train_transition(_labelled(spark, sf), DOC_FEATURES).probability(_labelled(spark, sf)).select("doc_id", "label", "probability")
+
+
+@query("m11_feature_weights_learnt")
+def m11_rows(spark, sf):
+    return transition.feature_weights(spark, transition.train_transition(_labelled(spark, sf), DOC_FEATURES))
+
+
+@query("m14_predicted_salaries")
+def m14_rows(spark, sf):
+    people = profiles(spark, sf).withColumn("cluster_label", F.concat(F.lit("Cluster "), F.substring("profile_id", 2, 20).cast("long") % 20))
+    return salary.predict_salary(people, salary.train_salary_model(postings(spark, sf), trees=100)).select("profile_id", "cluster_label", "predicted_salary")
+
+
+@query("c4_coordinates")
+def c4_rows(spark, sf):
+    return classify.tfidf_pca(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("m9_transition_train", "SELECT doc_id, quality AS label, true AS is_probability, true AS better_than_chance FROM documents JOIN labels USING (doc_id)")
 def m9(spark, sf):
     model = transition.train_transition(_labelled(spark, sf), DOC_FEATURES)
@@ -421,6 +442,19 @@ def m13(spark, sf):
     return spark.createDataFrame(rows, "input int, trees int, is_share boolean, shares_sum_to_one boolean")
 
 
+# The forest must explain salaries it has seen better than their mean does; SQL gives the mean's error.
+@query("m13_salary_model_error", f"""{P} SELECT cluster_label, count(*) AS n, round(var_pop(salary_mid) , 6) AS mean_error, true AS better_than_the_mean
+  FROM postings WHERE salary_mid IS NOT NULL AND cluster_label IS NOT NULL GROUP BY 1""")
+def m13_error(spark, sf):
+    jobs = stored_postings(spark, sf).where("salary_mid IS NOT NULL AND cluster_label IS NOT NULL")
+    model = salary.train_salary_model(jobs, trees=20)
+    seen = jobs.select("cluster_label", "salary_mid", F.col("experience_min").alias("years_experience"), F.col("skills_list").alias("skills"))
+    found = salary.predict_salary(seen, model)
+    error = F.avg(F.pow(F.col("predicted_salary") - F.col("salary_mid"), 2))
+    return found.groupBy("cluster_label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.var_pop("salary_mid"), 6).alias("mean_error"), (error < F.var_pop("salary_mid")).alias("better_than_the_mean"))
+
+
 @query("m14_salary_predict", f"""WITH {PROFILES_SQL} SELECT profile_id, 'Cluster ' || (CAST(substr(profile_id, 2) AS BIGINT) % 20) AS cluster_label,
     true AS inside_the_range FROM profiles""")
 def m14(spark, sf):

@@ -429,7 +429,17 @@ def q5(spark, sf):
     return routing.insight_text(_routed(spark, sf, jobs), jobs).select("question_id", "intent", "insight")
 
 
-@query("q5_chat_insight")
+CHAT_SQL = INSIGHT_SQL.split(",\n  asked AS")[0].replace(_intent_sql(dims.MARKET_INTENTS), _intent_sql(dims.CHAT_INTENTS)) + """,
+  matching AS (SELECT a.role, p.skills, p.salary_mid FROM (SELECT DISTINCT role FROM routed WHERE role IS NOT NULL) a JOIN postings p ON contains(lower(job_title), a.role)),
+  names AS (SELECT role, string_agg(skill, ', ' ORDER BY rank) AS names FROM (SELECT role, skill, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, skill) AS rank
+    FROM (SELECT role, unnest(skills) AS skill FROM matching) GROUP BY role, skill QUALIFY rank <= 8) GROUP BY 1),
+  paid AS (SELECT role, sum(salary_mid) / count(salary_mid) AS pay FROM matching GROUP BY 1)
+  SELECT question_id, intent, coalesce(CASE WHEN intent = 'skills' AND names IS NOT NULL THEN 'ML INSIGHTS: Top skills for ' || role || ': ' || names || '. '
+    WHEN intent = 'salary' AND pay IS NOT NULL THEN 'ML INSIGHTS: Average salary for ' || role || ' is ' || printf('%.2f', round_even(pay, 2)) || ' LPA. ' END, '') AS insight
+  FROM routed LEFT JOIN names USING (role) LEFT JOIN paid USING (role)"""
+
+
+@query("q5_chat_insight", CHAT_SQL)
 def q5_chat(spark, sf):
     jobs = stored_postings(spark, sf)
     routed = _routed(spark, sf, jobs).withColumn("intent", routing.detect_intent(F.col("text"), dims.CHAT_INTENTS))
@@ -465,11 +475,11 @@ def e5(spark, sf):
     return out.select("question_id", "intent", "role", "location", "prompt", "needs_scrape")
 
 
-@query("w3_history_window", """SELECT c.conv_id, c.turn, coalesce(string_agg(h.role || ':' || length(h.text), '|' ORDER BY h.turn), '') AS history
+@query("w3_history_window", """SELECT c.conv_id, c.turn, coalesce(string_agg(h.role || ':' || coalesce(h.text, ''), '|' ORDER BY h.turn), '') AS history
   FROM conversations c LEFT JOIN conversations h ON h.conv_id = c.conv_id AND h.turn BETWEEN c.turn - 10 AND c.turn - 1 GROUP BY 1, 2""")
 def w3(spark, sf):
     turns = routing.history_window(table(spark, sf, "conversations"))
-    shown = F.transform("history", lambda h: F.concat_ws(":", h["role"], F.length(h["text"])))
+    shown = F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), F.coalesce(h["text"], F.lit(""))))
     return turns.select("conv_id", "turn", F.array_join(shown, "|").alias("history"))
 
 
@@ -657,9 +667,33 @@ def e3_contents(spark, sf):
     return part("cleaned", "job_url", "job_title").union(part("clustered", "job_url", "cluster_label")).union(part("index", "doc_id", "text"))
 
 
-@query("e4_market_dashboard")
+DASHBOARD_SQL = f"""{P}, {REQUESTS_SQL},
+  tagged AS (SELECT r.role, r.wanted, p.* FROM (SELECT DISTINCT role, wanted FROM requests WHERE role IS NOT NULL) r JOIN postings p ON contains(lower(job_title), r.role)
+    AND (r.wanted IS NULL OR len([x for x in p.location if contains(lower(x), r.wanted)]) > 0)),
+  sizes AS (SELECT role, wanted, count(*) AS total FROM tagged GROUP BY 1, 2),
+  used AS (SELECT role, wanted, skill, count(*) AS c, count(salary_mid) AS n1, avg(salary_mid) AS m1 FROM (SELECT role, wanted, salary_mid, unnest(skills) AS skill FROM tagged) GROUP BY 1, 2, 3),
+  top20 AS (SELECT u.*, c / total * 100 AS pct, row_number() OVER (PARTITION BY u.role, u.wanted ORDER BY c DESC, skill) AS rank
+    FROM used u JOIN sizes z ON z.role = u.role AND z.wanted IS NOT DISTINCT FROM u.wanted QUALIFY rank <= 20),
+  pay AS (SELECT role, wanted, count(salary_mid) AS n, sum(salary_mid) AS s FROM tagged GROUP BY 1, 2),
+  premium AS (SELECT t.role, t.wanted, skill, m1 - (s - m1 * n1) / (n - n1) AS premium FROM top20 t JOIN pay p ON p.role = t.role AND p.wanted IS NOT DISTINCT FROM t.wanted WHERE n1 >= 3 AND n - n1 >= 3),
+  box AS (SELECT role, wanted, count(*) AS n, avg(salary_mid) AS mean, quantile_cont(salary_mid, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM tagged WHERE salary_mid IS NOT NULL GROUP BY 1, 2),
+  levels AS (SELECT role, wanted, experience_level, quantile_cont(salary_mid, [0.25, 0.5, 0.75]) AS q FROM tagged WHERE salary_mid IS NOT NULL GROUP BY 1, 2, 3),
+  parts AS (
+    SELECT role, wanted, 'top_skills' AS section, rank, skill AS name, pct AS value FROM top20 WHERE rank <= 10
+    UNION ALL SELECT role, wanted, 'emerging_skills', rank, skill, pct FROM top20 WHERE rank <= 15
+    UNION ALL SELECT role, wanted, 'employers', row_number() OVER (PARTITION BY role, wanted ORDER BY count(*) DESC, company) AS r, company, count(*) FROM tagged WHERE company IS NOT NULL GROUP BY role, wanted, company QUALIFY r <= 10
+    UNION ALL SELECT role, wanted, 'clusters', row_number() OVER (PARTITION BY role, wanted ORDER BY count(*) DESC, cluster_label), cluster_label, count(*) FROM tagged
+      WHERE NOT regexp_matches(cluster_label, '(?i)error|000') GROUP BY role, wanted, cluster_label
+    UNION ALL SELECT role, wanted, 'salary', i, ['n', 'mean', 'min', 'q1', 'median', 'q3', 'max'][i], [n, mean, q[1], q[2], q[3], q[4], q[5]][i] FROM box, range(1, 8) x(i)
+    UNION ALL SELECT role, wanted, 'premiums', row_number() OVER (PARTITION BY role, wanted ORDER BY premium DESC, skill) AS r, skill, premium FROM premium WHERE premium > 0 QUALIFY r <= 10
+    UNION ALL SELECT role, wanted, 'salary ' || experience_level, i, ['q1', 'median', 'q3'][i], q[i] FROM levels, range(1, 4) x(i))
+  SELECT role, wanted AS location, section, CAST(rank AS INTEGER) AS rank, name, round(CAST(value AS DOUBLE), 6) AS value FROM parts"""
+
+
+@query("e4_market_dashboard", DASHBOARD_SQL)
 def e4(spark, sf):
-    return reports.market_dashboard(stored_postings(spark, sf), requests(spark))
+    out = reports.market_dashboard(stored_postings(spark, sf), requests(spark))
+    return out.withColumn("value", F.round("value", 6))
 
 
 @query("e6_profile_report", f"""{GAP_SQL}, {ALIGN_SQL},
