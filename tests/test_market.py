@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,12 +104,47 @@ def test_centrality(spark):
     assert got == {"a": 0.666667, "b": 0.333333, "c": 0.333333, "d": 0.0}
 
 
-def test_communities_two_ways(spark):
+def slow_labels(nodes, links, rounds):
+    near = {n: {n} for n in nodes}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    label = {n: n for n in nodes}
+    for _ in range(rounds):
+        votes = {n: Counter(label[x] for x in near[n]) for n in nodes}
+        label = {n: min(v, key=lambda x: (-v[x], x)) for n, v in votes.items()}
+    return {n: min(x for x in nodes if label[x] == label[n]) for n in nodes}
+
+
+def test_communities_are_label_propagation(spark):
     links = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f")]
-    edges = spark.createDataFrame([("g", *e) for e in links], "g string, src string, dst string")
-    nodes = spark.createDataFrame([("g", n) for n in "abcdefz"], "g string, node string")
-    want = {**dict.fromkeys("abc", "a"), **dict.fromkeys("def", "d"), "z": "z"}
-    for bound in (500, 0):
-        labels = graph.communities(edges, nodes, ["g"], max_vertices=bound)
-        assert {r["node"]: r["community"] for r in labels.collect()} == want
-    assert graph.modularity(edges, labels, ["g"]).first()["modularity"] == pytest.approx(6 / 7 - 0.5)
+    graphs = {"g": (list("abcdefz"), links)}
+    rnd = random.Random(2)
+    for i in range(4):
+        names = [f"n{j}" for j in range(rnd.randrange(2, 14))]
+        pairs = [(a, b) for a in names for b in names if a < b]
+        graphs[f"r{i}"] = (names, rnd.sample(pairs, min(len(pairs), rnd.randrange(1, 16))))
+    edges = spark.createDataFrame([(g, *e) for g, (_, some) in graphs.items() for e in some], "g string, src string, dst string")
+    nodes = spark.createDataFrame([(g, n) for g, (some, _) in graphs.items() for n in some], "g string, node string")
+    for rounds in (2, 7):
+        labels = graph.communities(edges, nodes, ["g"], rounds)
+        got = {(r["g"], r["node"]): r["community"] for r in labels.collect()}
+        assert got == {(g, n): c for g, (some, pairs) in graphs.items() for n, c in slow_labels(some, pairs, rounds).items()}
+    assert {n: c for (g, n), c in got.items() if g == "g"} == {**dict.fromkeys("abc", "a"), **dict.fromkeys("def", "d"), "z": "z"}
+    quality = {r["g"]: r["modularity"] for r in graph.modularity(edges, labels, ["g"]).collect()}
+    assert quality["g"] == pytest.approx(6 / 7 - 0.5)
+
+
+def test_growth_and_the_skill_column(spark, tmp_path):
+    rows = [("2024-03-%02d" % d, s) for d, s in [(1, ["sql"]), (2, ["sql", "go"]), (3, ["java"]), (8, ["go"]), (9, ["go", "sql"]), (10, ["rust", None])]]
+    jobs = spark.createDataFrame([(i, d, s, None) for i, (d, s) in enumerate(rows)], "id int, scraped_date string, skills_extracted array<string>, skills_list array<string>")
+    path = str(tmp_path / "daily")
+    for day in ("2024-03-0", "2024-03-1", "2024-03-0"):  # one day again
+        market.store_daily_skills(jobs.where(F.col("scraped_date").startswith(day)), path)
+    got = {r.skill_name: (r.n_now, r.n_before, r.growth_rate and round(r.growth_rate, 6)) for r in
+           market.skill_growth(spark.read.parquet(path), F.lit("2024-03-10").cast("date"), 5).collect()}
+    assert got == {"Rust": (1, 0, None), "Go": (2, 1, 100.0), "Sql": (1, 2, -50.0)}
+    paid = jobs.withColumns({"salary_mid": F.lit(3.0), "job_title": F.lit("x")})
+    one = {(r.skill_name, r["count"]) for r in market.skill_frequency(paid).collect()}
+    assert one == {(r.skill_name, r["count"]) for r in market.skill_frequency(paid.drop("skills_list").withColumnRenamed("skills_extracted", "skills_list")).collect()}
+    assert ("Sql", 3) in one
