@@ -137,6 +137,15 @@ def test_many_queries_stay_off_the_driver(spark, matched, monkeypatch):
     assert hits.groupBy("query_id").count().where("count = 2").count() == 200
 
 
+def test_rows_of_one_id_keep_classes_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "gamma delta"), (None, "gamma"), (None, "alpha"), (2, None)], "doc_id long, text string")
+    kinds = spark.createDataFrame([(0, "a", "alpha beta"), (1, "g", "gamma delta")], "cluster_id int, cluster_label string, text string")
+    got = classify.classify_by_prototype(docs, kinds, stop=[]).collect()
+    assert {(r["doc_id"], r["text"], r["cluster_id"]) for r in got} == {
+        (1, "alpha beta", 0), (1, "gamma delta", 1), (None, "gamma", 1), (None, "alpha", 0), (2, None, 0)}
+    assert len(got) == 5
+
+
 def test_classification_prefers_shared_terms(spark):
     docs = spark.createDataFrame([(1, "spark kafka etl pipeline"), (2, "payroll and recruitment"), (3, "zzz")], "doc_id int, text string")
     got = {r["doc_id"]: r["cluster_id"] for r in classify.classify_by_prototype(docs, classify.cluster_prototypes(spark)).collect()}
