@@ -15,6 +15,9 @@ from jobtide.operators.market import top_n
 # Vectors are single precision; differences below this are noise.
 DIGITS = 6
 
+#: Distances that a task holds at once when it scans the corpus; a matrix of them takes 16 MB, and their making a few such.
+MAX_DISTANCES = 2_000_000
+
 
 def distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     """Rounded squared L2 or cosine distances, queries by corpus."""
@@ -53,8 +56,8 @@ def vector_topk(
 
     Ties go to the smaller id. ``match_on`` names metadata columns that must be
     equal on both sides; null equals nothing. Rows without a vector are near to nothing. At most ``block_rows`` queries go to the corpus, which then
-    stays where it is; more are never gathered, but compared with it in shuffled cells of about
-    ``block_rows`` of either side. Either way a task emits at most k rows per query and cell, never the distances.
+    stays where it is and is scanned in slices of at most ``MAX_DISTANCES`` distances; more are never gathered, but compared with it
+    in shuffled cells of about ``block_rows`` of either side. Either way a task emits at most k rows per query and cell, never the distances.
     """
     id_type = corpus.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
@@ -78,9 +81,14 @@ def vector_topk(
             for group, rows in groups.items() if None not in group
         }
 
+        step = max(1, MAX_DISTANCES // len(shipped))
+
+        def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return (batch[at : at + step] for batch in batches for at in range(0, len(batch), step))
+
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
-            for batch in batches:
+            for batch in slices(batches):
                 parts = batch.groupby(keys, sort=False) if keys else [((), batch)]
                 for group, part in parts:
                     if group not in known:

@@ -286,3 +286,18 @@ def test_a_build_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch)
     assert run().first()["new_records"] == 3 and not run().first()["should_update"]
     assert urls("cleaned") == urls("clustered") == urls("index", "doc_id") == [f"https://x/{i}" for i in range(9)]
     assert {"pca_x", "pca_y"} <= set(build.read_build(spark, base, "clustered").columns)
+
+
+def test_scan_holds_few_distances_at_once(spark, monkeypatch):
+    draw = random.Random(5)
+    vectors = [[float(draw.randint(0, 3)) for _ in range(3)] for _ in range(90)]
+    corpus = spark.createDataFrame([(n, n % 2, v) for n, v in enumerate(vectors)], "vec_id long, kind int, embedding array<double>").coalesce(1)
+    queries = corpus.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    for matched in ([], ["kind"]):
+        whole = retrieval.vector_topk(queries, corpus, 4, match_on=matched).collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(retrieval, "MAX_DISTANCES", 63)  # seven rows of nine queries
+            assert sorted(retrieval.vector_topk(queries, corpus, 4, match_on=matched).collect()) == sorted(whole)
+        for q in range(0, 90, 10):
+            near = sorted((sum((a - b) ** 2 for a, b in zip(vectors[q], v)), n) for n, v in enumerate(vectors) if not matched or n % 2 == q % 2)
+            assert sorted((r["distance"], r["vec_id"]) for r in whole if r["query_id"] == q) == near[:4]
