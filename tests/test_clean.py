@@ -172,3 +172,13 @@ def test_append_twice_adds_nothing(spark, tmp_path):
     for _ in range(2):
         src.append_processed(batch, str(tmp_path / "t"))
         assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_second_append_sorts_out_new_rows_only(spark, tmp_path, monkeypatch):
+    batch = spark.createDataFrame([(f"v{n % 5}", f"t{n}", "c") for n in range(20)], "job_url string, job_title string, company string")
+    seen, whole = [], clean.drop_duplicate_urls
+    monkeypatch.setattr(clean, "drop_duplicate_urls", lambda df, *a, **k: (seen.append(df.count()), whole(df, *a, **k))[1])
+    src.append_processed(batch.where("job_url < 'v3'"), str(tmp_path / "t"))
+    src.append_processed(batch, str(tmp_path / "t"))
+    assert seen == [12, 8]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
