@@ -182,3 +182,12 @@ def test_second_append_sorts_out_new_rows_only(spark, tmp_path, monkeypatch):
     src.append_processed(batch, str(tmp_path / "t"))
     assert seen == [12, 8]
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def test_first_row_with_fewer_columns_is_the_same_row(spark):
+    rows = [(f"v{n % 4}", f"t{n}", "f", 1, n * 7 % 5) for n in range(40)]
+    df = spark.createDataFrame(rows, "job_url string, job_title string, source_file string, row_no long, extra int")
+    whole = clean.drop_duplicate_urls(df).select("job_url", "job_title")
+    kept = clean.drop_duplicate_urls(df, keep=["job_url", "job_title"])
+    assert kept.columns == ["job_url", "job_title"]
+    assert sorted(kept.collect()) == sorted(whole.collect())
