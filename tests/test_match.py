@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import classify, index, match, retrieval, routing, transition, vector_index
+from jobtide.operators import classify, index, match, retrieval, routing, salary, transition, vector_index
 from jobtide.plans import build
 from jobtide.sources.postings import read_raw_postings
 from jobtide.streaming import crawl, ingest
@@ -301,3 +301,17 @@ def test_scan_holds_few_distances_at_once(spark, monkeypatch):
         for q in range(0, 90, 10):
             near = sorted((sum((a - b) ** 2 for a, b in zip(vectors[q], v)), n) for n, v in enumerate(vectors) if not matched or n % 2 == q % 2)
             assert sorted((r["distance"], r["vec_id"]) for r in whole if r["query_id"] == q) == near[:4]
+
+
+def test_salary_forest_does_not_depend_on_how_rows_are_dealt(spark):
+    rows = [(f"u{i}", float(i % 7) if i % 11 else None, 5.0 + i % 7 + 2 * (i % 4) + (i % 3) / 10, ["A", "B", "C"][: 1 + i % 3], f"Cluster {i % 4}") for i in range(400)]
+    jobs = spark.createDataFrame(rows, "job_url string, experience_min double, salary_mid double, skills_list array<string>, cluster_label string")
+    people = spark.createDataFrame([("a", 1, ["A"], "Cluster 1"), ("b", 6, ["A", "B"], "Cluster 3"), ("c", None, None, "new")],
+                                   "profile_id string, years_experience int, skills array<string>, cluster_label string")
+    found = []
+    for dealt in (jobs.coalesce(1), jobs.repartition(7, "job_url")):
+        model = salary.train_salary_model(dealt, trees=6)
+        assert len(model.trees) == 6 and abs(model.importances().sum() - 1) < 1e-9
+        found.append({r["profile_id"]: r["predicted_salary"] for r in salary.predict_salary(people, model).collect()})
+    assert found[0] == found[1]
+    assert abs(found[0]["a"] - 8.1) < 1 and abs(found[0]["b"] - 17.1) < 1 and 5 <= found[0]["c"] <= 18
