@@ -315,3 +315,15 @@ def test_salary_forest_does_not_depend_on_how_rows_are_dealt(spark):
         found.append({r["profile_id"]: r["predicted_salary"] for r in salary.predict_salary(people, model).collect()})
     assert found[0] == found[1]
     assert abs(found[0]["a"] - 8.1) < 1 and abs(found[0]["b"] - 17.1) < 1 and 5 <= found[0]["c"] <= 18
+
+
+def test_match_of_postings_that_tie_with_the_last_one(spark):
+    # Lists hold more ties than k, URLs rise against the order of skills, and some skills are in no profile.
+    jobs = [(f"u{(i * 37) % 90:02d}", "Data Analyst", ["Pune", "Goa"][i % 2 :], float(i % 2), ["a", "b", "c", "x"][i % 3 : i % 3 + 1 + i % 2], ["PhD"] * (i % 5 == 0)) for i in range(90)]
+    users = [("p", "analyst", 1, ["PhD"], ["A", "b"], ["pune", "goa"]), ("q", "analyst", 0, [], ["c", "zz"], []), ("r", "analyst", 9, [], [], ["goa"])]
+    people, posts = spark.createDataFrame(users, USER), spark.createDataFrame(jobs, JOB)
+    want, _ = brute(people, posts, 4)
+    got = {}
+    for r in match.match_profiles(people, posts, k=4).orderBy("profile_id", "rank").collect():
+        got.setdefault(r["profile_id"], []).append((-r["match_score"], r["job_url"]))
+    assert got == want
