@@ -191,3 +191,13 @@ def test_first_row_with_fewer_columns_is_the_same_row(spark):
     kept = clean.drop_duplicate_urls(df, keep=["job_url", "job_title"])
     assert kept.columns == ["job_url", "job_title"]
     assert sorted(kept.collect()) == sorted(whole.collect())
+
+
+def test_texts_are_landed_as_files_by_the_tasks(spark, tmp_path):
+    from catalog.tables import land_texts
+
+    rows = [(1, "a\nb"), (2, None), (3, "x"), (3, "x"), (4, "")]
+    land_texts(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/texts")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in src.read_resumes(spark, f"{tmp_path}/texts").collect()}
+    assert got == {"doc_id=1.txt": "a\nb\n", "doc_id=2.txt": "\n", "doc_id=3.txt": "x\nx\n", "doc_id=4.txt": "\n"}
+    assert not list(tmp_path.rglob("*.crc"))  # no file went through Hadoop's local file system
