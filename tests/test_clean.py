@@ -201,3 +201,39 @@ def test_texts_are_landed_as_files_by_the_tasks(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in src.read_resumes(spark, f"{tmp_path}/texts").collect()}
     assert got == {"doc_id=1.txt": "a\nb\n", "doc_id=2.txt": "\n", "doc_id=3.txt": "x\nx\n", "doc_id=4.txt": "\n"}
     assert not list(tmp_path.rglob("*.crc"))  # no file went through Hadoop's local file system
+
+
+def test_raw_postings_meet_their_orders_last(spark, tmp_path):
+    from catalog.tables import raw_postings
+
+    tables = {
+        "nation": ([(0, "PERU")], "n_nationkey int, n_name string"),
+        "supplier": ([(7, 0)], "s_suppkey long, s_nationkey int"),
+        "part": ([(3, "blue anvil")], "p_partkey long, p_name string"),
+        "customer": ([(5, "C5", 0, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "orders": ([(1, 5), (2, 9)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(1, n, 3, 7, 6.0, "A", "2024-01-01") for n in (1, 2)] + [(2, 1, 3, 7, 6.0, "A", "2024-01-01"), (1, 3, 4, 7, 6.0, "A", "2024-01-01")],
+                     "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_shipdate string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    raw = raw_postings(spark, str(tmp_path))
+    got = sorted((r["job_url"], r["company"], r["location"], r["skills_list"]) for r in raw.collect())
+    assert got == [(f"https://jobs.example/1?src={n}", "C5", ["Bengaluru"], ["blue anvil"]) for n in (1, 2)]
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join " in line)
+    assert "l_orderkey" in last and "o_orderkey" in last
+
+
+def test_merging_sorts_by_a_hash_of_the_key(spark):
+    rows = [("u", "", 1), ("u", "a", 2), ("v", None, 1), (None, "t", 1), ("", "t", 2)]
+    df = spark.createDataFrame(rows, "job_url string, job_title string, row_no int").withColumn("company", F.lit("c"))
+    merged = clean.merge_duplicates(df)
+    assert sorted((r["job_url"], r["job_title"] or "", r["row_no"]) for r in merged.collect()) == [("", "t", 1), ("u", "a", 1), ("v", "", 1)]
+    assert "xxhash64(_key" in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_case_of_single_words(spark):
+    rows = ["FOO", "foo,", "a/b testing", "k8s", "ßa", "İx", "(foo)", "x-ray", "foo bar", "ab 1.", "", "ⓐb", None]
+    got = values(spark, rows, tx.title_case)
+    assert got == ["Foo", "Foo,", "A/B Testing", "K8S", "Ssa", "İX", "(Foo)", "X-Ray", "Foo Bar", "Ab 1.", "", "ⒶB", None]
