@@ -327,3 +327,18 @@ def test_match_of_postings_that_tie_with_the_last_one(spark):
     for r in match.match_profiles(people, posts, k=4).orderBy("profile_id", "rank").collect():
         got.setdefault(r["profile_id"], []).append((-r["match_score"], r["job_url"]))
     assert got == want
+
+
+def test_keywords_read_the_classes_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(1, 0, "spark joins"), (2, 0, "spark spark"), (3, 1, "cake oven")], "doc_id long, cluster_id int, text string")
+    protos = spark.createDataFrame([(0, "spark"), (1, "cake"), (2, "lone")], "cluster_id int, text string")
+    found = classify.cluster_keywords(rows.mapInArrow(seen, rows.schema), protos, stop=[], n=1).collect()
+    assert sorted((r["cluster_id"], r["term"]) for r in found) == [(0, "spark"), (1, "cake oven"), (2, "no_data")]
+    assert read.value == 3
