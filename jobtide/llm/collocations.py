@@ -3,12 +3,13 @@
 Prefix polynomials over the bytes of a cut (one cumulative sum modulo 2^64) give the fingerprint of
 every n-gram by a subtraction and a product. Tasks add up equal fingerprints batch by batch, and check
 inside the batch that equal fingerprints are equal phrases of one language. An entry is a fingerprint with its count in
-the batch and a pointer (row, word) to one occurrence. Entries are packed by ranges of fingerprints, so
-a shuffle moves some twelve bytes for each, and a common phrase comes once from a batch. A range's task
-adds up and lets only the entries of frequent fingerprints go on.
+the batch, a pointer (row, word) to one occurrence and 32 bits of the XXH64 of its phrase. Entries are packed by ranges
+of fingerprints, so a shuffle moves some sixteen bytes for each, and a common phrase comes once from a batch. A range's
+task adds up the entries that agree in fingerprint and checksum, and lets one entry of each frequent phrase go on, with
+its count over all batches. So equal fingerprints of different phrases fall apart; two phrases would only be
+taken for one if 64 and 32 bits of independent hashes agreed: a chance of some 1e-10 for any two of three billion phrases.
 
-Their pointers are joined to the texts, where the phrases are read. Counts are added up once more by
-phrase: equal fingerprints of different texts fall apart here, so results are exact. A pointer that does
+Pointers are joined to the texts, where each phrase is read once. A pointer that does
 not lead to its fingerprint means that ``docs`` gives other rows when read again, and fails the job.
 
 Levels go up from words (counted as text, as a batch has few) to phrases of ``longest`` words. An n-gram can
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.common import slices, store
-from jobtide.llm.spans import Cut, byte_kinds, cuts, raw_texts, same_bytes
+from jobtide.llm.spans import Cut, byte_kinds, cuts, raw_texts, same_bytes, xxh64
 
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Words of a batch, after which its entries leave.
 BATCH = 2_200_000
-#: Occurrences compared at once.
+#: Occurrences compared, or entries hashed, at once.
 BLOCK = 1 << 17
 #: Bits of a fingerprint, and of a length, that travel with a pointer.
 CHECK, LENGTH = 20, 4
@@ -153,6 +154,15 @@ class Batch:
         return fps[best], count.astype(np.int64), row[best], word[best], start[best], size[best], text
 
 
+def checksums(text: np.ndarray, start: np.ndarray, size: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """32 bits of the XXH64 of each slice and its language's number, a block at a time."""
+    out = np.empty(len(start), np.uint32)
+    for at in range(0, len(start), BLOCK):
+        some = slice(at, at + BLOCK)
+        out[some] = (xxh64(text, start[some], size[some]) ^ langs[some]) * MIX >> np.uint64(32)
+    return out
+
+
 def rows_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
@@ -246,16 +256,18 @@ def gram_entries(docs: DataFrame, n: int, longest: int, bloom: np.ndarray, bucke
         def full() -> Iterator[pa.RecordBatch]:
             if not len(batch):
                 return
-            fps, count, row, word, _, _, _ = batch.added_up(names)
+            fps, count, row, word, start, size, text = batch.added_up(names)
+            checks = checksums(text, start, size, lang_numbers(names)[row])
+            del start, size, text
             row, low = ids[row] - ids[0], int(ids[0])  # rows of a task have numbers that follow each other
             bucket = ((fps >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             stops = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(fps)]
-            columns = [(fps, "<u8"), (count, "<u4"), (row, "<u4"), (word, "<u4")]
+            columns = [(fps, "<u8"), (count, "<u4"), (row, "<u4"), (word, "<u4"), (checks, "<u4")]
             spans = list(zip(stops[:-1], stops[1:]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([low] * len(spans), pa.int64()),
                  *(pa.array([planes(values[a:b].astype(kind)) for a, b in spans], pa.binary()) for values, kind in columns)],
-                names=["bucket", "low", "fps", "counts", "rows", "words"])
+                names=["bucket", "low", "fps", "counts", "rows", "words", "checks"])
 
         for part in slices(batches):
             mine, langs = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
@@ -271,35 +283,35 @@ def gram_entries(docs: DataFrame, n: int, longest: int, bloom: np.ndarray, bucke
                     batch = Batch()
         yield from full()
 
-    return docs.mapInArrow(packed, "bucket int, low long, fps binary, counts binary, rows binary, words binary")
+    return docs.mapInArrow(packed, "bucket int, low long, fps binary, counts binary, rows binary, words binary, checks binary")
 
 
 def frequent_entries(packed: DataFrame, n: int, least: int) -> DataFrame:
-    """``(row, place, f, fp)``: the entries of fingerprints with ``least`` occurrences or more; ``fp`` is set once for each."""
+    """``(row, place, f, fp)``: one entry of each phrase with ``least`` occurrences or more, with its count over all batches."""
 
     def added_up(table: pa.Table) -> pa.Table:
-        fps, counts, words = (np.concatenate([unplanes(x, kind) for x in table.column(c).to_pylist()])
-                              for c, kind in (("fps", "<u8"), ("counts", "<u4"), ("words", "<u4")))
+        fps, counts, words, checks = (np.concatenate([unplanes(x, kind) for x in table.column(c).to_pylist()])
+                                      for c, kind in (("fps", "<u8"), ("counts", "<u4"), ("words", "<u4"), ("checks", "<u4")))
         rows = np.concatenate([unplanes(x, "<u4").astype(np.int64) + low for x, low in zip(table.column("rows").to_pylist(), table.column("low").to_pylist())])
         order = np.argsort(fps, kind="stable")
-        fps = fps[order]
-        first = np.concatenate([[True], fps[1:] != fps[:-1]])
-        at = np.flatnonzero(first)
-        total = np.add.reduceat(counts[order].astype(np.int64), at)
-        kept = np.repeat(total >= least, np.diff(np.append(at, len(fps))))
-        order, fps, first = order[kept], fps[kept], first[kept]
-        place = words[order].astype(np.int64) << (CHECK + LENGTH) | n << CHECK | (fps >> np.uint64(64 - CHECK)).astype(np.int64)
-        return pa.table({"row": rows[order], "place": place, "f": counts[order].astype(np.int64),
-                         "fp": pa.array(fps.view(np.int64), mask=~first)})
+        again = fps[order[1:]] == fps[order[:-1]]
+        other = checks[order[1:]] != checks[order[:-1]]
+        if (again & other).any():  # equal fingerprints of different phrases
+            order = np.lexsort((checks, fps))
+            again = fps[order[1:]] == fps[order[:-1]]
+            other = checks[order[1:]] != checks[order[:-1]]
+        first = np.flatnonzero(np.concatenate([[True], ~again | other]))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        lead, total = order[first[total >= least]], total[total >= least]
+        fps = fps[lead]
+        place = words[lead].astype(np.int64) << (CHECK + LENGTH) | n << CHECK | (fps >> np.uint64(64 - CHECK)).astype(np.int64)
+        return pa.table({"row": rows[lead], "place": place, "f": total, "fp": fps.view(np.int64)})
 
     return packed.groupBy("bucket").applyInArrow(added_up, "row long, place long, f long, fp long")
 
 
 def read_phrases(docs: DataFrame, entries: DataFrame, longest: int) -> DataFrame:
-    """``(lang, phrase, words, f)``: the phrases that the pointers of the entries lead to, with exact counts.
-
-    A phrase travels as one string with its language, parted by a new line, which no phrase holds.
-    """
+    """``(lang, phrase, words, f)``: the phrases that the pointers of the entries lead to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -326,17 +338,16 @@ def read_phrases(docs: DataFrame, entries: DataFrame, longest: int) -> DataFrame
                     some = some[(found >> np.uint64(64 - CHECK)).astype(np.int64) == check[some]]
                     todo[some] = False
                     a, b = cut.starts[at[some]].tolist(), cut.ends[at[some] + size - 1].tolist()
-                    named = [f"{data[x:y].decode()}\n{langs[i]}" for x, y, i in zip(a, b, doc[some].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(named, pa.string()), pa.array(f[some])], names=["name", "f"])
+                    named = [[langs[i] for i in doc[some].tolist()], [data[x:y].decode() for x, y in zip(a, b)]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(x, pa.string()) for x in named), pa.array(np.full(len(some), size, np.int32)), pa.array(f[some])],
+                        names=["lang", "phrase", "words", "f"])
             if todo.any():
                 raise ValueError("a pointer does not lead to its phrase: the documents give other rows when they are read again; store them first")
 
     pointers = entries.groupBy("row").agg(F.collect_list(F.struct("place", "f")).alias("places"))
     texts = docs.join(pointers.hint("merge"), "row").select("lang", "text", "places")
-    counts = texts.mapInArrow(read, "name string, f long").groupBy("name").agg(F.sum("f").alias("f"))
-    phrase = F.substring_index("name", "\n", 1)
-    lang = F.expr("substring(name, instr(name, '\n') + 1)")
-    return counts.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("words"), "f")
+    return texts.mapInArrow(read, "lang string, phrase string, words int, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, filter_bits: int = 1 << 26, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
@@ -350,11 +361,11 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, filter_
     for n in range(2, longest + 1):
         packed = gram_entries(docs, n, longest, bloom_filter(prints, filter_bits), buckets)
         levels.append(store(frequent_entries(packed, n, least), f"collocation-entries-{n}"))
-        prints = levels[-1].where("fp is not null").select("fp")
+        prints = levels[-1].select("fp")
     entries = levels[0]
     for level in levels[1:]:
         entries = entries.unionByName(level)
-    return words, store(read_phrases(docs, entries.drop("fp"), longest).where(F.col("f") >= least), "collocation-phrases")
+    return words, store(read_phrases(docs, entries.drop("fp"), longest), "collocation-phrases")
 
 
 def scored(phrases: DataFrame, words: DataFrame, least: int) -> DataFrame:

@@ -107,6 +107,37 @@ def test_equal_fingerprints_of_different_phrases_fall_apart(docs, texts, monkeyp
     assert sorted(map(tuple, got)) == slow_collocations([(lang, t) for _, t, lang in texts], 4, 3, 50, 25)
 
 
+@pytest.fixture
+def many_batches(monkeypatch):
+    monkeypatch.setattr(collocations, "BATCH", 100)
+    monkeypatch.setattr(collocations, "cuts", lambda raw, kinds, longest: spans.cuts(raw, kinds, longest, 400))
+
+
+def test_each_frequent_phrase_is_read_once_over_many_batches(docs, texts, many_batches):
+    rows = collocations.rows_of(docs, "lang", "text")
+    packed = collocations.gram_entries(rows, 2, 2, np.full(1 << 10, 255, np.uint8), 1).cache()  # the filter lets all through
+    assert packed.count() > 10
+    entries = collocations.frequent_entries(packed, 2, 4)
+    want = Counter()
+    for _, text, lang in texts:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOW)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            want.update(("und" if lang is None else lang, " ".join(w[i : i + 2]), 2) for i in range(len(w) - 1))
+    want = sorted((*k, f) for k, f in want.items() if f >= 4)
+    assert entries.count() == len(want)
+    assert sorted(map(tuple, collocations.read_phrases(rows, entries.drop("fp"), 2).collect())) == want
+
+
+def test_equal_fingerprints_fall_apart_over_many_batches(docs, texts, many_batches, monkeypatch):
+    class Weak(collocations.Hasher):  # a class of the test travels to the tasks
+        def grams(self, cut, prefixes, at, n, langs):
+            return np.full(len(at), n, np.uint64)
+
+    monkeypatch.setattr(collocations, "Hasher", Weak)
+    got = collocations.collocations(docs, least=4, longest=3, first=25).collect()
+    assert sorted(map(tuple, got)) == slow_collocations([(lang, t) for _, t, lang in texts], 4, 3, 50, 25)
+
+
 def test_collocations_of_nothing(docs):
     assert collocations.collocations(docs.limit(0)).count() == 0
     assert collocations.collocations(docs.where("text is null")).count() == 0
