@@ -221,18 +221,22 @@ def i6(spark, sf):
 # ----------------------------------------------------------------- retrieval
 
 
-# Searches take every hundredth vector as a query, against all vectors.
-def _vectors(spark, sf):
+# Searches take every vector as a query, against all vectors; the index is asked every hundredth.
+HUNDREDTH = "vec_id % 100 = 0"
+
+
+def _vectors(spark, sf, asked="true"):
     corpus = table(spark, sf, "embeddings")
-    return corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), corpus
+    return corpus.where(asked).select(F.col("vec_id").alias("query_id"), "embedding", "label"), corpus
 
 
 KNN_SQL = """pairs AS (SELECT q.vec_id AS query_id, d.vec_id, q.label = d.label AS same_label,
-    round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 2), 6) AS distance FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)"""
+    round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 2), 6) AS distance FROM embeddings q, embeddings d)"""
+KNN_SOME_SQL = f"{KNN_SQL[:-1]} WHERE q.{HUNDREDTH})"
 
 
-def _hits_sql(k, where="true"):
-    return f"""WITH {KNN_SQL}, hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
+def _hits_sql(k, where="true", knn=KNN_SQL):
+    return f"""WITH {knn}, hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
     FROM pairs WHERE {where} QUALIFY rank <= {k})"""
 
 
@@ -241,16 +245,16 @@ def r1(spark, sf):
     return retrieval.vector_topk(*_vectors(spark, sf), k=8)
 
 
-@query("r1_vector_topk_cells", _hits_sql(5) + " SELECT * FROM hits")
+@query("r1_vector_topk_cells", _hits_sql(5, knn=KNN_SOME_SQL) + " SELECT * FROM hits")
 def r1_cells(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     everything = F.lit("all").alias("kind")
     return retrieval.vector_topk(queries.select("*", everything), corpus.select("*", everything), k=5, match_on=["kind"], block_rows=300)
 
 
-@query("r1_vector_index_topk", _hits_sql(8) + " SELECT * FROM hits")
+@query("r1_vector_index_topk", _hits_sql(8, knn=KNN_SOME_SQL) + " SELECT * FROM hits")
 def r1_index(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     index = vector_index.build_index(corpus.drop("label"), scratch_path(spark, "vectors"))
     return vector_index.search(queries, index, k=8, exact=True)
 
@@ -258,14 +262,14 @@ def r1_index(spark, sf):
 # An approximate search: what it misses depends on the centroids, so SQL cannot say it.
 @query("r1_vector_index_recall")
 def r1_recall(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     index = vector_index.build_index(corpus.drop("label"), scratch_path(spark, "vectors"))
     return vector_index.recall(vector_index.search(queries, index, k=8, probes=8), retrieval.vector_topk(queries, corpus, k=8))
 
 
-@query("r2_vector_topk_filtered", _hits_sql(1, "same_label AND query_id <> vec_id") + " SELECT query_id, vec_id, distance FROM hits")
+@query("r2_vector_topk_filtered", _hits_sql(1, "same_label AND query_id <> vec_id", knn=KNN_SOME_SQL) + " SELECT query_id, vec_id, distance FROM hits")
 def r2(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     hits = retrieval.vector_topk(queries, corpus, k=2, match_on=["label"]).where("query_id <> vec_id")
     return market.top_n(hits.drop("rank"), ["query_id"], [F.col("distance"), F.col("vec_id")], 1).select("query_id", "vec_id", "distance")
 
@@ -279,7 +283,7 @@ def _metadata(corpus):
         F.expr("concat('Guide ', label)").alias("title"))
 
 
-SOURCES_SQL = _hits_sql(8) + """, m AS (SELECT query_id, rank, label % 3 = 0 AS is_guide, CASE WHEN label % 3 = 0 THEN 'Guide ' || label ELSE 'https://jobs.example/' || label || '/' || (vec_id % 4) END AS key,
+SOURCES_SQL = _hits_sql(8, knn=KNN_SOME_SQL) + """, m AS (SELECT query_id, rank, label % 3 = 0 AS is_guide, CASE WHEN label % 3 = 0 THEN 'Guide ' || label ELSE 'https://jobs.example/' || label || '/' || (vec_id % 4) END AS key,
     CASE WHEN label % 3 = 0 THEN '- 📖 Guide: **Guide ' || label || '**' ELSE '- **[Role ' || label || ' at Company ' || (vec_id % 9) || '](https://jobs.example/' || label || '/' || (vec_id % 4) || ')**' END AS line
     FROM hits JOIN embeddings USING (vec_id)),
   firsts AS (SELECT query_id, key, min(rank) AS rank, arg_min(line, rank) AS line FROM m GROUP BY 1, 2)
@@ -288,13 +292,13 @@ SOURCES_SQL = _hits_sql(8) + """, m AS (SELECT query_id, rank, label % 3 = 0 AS
 
 @query("r3_retrieve_with_sources", SOURCES_SQL)
 def r3(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     return retrieval.retrieve_with_sources(queries, corpus.drop("label"), _metadata(corpus))
 
 
 @query("w5_rank_sources", SOURCES_SQL)
 def w5(spark, sf):
-    queries, corpus = _vectors(spark, sf)
+    queries, corpus = _vectors(spark, sf, HUNDREDTH)
     return retrieval.rank_sources(retrieval.vector_topk(queries, corpus, 8).join(_metadata(corpus), "vec_id"))
 
 

@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, cell_rows: int):
-    """Both tables with their cell columns, and the names to cogroup on. Without keys all rows meet."""
+def in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, cell_rows: int, pieces: int | None = None, most_rows: int = 0):
+    """Both tables with their cell columns, and the names to cogroup on. Without keys all rows meet.
+
+    A side of a cell has about ``cell_rows`` rows; with ``pieces``, where a side would be cut into more than these, as many
+    more as it takes, up to ``most_rows``.
+    """
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    cells_of = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
+    size = lambda n: F.greatest(F.lit(cell_rows), F.least(F.lit(most_rows), F.ceil(n / pieces))) if pieces else F.lit(cell_rows)
+    cells_of = lambda n: F.ceil(F.col(n) / size(F.col(n))).cast("int")
     # Without keys the sizes are one row.
     meet = lambda df, other: df.join(other, list(keys)) if keys else df.crossJoin(F.broadcast(other))
     sizes = meet(count(left, "_nl"), count(right, "_nr")).select(

@@ -18,14 +18,25 @@ DIGITS = 6
 #: Distances that a task holds at once when it scans the corpus; a matrix of them takes 16 MB, and their making a few such.
 MAX_DISTANCES = 2_000_000
 
+#: Numbers that a side of a shuffled cell holds; as doubles they take 32 MB.
+CELL_NUMBERS = 4_000_000
 
-def distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded squared L2 or cosine distances, queries by corpus."""
+#: Pieces that a side is cut into before its cells grow: 64 cells are enough to keep a cluster busy.
+PIECES = 8
+
+
+def raw_distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
+    """Squared L2 or cosine distances, queries by corpus."""
     if metric == "cosine":
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        found = 1.0 - unit(queries) @ unit(corpus).T
-    else:
-        found = (queries**2).sum(axis=1)[:, None] + (corpus**2).sum(axis=1)[None, :] - 2.0 * (queries @ corpus.T)
+        return 1.0 - unit(queries) @ unit(corpus).T
+    found = queries @ corpus.T
+    found *= -2.0
+    found += (queries**2).sum(axis=1)[:, None] + (corpus**2).sum(axis=1)[None, :]
+    return found
+
+
+def rounded(found: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(found, 0.0), DIGITS)
 
 
@@ -33,12 +44,40 @@ def as_matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k: int, cost_of, query_id: str, doc_id: str) -> pd.DataFrame:
-    """The ``k`` nearest of some documents for each of some queries; ties go to the smaller id."""
+def nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k: int, metric: str, query_id: str, doc_id: str) -> pd.DataFrame:
+    """The ``k`` nearest of some documents for each of some queries; ties go to the smaller id.
+
+    At most ``MAX_DISTANCES`` are held at once. Documents come in order of their ids, so after the first slice one counts only
+    if it is nearer than the k-th so far.
+    """
     order = np.argsort(d_ids, kind="stable")
-    cost = cost_of(q_vectors, d_vectors[order])
-    rows, cols = smallest_per_row(cost, k)
-    return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[order][cols], "distance": cost[rows, cols]})
+    d_ids, d_vectors = d_ids[order], d_vectors[order]
+    step = max(1, min(len(q_ids), int(MAX_DISTANCES**0.5)))
+    width = max(k, MAX_DISTANCES // step)
+    parts = []
+    for low in range(0, len(q_ids), step):
+        asked = q_vectors[low : low + step]
+        cost = rounded(raw_distances(asked, d_vectors[:width], metric))
+        rows, cols = smallest_per_row(cost, k)
+        away = cost[rows, cols]
+        for at in range(width, len(d_ids), width):
+            limit = np.full(len(asked), np.inf)
+            last = np.flatnonzero(np.bincount(rows, minlength=len(asked)) >= k)
+            limit[last] = away[np.searchsorted(rows, last, side="right") - 1]
+            cost = raw_distances(asked, d_vectors[at : at + width], metric)
+            new_rows, new_cols = np.nonzero(cost < limit[:, None])  # rounding may lift, not lower, what counts
+            new = rounded(cost[new_rows, new_cols])
+            kept = new < limit[new_rows]
+            if not kept.any():
+                continue
+            rows, cols, away = np.r_[rows, new_rows[kept]], np.r_[cols, new_cols[kept] + at], np.r_[away, new[kept]]
+            by = np.lexsort((cols, away, rows))
+            rows, cols, away = rows[by], cols[by], away[by]
+            near = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            rows, cols, away = rows[near], cols[near], away[near]
+        parts.append((rows + low, cols, away))
+    rows, cols, away = (np.concatenate(x) if parts else np.zeros(0, int) for x in (zip(*parts) if parts else ((), (), ())))
+    return pd.DataFrame({query_id: q_ids[rows], doc_id: d_ids[cols], "distance": away})
 
 
 def vector_topk(
@@ -57,7 +96,8 @@ def vector_topk(
     Ties go to the smaller id. ``match_on`` names metadata columns that must be
     equal on both sides; null equals nothing. Rows without a vector are near to nothing. At most ``block_rows`` queries go to the corpus, which then
     stays where it is and is scanned in slices of at most ``MAX_DISTANCES`` distances; more are never gathered, but compared with it
-    in shuffled cells of about ``block_rows`` of either side. Either way a task emits at most k rows per query and cell, never the distances.
+    in shuffled cells of ``block_rows`` of either side or more: of large sides so many that they are cut into ``PIECES``, up to ``CELL_NUMBERS``,
+    as a row travels once for each piece of the other side. Either way a task emits at most k rows per query and cell, never the distances.
     """
     id_type = corpus.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
@@ -70,7 +110,7 @@ def vector_topk(
         return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
 
     def nearest(q_ids, q_vectors, d_ids, d_vectors) -> pd.DataFrame:
-        return nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k, lambda a, b: distances(a, b, metric), query_id, doc_id)
+        return nearest_rows(q_ids, q_vectors, d_ids, d_vectors, k, metric, query_id, doc_id)
 
     if len(shipped) <= block_rows:
         groups: dict[tuple, list] = {}
@@ -102,8 +142,9 @@ def vector_topk(
 
         partial = docs.mapInPandas(scan, schema)
     else:
+        most = CELL_NUMBERS // max(1, len(shipped[0]["_v"]))
         del shipped
-        left, right, names = in_cells(docs, asked, keys, doc_id, query_id, block_rows)
+        left, right, names = in_cells(docs, asked, keys, doc_id, query_id, block_rows, PIECES, most)
 
         def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(d) or not len(q):

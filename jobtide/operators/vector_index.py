@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from jobtide.operators.cells import in_cells
 from jobtide.operators.market import top_n
-from jobtide.operators.retrieval import as_matrix, distances, nearest_rows
+from jobtide.operators.retrieval import as_matrix, nearest_rows
 from jobtide.session import cut_lineage
 
 #: Bound of centroids; at 384 dimensions they take 12 MB.
@@ -142,8 +142,7 @@ def search(queries: DataFrame, index: VectorIndex, k: int = 8, probes: int = 8,
     def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
             return pd.DataFrame({query_id: [], index.doc_id: [], "distance": []})
-        cost = lambda a, b: distances(a, b, index.metric)
-        return nearest_rows(q[query_id].to_numpy(), as_matrix(q["_v"]), d[index.doc_id].to_numpy(), as_matrix(d["_v"]), k, cost, query_id, index.doc_id)
+        return nearest_rows(q[query_id].to_numpy(), as_matrix(q["_v"]), d[index.doc_id].to_numpy(), as_matrix(d["_v"]), k, index.metric, query_id, index.doc_id)
 
     def looked_up(reached: Column, of: DataFrame) -> DataFrame:
         probe = cut_lineage(of.select(query_id, "_v", F.explode(reached).alias("list")))

@@ -5,7 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import service_queries  # noqa: F401
+from catalog.registry import QUERIES
 from jobtide.operators import classify, index, match, retrieval, routing, salary, transition, vector_index
+from jobtide.operators.cells import in_cells
 from jobtide.plans import build
 from jobtide.sources.postings import read_raw_postings
 from jobtide.streaming import crawl, ingest
@@ -342,3 +345,35 @@ def test_keywords_read_the_classes_once(spark):
     found = classify.cluster_keywords(rows.mapInArrow(seen, rows.schema), protos, stop=[], n=1).collect()
     assert sorted((r["cluster_id"], r["term"]) for r in found) == [(0, "spark"), (1, "cake oven"), (2, "no_data")]
     assert read.value == 3
+
+
+def test_nearest_rows_in_slices(monkeypatch):
+    draw = np.random.default_rng(4)
+    q, d = draw.integers(0, 4, (30, 3)).astype(float), draw.integers(0, 4, (80, 3)).astype(float)
+    d[7] = np.nan
+    ids = draw.permutation(80)
+    monkeypatch.setattr(retrieval, "MAX_DISTANCES", 100)
+    got = retrieval.nearest_rows(np.arange(30), q, ids, d, 5, "l2", "query_id", "vec_id")
+    for n in range(30):
+        near = sorted((((q[n] - v) ** 2).sum(), i) for i, v in zip(ids, d) if not np.isnan(v).any())[:5]
+        mine = got[got.query_id == n]
+        assert list(zip(mine.distance, mine.vec_id)) == near
+    assert len(retrieval.nearest_rows(np.arange(0), q[:0], ids, d, 5, "l2", "query_id", "vec_id")) == 0
+
+
+def test_cells_of_large_sides_grow(spark):
+    rows = spark.range(1200)
+    copies = lambda **kw: [t.count() for t in in_cells(rows, rows.withColumnRenamed("id", "other"), [], "id", "other", 10, **kw)[:2]]
+    assert copies() == [1200 * 120] * 2
+    assert copies(pieces=8, most_rows=1000) == [1200 * 8] * 2
+    assert copies(pieces=8, most_rows=100) == [1200 * 12] * 2
+
+
+ASKED = ["r1_vector_topk"]
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_every_vector_is_asked(spark, tmp_path, name):
+    rows = [(i, [float(i % 7), float(i // 7)], i % 2) for i in range(1, 40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["query_id"] for r in QUERIES[name](spark, str(tmp_path)).select("query_id").collect()} == set(range(1, 40))
