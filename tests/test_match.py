@@ -369,7 +369,7 @@ def test_cells_of_large_sides_grow(spark):
     assert copies(pieces=8, most_rows=100) == [1200 * 12] * 2
 
 
-ASKED = ["r1_vector_topk", "r1_vector_topk_cells", "r2_vector_topk_filtered"]
+ASKED = ["r1_vector_topk", "r1_vector_topk_cells", "r2_vector_topk_filtered", "r3_retrieve_with_sources", "w5_rank_sources"]
 
 
 @pytest.mark.parametrize("name", ASKED)
