@@ -1,9 +1,11 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
 from jobtide.functions import text as tx
 from jobtide.operators import clean, skills
+from jobtide.session import DROP_SHUFFLES, cut_lineage
 from jobtide.sources import dictionary as dic
 from jobtide.sources import postings as src
 
@@ -237,3 +239,24 @@ def test_title_case_of_single_words(spark):
     rows = ["FOO", "foo,", "a/b testing", "k8s", "ßa", "İx", "(foo)", "x-ray", "foo bar", "ab 1.", "", "ⓐb", None]
     got = values(spark, rows, tx.title_case)
     assert got == ["Foo", "Foo,", "A/B Testing", "K8S", "Ssa", "İX", "(Foo)", "X-Ray", "Foo Bar", "Ab 1.", "", "ⒶB", None]
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        return {str(b) for b in (lambda found: [found.apply(i) for i in range(found.size())])(blocks.getAllBlocks()) if str(b).startswith("shuffle")}
+
+    setting = spark.conf.get(DROP_SHUFFLES)
+    rows = spark.range(5000).withColumn("k", F.xxhash64("id") % 97).groupBy("k").agg(F.sum("id").alias("s"))
+    before = left()
+    kept = cut_lineage(rows)
+    src.write_processed(rows, str(tmp_path / "table"))
+    for _ in range(50):  # files go in the background
+        if left() <= before:
+            break
+        time.sleep(0.2)
+    assert left() <= before
+    assert sorted(kept.collect()) == sorted(rows.collect()) == sorted(spark.read.parquet(str(tmp_path / "table")).collect())
+    assert spark.conf.get(DROP_SHUFFLES) == setting
+    assert left() - before  # of the frame that was run without
