@@ -377,3 +377,50 @@ def test_every_vector_is_asked(spark, tmp_path, name):
     rows = [(i, [float(i % 7), float(i // 7)], i % 2) for i in range(1, 40)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r["query_id"] for r in QUERIES[name](spark, str(tmp_path)).select("query_id").collect()} == set(range(1, 40))
+
+
+def test_vocabulary_of_frequent_words(spark, monkeypatch):
+    draw = random.Random(2)
+    texts = [" ".join(draw.choices(["aa", "bb", "cc", "dd", "ee", "ff"], [9, 7, 5, 2, 1, 1], k=draw.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    tf, seen = {}, {}
+    for text in texts:
+        words = [w for w in text.split() if w != "dd"]
+        own = [*words, *map(" ".join, zip(words, words[1:]))]
+        for t in own:
+            tf[t] = tf.get(t, 0) + 1
+        for t in set(own):
+            seen[t] = seen.get(t, 0) + 1
+    for size in (3, 5, 500):  # as many words as features or fewer
+        best = sorted(tf, key=lambda t: (-tf[t], t))[:size]
+        want = {t: pytest.approx(np.log(62 / (1 + seen[t])) + 1) for t in best}
+        for most in (10_000, 2):
+            monkeypatch.setattr(classify, "MAX_WORDS", most)
+            assert {r["term"]: r["idf"] for r in classify.vocabulary(df, size, ["dd"]).collect()} == want
+    made = classify._frequent_pairs(classify.terms(F.col("text"), ["dd"], False), ["aa", "bb"])
+    pairs = {p for r in df.select(made.alias("p")).collect() for p in r["p"]}
+    assert pairs == {f"{a} {b}" for a in ("aa", "bb") for b in ("aa", "bb")}
+
+
+def test_rows_are_classified_where_they_are(spark, monkeypatch):
+    draw = random.Random(6)
+    text = lambda: " ".join(draw.choices([f"w{i:02d}" for i in range(30)], k=draw.randint(0, 9)))
+    docs = spark.createDataFrame([(i // 2 if i % 9 else None, text(), i) for i in range(80)], "doc_id int, text string, n int")
+    kinds = spark.createDataFrame([(i, f"K{i}", text() + " w00") for i in range(7)], "cluster_id int, cluster_label string, text string")
+    inside = classify.classify_by_prototype(docs, kinds, stop=[])
+    assert "hashpartitioning" not in inside._jdf.queryExecution().executedPlan().toString()  # no row is shuffled
+    compared = classify.similarities(docs, kinds, stop=[]).collect()
+    found = inside.collect()
+    assert sorted(r["n"] for r in found) == list(range(80))
+    monkeypatch.setattr(classify, "MAX_PROTOTYPES", 3)
+    joined = classify.classify_by_prototype(docs, kinds, stop=[])
+    assert joined.columns == inside.columns and sorted(joined.collect(), key=lambda r: r["n"]) == sorted(found, key=lambda r: r["n"])
+    assert sorted(classify.similarities(docs, kinds, stop=[]).collect()) == sorted(compared)
+
+
+def test_points_of_repeated_and_missing_ids(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "cc"), (2, "aa aa"), (None, "bb"), (None, None), (3, "")], "doc_id int, text string")
+    got = classify.tfidf_pca(docs, stop=[]).collect()
+    at = lambda i: {(round(r["pca_x"], 9), round(r["pca_y"], 9)) for r in got if r["doc_id"] == i}
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "None", "None"]
+    assert len(at(1)) == 1 and at(None) == at(3) and len(at(1) | at(2) | at(3)) == 3
