@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +17,13 @@ from jobtide import dims
 from jobtide.functions.text import normalize_skills
 from jobtide.operators.columns import IMPACT_SKILL_ORDER, chosen_skills
 from jobtide.operators.market import SKILLS
-from jobtide.session import broadcast_if_small, cut_lineage
+from jobtide.session import broadcast_if_small, cut_lineage, stored
+
+#: Candidates of one size that are counted level by level; where there are more, trees are grown (FP-growth).
+MAX_CANDIDATES = 200_000
+
+#: Baskets that a task compares at once.
+CHUNK = 2_000
 
 
 def baskets(postings: DataFrame, keep: Sequence[str] = (), skills: DataFrame | None = None, by: Sequence[str] = (), skills_col: str = SKILLS) -> DataFrame:
@@ -62,16 +73,101 @@ def skill_pairs(postings: DataFrame, skills: DataFrame, id_col: str = "job_url",
     return rows.select(id_col, F.inline(_pairs(F.array_sort("basket"))))
 
 
+def _frequent_sets(rows: DataFrame, least: int) -> list[tuple[tuple[str, ...], int]] | None:
+    """The sets of items in at least ``least`` baskets, with their counts; None if there are too many candidates.
+
+    Level by level (Apriori): a set can only be frequent if all its parts are. Items are numbered and a set of size k is
+    the number of a frequent set of k - 1 and a later item, so in each basket the frequent sets are lengthened by its later items.
+    A task returns a count for each candidate; a level is one pass over the baskets as short lists of numbers.
+    """
+    items = rows.select(F.explode("basket").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    most = int((2 * MAX_CANDIDATES) ** 0.5)  # items with so many pairs
+    found = items.limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    known = sorted((r["item"], r["n"]) for r in found)
+    names, size = [i for i, _ in known], max(1, len(known))
+
+    # The baskets as sorted lists of the numbers of their frequent items, of which a set needs two.
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            slots = pc.index_in(flat, value_set=pa.array(names, flat.type))
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[slots.is_valid().to_numpy(zero_copy_only=False)]
+            cells = np.unique(row * size + slots.drop_null().to_numpy())
+            ends = np.concatenate([[0], np.cumsum(np.bincount(cells // size, minlength=len(lists)))])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((cells % size).astype(np.int32)))], names=["b"])
+
+    encoded = rows.select("basket").mapInArrow(numbered, "b array<int>")
+    baskets_ = stored(encoded.where(F.size("b") > 1), "baskets")
+
+    def counted(levels: list[np.ndarray]) -> dict[int, int]:
+        """Baskets of each candidate: the last of ``levels``, keys (number of the shorter set, item) in order."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(levels[-1]), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, CHUNK):
+                    lists = batch.column(0).slice(at, CHUNK)
+                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    ends = np.repeat(np.cumsum(sizes), sizes)  # by position
+                    place, held = np.arange(len(flat)), flat
+                    for keys in levels:
+                        later = ends[place] - place - 1
+                        first = np.repeat(np.cumsum(later) - later, later)
+                        next_ = np.repeat(place + 1, later) + np.arange(later.sum()) - first
+                        key = np.repeat(held, later) * size + flat[next_]
+                        index = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[index] == key
+                        place, held = next_[hit], index[hit]
+                    total += np.bincount(held, minlength=len(total))
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], names=["id", "n"])
+
+        partial = baskets_.mapInArrow(count, "id long, n long")
+        return {r["id"]: r["n"] for r in partial.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+
+    out = [((i,), n) for i, n in known]
+    sets, levels = [(n,) for n in range(len(names))], []
+    while sets:
+        # Candidates: two frequent sets that differ in their last item, of which all parts are frequent.
+        number, by_head = {s: n for n, s in enumerate(sets)}, {}
+        for s in sets:
+            by_head.setdefault(s[:-1], []).append(s[-1])
+        longer = []
+        for head, lasts in by_head.items():
+            for a, b in combinations(sorted(lasts), 2):
+                if all((*head[:i], *head[i + 1 :], a, b) in number for i in range(len(head))):
+                    longer.append((*head, a, b))
+            if len(longer) > MAX_CANDIDATES:
+                return None
+        if not longer:
+            break
+        keyed = sorted((number[s[:-1]] * size + s[-1], s) for s in longer)
+        counts = counted([*levels, np.array([k for k, _ in keyed], dtype=np.int64)])
+        kept = [(k, s, counts[n]) for n, (k, s) in enumerate(keyed) if n in counts]
+        out += [(tuple(names[i] for i in s), n) for _, s, n in kept]
+        levels.append(np.array([k for k, _, _ in kept], dtype=np.int64))
+        sets = [s for _, s, _ in kept]
+    return out
+
+
 def frequent_skill_sets(postings: DataFrame, min_support: float = 0.05, skills: DataFrame | None = None, skills_col: str | None = None) -> DataFrame:
     """(items, freq, n_baskets, support): skill sets in at least that share of the non-empty baskets."""
     postings, skills_col = chosen_skills(postings, skills_col, IMPACT_SKILL_ORDER)
     # The miner passes over its baskets several times; derive them once.
-    rows = cut_lineage(baskets(postings, (), skills, (), skills_col))
-    sets = FPGrowth(itemsCol="basket", minSupport=min_support).fit(rows).freqItemsets
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = sets.select(F.array_sort("items").alias("items"), "freq").withColumn("n_baskets", total)
+    rows = stored(baskets(postings, (), skills, (), skills_col), "baskets")
+    n = rows.count()
+    total = F.lit(n).cast("long")
+    found = _frequent_sets(rows, max(1, math.ceil(min_support * n)))
+    if found is None:
+        sets = FPGrowth(itemsCol="basket", minSupport=min_support).fit(rows).freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    else:
+        sets = rows.sparkSession.createDataFrame([(list(s), c) for s, c in found], "items array<string>, freq long")
     # Rules read the sets three times, and mining is the costly part.
-    return cut_lineage(counted.withColumn("support", F.col("freq") / F.col("n_baskets")))
+    return cut_lineage(sets.withColumn("n_baskets", total).withColumn("support", F.col("freq") / F.col("n_baskets")))
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, max_consequent: int | None = None) -> DataFrame:

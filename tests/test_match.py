@@ -1,5 +1,6 @@
 import csv
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import service_queries  # noqa: F401
 from catalog.registry import QUERIES
-from jobtide.operators import classify, index, match, retrieval, routing, salary, transition, vector_index
+from jobtide.operators import associations, classify, index, match, retrieval, routing, salary, transition, vector_index
 from jobtide.operators.cells import in_cells
 from jobtide.plans import build
 from jobtide.sources.postings import read_raw_postings
@@ -424,3 +425,26 @@ def test_points_of_repeated_and_missing_ids(spark):
     at = lambda i: {(round(r["pca_x"], 9), round(r["pca_y"], 9)) for r in got if r["doc_id"] == i}
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "None", "None"]
     assert len(at(1)) == 1 and at(None) == at(3) and len(at(1) | at(2) | at(3)) == 3
+
+
+def test_frequent_sets_equal_brute_force(spark, monkeypatch):
+    draw = random.Random(9)
+    pool = ["É", "Aa", "B", "Cc", "D", "Ee", "Z"]
+    lists = [draw.sample(pool, min(len(pool), draw.choice([0, 1, 2, 3, 5, 7]))) for _ in range(150)] + [["Aa", "B", "Cc", "D"]] * 12 + [None]
+    jobs = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "job_url int, skills_list array<string>")
+    filled = [frozenset(x) for x in lists if x]
+    want = {}
+    for size in range(1, 8):
+        for items in combinations(sorted(pool), size):
+            n = sum(set(items) <= x for x in filled)
+            if n >= 0.1 * len(filled):
+                want[items] = (n, len(filled))
+    assert max(map(len, want)) >= 4
+    read = lambda: {tuple(r["items"]): (r["freq"], r["n_baskets"]) for r in associations.frequent_skill_sets(jobs, 0.1).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(associations, "FPGrowth", None)  # no trees for few candidates
+        patch.setattr(associations, "CHUNK", 20)
+        assert read() == want
+        assert associations.frequent_skill_sets(jobs.limit(0), 0.1).count() == 0
+    monkeypatch.setattr(associations, "MAX_CANDIDATES", 9)
+    assert read() == want
