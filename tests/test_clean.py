@@ -1,8 +1,10 @@
 import datetime as dt
+import glob
 import time
 
 from pyspark.sql import functions as F
 
+from catalog import service_queries
 from jobtide.functions import text as tx
 from jobtide.operators import clean, skills
 from jobtide.session import DROP_SHUFFLES, cut_lineage
@@ -260,3 +262,16 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
     assert sorted(kept.collect()) == sorted(rows.collect()) == sorted(spark.read.parquet(str(tmp_path / "table")).collect())
     assert spark.conf.get(DROP_SHUFFLES) == setting
     assert left() - before  # of the frame that was run without
+
+
+def test_landed_files_are_compressed(spark, tmp_path, monkeypatch):
+    rows = [(f"https://x/{i}?src={i}", f"Title {i}", "Firm", "1-2 yrs", "5 LPA", "Long, \"quoted\"\ntext", "2024-01-01 00:00:00", "portal", "f.csv", i, 1, "C", ["Pune"], ["A", "B"])
+            for i in range(9)]
+    kinds = ("job_url string, job_title string, company string, experience_required string, salary string, job_description string, scraped_date string, "
+             "source string, source_file string, row_no long, cluster_id int, cluster_label string, location array<string>, skills_list array<string>")
+    monkeypatch.setattr(service_queries, "raw_postings", lambda spark, sf: spark.createDataFrame(rows, kinds))
+    path = service_queries._landed(spark, "")
+    files = [f for f in glob.glob(f"{path.removeprefix('file://')}/part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    back = src.read_raw_postings(spark, path).collect()
+    assert sorted((r["job_url"], r["job_description"], r["location"]) for r in back) == sorted((r[0], r[5], r[-2]) for r in rows)
